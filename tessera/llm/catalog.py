@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, quality
 
-MODULES = (bpe,)
+MODULES = (bpe, quality)
 
 
 def queries() -> dict:
