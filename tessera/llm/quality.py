@@ -4,7 +4,7 @@ One weight vector over hashed text features is shared by all grades; ordered thr
 P(grade > k) = sigmoid(score - threshold_k). Expected grade and tail probabilities come from the same model.
 
 The grades of the labels table: 0 for low quality, 1 for good but toxic text, 2 for good text. Features: presence of
-lower-case words and of their four-letter beginnings, shares of word shapes and of words that repeat the one before.
+lower-case words and of their beginnings of four and five letters, shares of word shapes and of words that repeat the one before.
 
 The model is fitted on at most ``max_train`` labelled rows, chosen by a hash of their id (a classifier may be fitted on a
 bounded sample; raise the bound for more). Only those rows' texts move, to one task; the model, whose size the bound on
@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import U64, Texts, category_table, chunks, lower_table, mix64, prefix_hash, runs, slice_hash, words
+from .textops import U64, Texts, category_table, chunks, lower_hash_table, lower_table, mix64, prefix_hash, runs, slice_hash, words
 
 GRADES = 3
 LEX_BITS, STYLE_BITS = 20, 13
+BEGINNINGS = (4, 5)
 MAX_TRAIN, MIN_DF, MAX_FEATURES = 20_000, 15, 1 << 16
 SCORES = ["expected_grade", "p_ge_1", "p_ge_2", "keep"]
 
@@ -54,12 +55,10 @@ def features(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     shape = _shape_table()
     h, start, end, at = words(t)
     doc = np.repeat(np.arange(len(t)), np.diff(at))
-    from .textops import lower_hash_table
-
     prefix = prefix_hash(lower_hash_table()[t.cps])
-    begin = slice_hash(prefix, start, np.minimum(start + 4, end)) ^ U64(0x5555)
-    slots = np.concatenate(((h >> U64(64 - LEX_BITS)), (mix64(begin) >> U64(64 - LEX_BITS)))).astype(np.int64)
-    lex_doc = np.concatenate((doc, doc))
+    begins = [mix64(slice_hash(prefix, start, np.minimum(start + k, end)) ^ U64(0x5555 + k)) for k in BEGINNINGS]
+    slots = (np.concatenate((h, *begins)) >> U64(64 - LEX_BITS)).astype(np.int64)
+    lex_doc = np.tile(doc, 1 + len(begins))
     s, e = runs(~_state["space"][t.cps], t.off)
     tok_at = np.searchsorted(s, t.off)
     tok_doc = np.repeat(np.arange(len(t)), np.diff(tok_at))
@@ -86,6 +85,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Ordinal:
     """Cumulative logit with L2 on the weights; rows are sparse (``row``, ``col``, ``val``)."""
 
+    slight = 1e-3
+
     def __init__(self, grades: int = GRADES, l2: float = 0.2, steps: int = 60):
         self.grades, self.l2, self.steps = grades, l2, steps
 
@@ -93,31 +94,31 @@ class Ordinal:
         return p[0] + np.concatenate(([0.0], np.cumsum(np.exp(p[1:]))))
 
     def loss(self, z: np.ndarray, n_cols: int, row, col, val, y) -> tuple[float, np.ndarray]:
-        """Negative log likelihood with one made-up observation of each grade at score 0, and its gradient."""
+        """Negative log likelihood with its gradient; a slight penalty on the thresholds keeps them finite where a grade
+        doesn't occur."""
         w, p = z[:n_cols], z[n_cols:]
         th = self.thresholds(p)
-        f = np.concatenate((np.bincount(row, val * w[col], minlength=len(y)), np.zeros(self.grades)))
-        y = np.concatenate((y, np.arange(self.grades)))
+        f = np.bincount(row, val * w[col], minlength=len(y))
         cut = np.concatenate(([-np.inf], th, [np.inf]))
         hi, lo = _sigmoid(cut[y + 1] - f), _sigmoid(cut[y] - f)  # P(grade <= y), P(grade < y)
         prob = np.maximum(hi - lo, 1e-12)
         dhi, dlo = hi * (1 - hi), lo * (1 - lo)
-        value = -np.log(prob).sum() + 0.5 * self.l2 * (w @ w)
+        value = -np.log(prob).sum() + 0.5 * self.l2 * (w @ w) + 0.5 * self.slight * (p @ p)
         df = (dhi - dlo) / prob
         gw = np.bincount(col, val * df[row], minlength=n_cols) + self.l2 * w
         gth = np.zeros(self.grades - 1)
         for k in range(self.grades - 1):
             gth[k] = -(dhi[y == k] / prob[y == k]).sum() + (dlo[y == k + 1] / prob[y == k + 1]).sum()
-        gp = np.empty(self.grades - 1)
-        gp[0] = gth.sum()
+        gp = self.slight * p
+        gp[0] += gth.sum()
         for k in range(1, self.grades - 1):
-            gp[k] = gth[k:].sum() * np.exp(p[k])
+            gp[k] += gth[k:].sum() * np.exp(p[k])
         return value, np.concatenate((gw, gp))
 
     def fit(self, n_cols: int, row, col, val, y) -> tuple[np.ndarray, np.ndarray]:
         """(weights, thresholds) by L-BFGS."""
         z = np.zeros(n_cols + self.grades - 1)
-        z[n_cols] = -2.0
+        z[n_cols] = -4.0
         value, g = self.loss(z, n_cols, row, col, val, y)
         hist: list[tuple[np.ndarray, np.ndarray, float]] = []
         for _ in range(self.steps):
