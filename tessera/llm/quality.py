@@ -32,6 +32,8 @@ from .textops import U64, Texts, category_table, chunks, lower_hash_table, lower
 GRADES = 3
 LEX_BITS, STYLE_BITS = 20, 13
 BEGINNINGS = (4, 5)
+#: The least probability of the highest grade that keeps a document.
+SELECT = 0.75
 MAX_TRAIN, MIN_DF, MAX_FEATURES = 20_000, 15, 1 << 16
 SCORES = ["expected_grade", "p_ge_1", "p_ge_2", "keep"]
 
@@ -87,7 +89,7 @@ class Ordinal:
 
     slight = 1e-3
 
-    def __init__(self, grades: int = GRADES, l2: float = 0.2, steps: int = 60):
+    def __init__(self, grades: int = GRADES, l2: float = 1.0, steps: int = 100):
         self.grades, self.l2, self.steps = grades, l2, steps
 
     def thresholds(self, p: np.ndarray) -> np.ndarray:
@@ -148,7 +150,7 @@ class Ordinal:
         return z[:n_cols], self.thresholds(z[n_cols:])
 
 
-def train_arrays(texts, grades: np.ndarray, l2: float = 0.2) -> dict:
+def train_arrays(texts, grades: np.ndarray, l2: float = 1.0) -> dict:
     """The model of these texts and grades, as plain arrays."""
     lex, style, tokens, base = [], [], [], 0
     for _, _, t in chunks(texts):
@@ -187,7 +189,8 @@ def train_arrays(texts, grades: np.ndarray, l2: float = 0.2) -> dict:
     return {"lex": lex_slots, "style": style_slots, "w": w, "th": th}
 
 
-STYLE_SCALE = 4.0
+#: Shares of shapes lie between 0 and 1; this brings their weights to the size of those of words.
+STYLE_SCALE = 20.0
 
 
 class Scorer:
@@ -224,7 +227,7 @@ def graded(labels: DataFrame) -> DataFrame:
     return q.select("doc_id", F.when(F.col("q") <= 0, 0).when(F.col("x") >= 1, 1).otherwise(2).alias("grade"))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, text: str = "text", max_train: int = MAX_TRAIN, l2: float = 0.2) -> dict | None:
+def fit(docs: DataFrame, ratings: DataFrame, text: str = "text", max_train: int = MAX_TRAIN, l2: float = 1.0) -> dict | None:
     """The model of the rows of ``docs`` that have a grade; None where there is none."""
     rows = ratings.select("doc_id", "grade").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     sample = docs.select("doc_id", F.col(text).alias("t")).where(F.col("t").isNotNull())
@@ -241,7 +244,7 @@ def fit(docs: DataFrame, ratings: DataFrame, text: str = "text", max_train: int
     return pickle.loads(found[0][0]) if found else None
 
 
-def score(docs: DataFrame, model: dict | None, text: str = "text", keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: dict | None, text: str = "text", keep: list[str] | None = None, threshold: float = SELECT) -> DataFrame:
     """``keep`` columns (all by default) with expected_grade, p_ge_1, p_ge_2 and keep = p_ge_2 >= threshold."""
     names = [c for c in (docs.columns if keep is None else keep) if c not in SCORES]
     inside = [f"c{i}" for i in range(len(names))]
