@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, quality
+from . import bpe, jaccard, linededup, quality
 
-MODULES = (bpe, quality)
+MODULES = (bpe, quality, linededup, jaccard)
 
 
 def queries() -> dict:
