@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, linededup, quality
+from . import bpe, jaccard, linededup, mixing, quality, sharding
 
-MODULES = (bpe, quality, linededup, jaccard)
+MODULES = (mixing, bpe, linededup, quality, sharding, jaccard)
 
 
 def queries() -> dict:
