@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, linededup, mixing, quality, sharding
+from . import bpe, chat, jaccard, langid, linededup, mixing, quality, sharding, syncmers
 
-MODULES = (mixing, bpe, linededup, quality, sharding, jaccard)
+MODULES = (mixing, bpe, linededup, quality, sharding, syncmers, langid, jaccard, chat)
 
 
 def queries() -> dict:
