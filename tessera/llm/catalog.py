@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, jaccard, langid, linededup, mixing, quality, sharding, syncmers
+from . import ann, bpe, chat, jaccard, langid, linededup, mixing, quality, sharding, syncmers
 
-MODULES = (mixing, bpe, linededup, quality, sharding, syncmers, langid, jaccard, chat)
+MODULES = (mixing, bpe, linededup, quality, sharding, syncmers, ann, langid, jaccard, chat)
 
 
 def queries() -> dict:
