@@ -98,9 +98,9 @@ def batch_search(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 10,
         blocks = -(-n // BLOCK_QUERIES)
         cut = q.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
         spread = v.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-        pairs = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        left = spread.withColumn("block", pairs.cast("long"))
-        right = cut.withColumn("part", pairs.cast("long"))
+        pairs = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+        left = spread.withColumn("block", pairs)
+        right = cut.withColumn("part", pairs)
 
         def meet(data: pa.Table, asked: pa.Table) -> pa.Table:
             rows = []
