@@ -4,7 +4,7 @@ One weight vector over hashed text features is shared by all grades; ordered thr
 P(grade > k) = sigmoid(score - threshold_k). Expected grade and tail probabilities come from the same model.
 
 The grades of the labels table: 0 for low quality, 1 for good but toxic text, 2 for good text. Features: presence of
-lower-case words and of their beginnings of four and five letters, shares of word shapes and of words that repeat the one before.
+lower-case words and of their beginnings of four to six letters (scaled by how differently good and bad documents have them), shares of word shapes and of words that repeat the one before.
 
 The model is fitted on at most ``max_train`` labelled rows, chosen by a hash of their id (a classifier may be fitted on a
 bounded sample; raise the bound for more). Only those rows' texts move, to one task; the model, whose size the bound on
@@ -31,10 +31,14 @@ from .textops import U64, Texts, category_table, chunks, lower_hash_table, lower
 
 GRADES = 3
 LEX_BITS, STYLE_BITS = 20, 13
-BEGINNINGS = (4, 5)
+BEGINNINGS = (4, 5, 6)
+#: Cells of a table of documents and features; beyond it features are sorted instead.
+TABLE_CELLS = 1 << 27
+#: Of the squared weights.
+PENALTY = 3.0
 #: The least probability of the highest grade that keeps a document.
 SELECT = 0.75
-MAX_TRAIN, MIN_DF, MAX_FEATURES = 20_000, 15, 1 << 16
+MAX_TRAIN, MIN_DF, MAX_FEATURES = 20_000, 6, 1 << 16
 SCORES = ["expected_grade", "p_ge_1", "p_ge_2", "keep"]
 
 _state: dict[str, np.ndarray] = {}
@@ -150,7 +154,20 @@ class Ordinal:
         return z[:n_cols], self.thresholds(z[n_cols:])
 
 
-def train_arrays(texts, grades: np.ndarray, l2: float = 1.0) -> dict:
+def log_ratios(row: np.ndarray, col: np.ndarray, n: int, grades: np.ndarray) -> np.ndarray:
+    """For each column, how differently it occurs below and above a grade: the largest absolute log ratio over the grades.
+    Scaled by it, the penalty leaves telling words their weight and holds down the many that tell nothing."""
+    out = np.full(n, 0.1)
+    for k in range(GRADES - 1):
+        low = grades <= k
+        if low.all() or not low.any():
+            continue
+        share = [(np.bincount(col[side[row]], minlength=n) + 1) / (side.sum() + 2) for side in (low, ~low)]
+        out = np.maximum(out, np.abs(np.log(share[0] / share[1])))
+    return out
+
+
+def train_arrays(texts, grades: np.ndarray, l2: float = PENALTY) -> dict:
     """The model of these texts and grades, as plain arrays."""
     lex, style, tokens, base = [], [], [], 0
     for _, _, t in chunks(texts):
@@ -177,7 +194,9 @@ def train_arrays(texts, grades: np.ndarray, l2: float = 1.0) -> dict:
     at = np.full(1 << LEX_BITS, -1)
     at[lex_slots] = np.arange(len(lex_slots))
     c = at[key & ((1 << LEX_BITS) - 1)]
-    row, col, val = (key >> LEX_BITS)[c >= 0], c[c >= 0], np.ones(int((c >= 0).sum()))
+    row, col = (key >> LEX_BITS)[c >= 0], c[c >= 0]
+    weight = log_ratios(row, col, len(lex_slots), grades)
+    val = weight[col]
     at = np.full(1 << STYLE_BITS, -1)
     at[style_slots] = np.arange(len(style_slots)) + len(lex_slots)
     c = at[sk & ((1 << STYLE_BITS) - 1)]
@@ -186,6 +205,7 @@ def train_arrays(texts, grades: np.ndarray, l2: float = 1.0) -> dict:
     col = np.concatenate((col, c[c >= 0]))
     val = np.concatenate((val, STYLE_SCALE * (sc / n[doc])[c >= 0]))
     w, th = Ordinal(l2=l2).fit(len(lex_slots) + len(style_slots), row, col, val, grades)
+    w[: len(lex_slots)] *= weight
     return {"lex": lex_slots, "style": style_slots, "w": w, "th": th}
 
 
@@ -208,9 +228,13 @@ class Scorer:
         docs = len(t)
         c = self.lex[ls]
         ok = c >= 0
-        seen = np.zeros(docs * self.n_lex, bool)
-        seen[ld[ok] * self.n_lex + c[ok]] = True
-        at = np.flatnonzero(seen)
+        key = ld[ok] * self.n_lex + c[ok]
+        if docs * self.n_lex <= TABLE_CELLS:
+            seen = np.zeros(docs * self.n_lex, bool)
+            seen[key] = True
+            at = np.flatnonzero(seen)
+        else:  # many short texts
+            at = np.unique(key)
         f = np.bincount(at // max(1, self.n_lex), self.w_lex[at % max(1, self.n_lex)], minlength=docs) if len(at) else np.zeros(docs)
         c = self.style[ss]
         ok = c >= 0
@@ -227,7 +251,7 @@ def graded(labels: DataFrame) -> DataFrame:
     return q.select("doc_id", F.when(F.col("q") <= 0, 0).when(F.col("x") >= 1, 1).otherwise(2).alias("grade"))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, text: str = "text", max_train: int = MAX_TRAIN, l2: float = 1.0) -> dict | None:
+def fit(docs: DataFrame, ratings: DataFrame, text: str = "text", max_train: int = MAX_TRAIN, l2: float = PENALTY) -> dict | None:
     """The model of the rows of ``docs`` that have a grade; None where there is none."""
     rows = ratings.select("doc_id", "grade").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     sample = docs.select("doc_id", F.col(text).alias("t")).where(F.col("t").isNotNull())
