@@ -126,6 +126,48 @@ class Tree:
             yield node
 
 
+class Frontier:
+    """Best-bin-first for many queries at once: a priority queue for each query is a row of a matrix, with a column for each node
+    of the tree; all queries take their nearest cell in the same step. For trees of some hundred nodes."""
+
+    def __init__(self, tree: Tree):
+        n = len(tree.children)
+        dim = next((c.shape[1] for c in tree.centres if c is not None), 0)
+        self.own = np.zeros((n, dim), np.float32)
+        widest = max((len(c) for c in tree.children if c is not None), default=1)
+        self.child = np.full((n, widest), n)  # column n stands for no child
+        self.leaf = np.array([c is None for c in tree.children])
+        for node, c in enumerate(tree.children):
+            if c is not None:
+                self.child[node, : len(c)] = c
+                self.own[c] = tree.centres[node]
+
+    def visits(self, q: np.ndarray, limit: int) -> np.ndarray:
+        """(queries, limit) leaves in the order of their visits, -1 after the last."""
+        n, rows = len(self.leaf), np.arange(len(q))
+        out = np.full((len(q), min(limit, int(self.leaf.sum()))), -1)
+        if n == 1:
+            out[:] = 0
+            return out
+        far = np.concatenate((_distances(q, self.own), np.full((len(q), 1), np.inf, np.float32)), 1)
+        queue = np.full((len(q), n + 1), np.inf, np.float32)
+        queue[:, 0] = 0
+        for step in range(out.shape[1]):
+            at = queue.argmin(1)
+            queue[rows, at] = np.inf
+            todo = rows[~self.leaf[at]]
+            while len(todo):
+                c = self.child[at[todo]]
+                d = far[todo[:, None], c]
+                queue[todo[:, None], c] = d
+                best = c[np.arange(len(todo)), d.argmin(1)]
+                queue[todo, best] = np.inf
+                at[todo] = best
+                todo = todo[~self.leaf[best]]
+            out[:, step] = at
+        return out
+
+
 def local_tree(x: np.ndarray, seed: int) -> tuple[Tree, dict[int, np.ndarray]]:
     """A tree over the rows with leaves of LEAF_ROWS at most (more only where rows are equal), and the leaves' rows."""
     tree, rng, rows = Tree(), np.random.default_rng(seed), {}
@@ -252,19 +294,23 @@ def _top(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: int, k: int) -> tup
 def search_leaves(tree: Tree, members: dict[int, np.ndarray], ids: np.ndarray, x: np.ndarray, own: np.ndarray, y: np.ndarray, leaves: int, k: int, block: int = 1024):
     """(query, id, squared distance) of the k nearest rows in the leaves that each query visits. Queries are taken leaf by
     leaf, so that a leaf's distances are one product of matrices; a few more than k are kept for the exact distances."""
-    keep, out = k + 6, []
+    keep, out, front = k + 6, [], Frontier(tree)
     for at in range(0, len(y), block):
         q, o = y[at : at + block], own[at : at + block]
-        queues: dict[int, list[int]] = {}
-        for i in range(len(q)):
-            for leaf in islice(tree.visit(q[i]), leaves):
-                queues.setdefault(leaf, []).append(i)
+        seen = front.visits(q, leaves)
+        order = np.argsort(seen, axis=None, kind="stable")
+        who_of, leaf_of = order // seen.shape[1], seen.reshape(-1)[order]
+        names, first = np.unique(leaf_of, return_index=True)
         best = np.full((len(q), keep), np.inf, np.float32)
         row = np.zeros((len(q), keep), np.int64)
-        for leaf, who in queues.items():
-            r, w = members[leaf], np.array(who)
+        for leaf, w in zip(names.tolist(), np.split(who_of, first[1:]), strict=True):
+            r = members[leaf]
             d = _distances(q[w], x[r])
             d[o[w][:, None] == ids[r][None, :]] = np.inf
+            better = d.min(1) < best[w].max(1)
+            w, d = w[better], d[better]
+            if not len(w):
+                continue
             d = np.concatenate((best[w], d), 1)
             i = np.concatenate((row[w], np.broadcast_to(r, (len(w), len(r)))), 1)
             cut = np.argpartition(d, keep - 1, 1)[:, :keep]
@@ -329,10 +375,10 @@ def calibrated(v: DataFrame, shards: DataFrame, tree: Tree, k: int, target: floa
             of = np.empty(len(ids), np.int64)
             for node, r in members.items():
                 of[r] = node
-            memo: dict[int, dict[int, int]] = {}
+            front, memo = Frontier(local), {}
             for q, i, y, t in zip(asked.column("query").to_pylist(), asked.column("id").to_pylist(), asked.column("q").to_pylist(), asked.column("turn").to_pylist(), strict=True):
                 if q not in memo:
-                    memo[q] = {n: m for m, n in enumerate(local.visit(np.array(y, np.float32)))}
+                    memo[q] = {n: m for m, n in enumerate(front.visits(np.array([y], np.float32), len(local.children))[0].tolist())}
                 turn.append(t)
                 leaf.append(memo[q][int(of[np.searchsorted(ids, i)])])
         return pa.table({"turn": pa.array(turn, pa.int64()), "leaf": pa.array(leaf, pa.int64())})
