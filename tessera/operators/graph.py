@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.topk import top, top_by
+from tessera.operators.index import without
+from tessera.operators.topk import top_by
 
 LINKS, EF_CONSTRUCTION, MAX_LEVEL, SHARD_ROWS = 16, 200, 16, 20_000
 DIGITS = 6
@@ -153,5 +154,7 @@ def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     return hit.groupBy("qid").agg((F.count("hit") / F.lit(k)).alias("recall"))
 
 
-def lists(found: DataFrame, k: int) -> DataFrame:
-    return top(found, k, "distance", largest=False)
+def scored(found: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
+    """(qid, doc_id, score) with score = 1 - distance, whatever the metric. Deleted documents are taken out of the lists that
+    were found, so that fewer than k may be left."""
+    return without(found.select("qid", "doc_id", F.round(1 - F.col("distance"), DIGITS).alias("score")), tombstones)

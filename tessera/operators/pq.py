@@ -187,6 +187,11 @@ def should_train(vectors: DataFrame, least: int) -> bool:
     return vectors.limit(least).count() >= least
 
 
+def auto_train(vectors: DataFrame, dim: int, least: int, cfg: PqConfig | None = None, id_: str = "doc_id", vec: str = "embedding") -> Codebook | None:
+    """A codebook once there are vectors enough, None before."""
+    return train(vectors, dim, cfg, id_, vec) if should_train(vectors, least) else None
+
+
 def memory(codes: DataFrame, book: Codebook) -> DataFrame:
     """(n, code_bytes, raw_bytes, codebook_bytes, ratio) in one row."""
     n = F.count(F.lit(1))

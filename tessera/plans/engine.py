@@ -22,7 +22,8 @@ from tessera.plans.metrics import Metrics
 from tessera.plans.settings import BadRequest, DocumentNotFound, IndexNotReady, InvalidEmbeddingDimensions, Settings
 from tessera.sources import snapshot
 from tessera.sources.documents import DocumentStore
-from tessera.streaming.changelog import DOCUMENT, compacted
+from tessera.sources.scratch import written
+from tessera.streaming.changelog import CHANGELOG, DOCUMENT, next_ids, schema
 
 MODES = ("keyword", "vector", "hybrid")
 
@@ -69,7 +70,7 @@ class Engine:
         self._position += 1
         at = int(time.time())
         full = [(self._position, i, *r, at) for i, r in enumerate(rows)]
-        self.store.append(self.spark.createDataFrame(full, self.store._schema()))
+        self.store.append(self.spark.createDataFrame(full, schema(CHANGELOG)))
         return self._position
 
     def index(self, docs: Sequence[dict]) -> list[int]:
@@ -92,6 +93,14 @@ class Engine:
         self.store.put(docs.withColumn("__o", F.lit(0)), self._position, int(time.time()), "__o")
         return self._position
 
+    def index_new(self, docs: DataFrame, order: str = "item_id") -> int:
+        """Indexes a DataFrame (content, embedding, metadata, and a column that tells rows apart) under new ids."""
+        taken = self.spark.createDataFrame([(self._next - 1,)], "id long")
+        given = written(next_ids(taken, docs, [order]))
+        position = self.index_frame(given)
+        self._next += given.count()
+        return position
+
     def update(self, doc_id: int, content: str | None = None, embedding: Sequence[float] | None = None, metadata: dict | None = None) -> int:
         self._check(embedding)
         if self.store.get(doc_id).isEmpty():
@@ -121,9 +130,7 @@ class Engine:
 
     def compact(self) -> None:
         """Writes the log anew without what is superseded."""
-        short = compacted(self.store.log(), self.settings.dim)
-        short.write.mode("overwrite").parquet(f"{self.path}/log-next")
-        self.spark.read.schema(short.schema).parquet(f"{self.path}/log-next").write.mode("overwrite").parquet(f"{self.path}/log")
+        self.store.compact()
 
     # reads
 
@@ -182,16 +189,14 @@ class Engine:
     def restore(self, path: str) -> None:
         """Replaces all documents by those of a snapshot."""
         docs, self._position = snapshot.load(self.spark, path)
-        log = docs.select(
-            F.lit(self._position).alias("raft_index"), F.lit(0).alias("ordinal"), F.lit("Index").alias("op"), F.col("id").alias("doc_id"),
-            "content", "embedding", "metadata", F.col("created_at").alias("at"),
-        )
-        log.unionByName(
-            docs.where("updated_at > created_at").select(
-                F.lit(self._position).alias("raft_index"), F.lit(1).alias("ordinal"), F.lit("Update").alias("op"), F.col("id").alias("doc_id"),
-                "content", "embedding", "metadata", F.col("updated_at").alias("at"),
+        both = docs.withColumn("op", F.explode(F.when(F.col("updated_at") > F.col("created_at"), F.array(F.lit("Index"), F.lit("Update"))).otherwise(F.array(F.lit("Index")))))
+        index = F.col("op") == "Index"
+        self.store.replace(
+            both.select(
+                F.lit(self._position).cast("long").alias("raft_index"), F.when(index, 0).otherwise(1).alias("ordinal"), "op", F.col("id").alias("doc_id"),
+                "content", "embedding", "metadata", F.when(index, F.col("created_at")).otherwise(F.col("updated_at")).alias("at"),
             )
-        ).write.mode("overwrite").parquet(f"{self.path}/log")
+        )
         self._next = (self.store.log().agg(F.max("doc_id").alias("m")).first().m or 0) + 1
         self.refresh()
 

@@ -1,7 +1,7 @@
 """Which segments to merge, from the manifest.
 
 Two rules give candidates: two segments or more with over 15 % deleted documents, and a size tier (1 MiB, 10 MiB, ...) with
-more than ten segments, of which the smallest go. A merge whose live bytes go beyond the largest segment size isn't made.
+more than ten segments, of which the smallest go. A merge whose bytes go beyond the largest segment size isn't made.
 """
 
 from __future__ import annotations
@@ -41,6 +41,19 @@ def candidates(manifest: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     return both.where(F.col("bytes") <= max_bytes).orderBy(F.desc("score"), "reason")
 
 
+def benefit(planned: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(plan, score) of segments with a column ``plan``: 100 times the mean share of deleted documents, 10 for each segment less, and
+    up to 50 the smaller the result is."""
+    size = F.greatest(F.lit(0.0), 50 * (1 - F.sum("size_bytes") / F.lit(float(max_bytes))))
+    return planned.groupBy("plan").agg((F.avg(delete_ratio()) * 100 + (F.count(F.lit(1)) - 1) * 10 + size).alias("score"))
+
+
+def all_of_many(manifest: DataFrame, limit: int = TIER_SIZE) -> list[int]:
+    """All segments where there are more than the limit, none otherwise. A manifest is small."""
+    ids = [r.id for r in manifest.select("id").orderBy("id").collect()]
+    return ids if len(ids) > limit else []
+
+
 class MergeScheduler:
     """Merges in progress: two at most, no segment in two of them."""
 

@@ -12,7 +12,7 @@ from tessera.operators.index import tokenized
 from tessera.plans import merge
 from tessera.queries.common import TOK, table
 from tessera.sources.scratch import shared_folder
-from tessera.sources.segments import SegmentStore, delete_ratio, totals
+from tessera.sources.segments import SegmentStore, delete_ratio, from_json, to_json, totals
 
 
 def _manifest(spark, d):
@@ -48,10 +48,20 @@ def man_delete_ratio(spark, d):
     return _manifest(spark, d).select("id", F.round(delete_ratio(), 6).alias("ratio"))
 
 
+def mrg_benefit(spark, d):
+    """What it would bring to merge each three segments whose ids have one remainder."""
+    return merge.benefit(_manifest(spark, d).withColumn("plan", F.col("id") % 3)).select("plan", F.round("score", 6).alias("score"))
+
+
+def man_json(spark, d):
+    """The manifest as JSON and back."""
+    return from_json(to_json(_manifest(spark, d))).select("id", "doc_count", "live_doc_count", "size_bytes")
+
+
 def man_generations(spark, d):
     """A manifest that was saved, added to and replaced in part."""
     s, m = SegmentStore(spark, shared_folder(spark)), _manifest(spark, d)
-    s.save_manifest(m.where("id BETWEEN 1 AND 5"), 1)
+    s.save_manifest(m.where("id BETWEEN 1 AND 5"))
     s.add(m.where("id = 6"))
     g = s.replace([1, 2], m.where("id = 7"))
     return s.load_manifest()[0].select("id", "doc_count").withColumn("generation", F.lit(g))
@@ -148,7 +158,7 @@ def inv_json(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        mrg_candidates, mrg_by_deletes, mrg_tiers, man_totals, man_delete_ratio, man_generations, seg_stats, mrg_compact, enc_roundtrip, inv_indexed_retrievable, inv_deleted_not_retrievable,
+        mrg_candidates, mrg_by_deletes, mrg_tiers, mrg_benefit, man_json, man_totals, man_delete_ratio, man_generations, seg_stats, mrg_compact, enc_roundtrip, inv_indexed_retrievable, inv_deleted_not_retrievable,
         inv_monotonic_reads, inv_unique_ids, inv_search_reflects_index, inv_raft_ordering, inv_all, inv_durations, inv_pending, inv_time_range, inv_json,
     )
 }
@@ -178,6 +188,8 @@ ORACLES = {
     "mrg_candidates": f"WITH {MAN} SELECT * FROM (SELECT * FROM del UNION ALL SELECT * FROM tie) WHERE bytes <= 5368709120",
     "mrg_by_deletes": f"WITH {MAN} SELECT * FROM del",
     "mrg_tiers": f"WITH {MAN} SELECT id, tier FROM r",
+    "mrg_benefit": f"WITH {MAN} SELECT id % 3 AS plan, round(avg(ratio) * 100 + (count(*) - 1) * 10 + greatest(0.0, 50 * (1 - sum(bytes) / 5368709120.0::DOUBLE)), 6) AS score FROM r GROUP BY 1",
+    "man_json": f"WITH {MAN} SELECT id, n AS doc_count, live AS live_doc_count, bytes AS size_bytes FROM m",
     "man_totals": f"WITH {MAN} SELECT count(*) AS segments, sum(n)::BIGINT AS docs, sum(live)::BIGINT AS live_docs, sum(bytes)::BIGINT AS bytes, max(hi) AS applied FROM m",
     "man_delete_ratio": f"WITH {MAN} SELECT id, round(ratio, 6) AS ratio FROM r",
     "man_generations": f"WITH {MAN} SELECT id, n AS doc_count, 3 AS generation FROM m WHERE id BETWEEN 3 AND 7",

@@ -187,6 +187,10 @@ def ann_topk(spark, d):
     return graph.search(_vec(spark, d), _asked(spark, d), DIM, K)
 
 
+def ann_scored(spark, d):
+    return graph.scored(ann_topk(spark, d), table(spark, d, "labels").where("toxic = 1").select("doc_id"))
+
+
 def ann_recall(spark, d):
     exact = top(_vec(spark, d).select(F.lit(0).cast("long").alias("qid"), "doc_id", vs.distance(F.col("embedding"), query_vector()).alias("distance")), K, "distance", largest=False)
     return graph.recall(ann_topk(spark, d), exact, K)
@@ -207,7 +211,7 @@ QUERIES = {
     for f in (
         kw_bm25plus_topk, kw_bm25_topk, kw_index_topk, kw_multiplicity, kw_all_matches, kw_tombstones, kw_filtered, batch_kw_topk, vs_cosine, vs_euclidean, vs_dot, vs_distance, vs_length_mismatch, vs_normalize,
         vec_topk_cosine, vec_topk_euclidean, vec_topk_dot, vec_tombstones, vec_dim_guard, batch_vec_topk, hyb_topk, hyb_w0, hyb_w1, hyb_unclamped, pq_codebook, pq_codes, pq_topk, pq_reranked,
-        pq_reconstruction, pq_memory, ann_topk, ann_recall, ann_layers, ann_adaptive_ef,
+        pq_reconstruction, pq_memory, ann_topk, ann_scored, ann_recall, ann_layers, ann_adaptive_ef,
     )
 }
 

@@ -7,7 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.streaming.changelog import CHANGELOG, METADATA, fold, tombstones, watermark
+from tessera.sources import generations
+from tessera.streaming.changelog import CHANGELOG, METADATA, compacted, fold, schema, tombstones, watermark
 
 INGEST = f"content string, embedding array<float>, metadata {METADATA}"
 
@@ -31,21 +32,19 @@ class DocumentStore:
     def append(self, commands: DataFrame) -> None:
         """Rows of the changelog's form; columns that are lacking are null."""
         have = set(commands.columns)
-        cols = [F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in self._schema()]
-        commands.select(*cols).write.mode("append").parquet(f"{self.path}/log")
+        cols = [F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema(CHANGELOG)]
+        generations.append(commands.select(*cols), f"{self.path}/log")
 
-    def _schema(self):
-        from tessera.streaming.changelog import schema
+    def log(self) -> DataFrame:
+        return generations.current(self.spark, f"{self.path}/log", CHANGELOG)
 
-        return schema(CHANGELOG)
+    def replace(self, log: DataFrame) -> None:
+        """Another log in place of this one, from which it may be made."""
+        generations.replace(log.select(*schema(CHANGELOG).names), f"{self.path}/log")
 
-    def log(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(CHANGELOG).parquet(f"{self.path}/log")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], CHANGELOG)
+    def compact(self) -> None:
+        """The log without what is superseded."""
+        self.replace(compacted(self.log(), self.dim))
 
     def put(self, docs: DataFrame, raft_index: int, at: int, ordinal: str = "id") -> None:
         """Upserts (id, content, embedding, metadata) under one position."""
@@ -74,7 +73,7 @@ class DocumentStore:
         return ids.join(self.documents().select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
 
     def clear(self) -> None:
-        self.spark.createDataFrame([], CHANGELOG).write.mode("overwrite").parquet(f"{self.path}/log")
+        self.replace(self.spark.createDataFrame([], CHANGELOG))
 
     def applied(self) -> int:
         return watermark(self.log()).first().applied or 0

@@ -1,8 +1,8 @@
 """Index segments and their manifest.
 
 A segment is a partition ``segment_id=N`` of postings (sorted by term), lengths and columns. The manifest is a table of a
-row for each live segment and a generation; a change writes the next generation beside the last and readers take the
-highest that was committed, so that a reader never sees half a change.
+row for each live segment; a change writes its next generation beside the last and readers take the highest that was
+committed, so that a reader never sees half a change.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.index import doc_stats, postings, without
+from tessera.sources import generations
 
 META = "id bigint, min_raft_index bigint, max_raft_index bigint, doc_count bigint, live_doc_count bigint, size_bytes bigint, created_at bigint"
 
@@ -42,31 +43,40 @@ class SegmentStore:
             df = without(self.read(table, segments).drop("segment_id"), deleted)
             df.repartitionByRange(*order[:1]).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{self.path}/{table}/segment_id={into}")
 
-    def save_manifest(self, entries: DataFrame, generation: int) -> None:
-        entries.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/generation={generation}")
+    def save_manifest(self, entries: DataFrame) -> int:
+        """The next generation, which holds these entries alone."""
+        return generations.replace(entries.coalesce(1), f"{self.path}/manifest")
 
     def load_manifest(self) -> tuple[DataFrame, int]:
         """(entries, generation); nothing and 0 before the first."""
-        try:
-            m = self.spark.read.schema(META + ", generation int").parquet(f"{self.path}/manifest")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], META), 0
-        top = m.agg(F.max("generation").alias("g")).first().g or 0
-        return m.where(F.col("generation") == top).drop("generation"), top
+        return generations.current(self.spark, f"{self.path}/manifest", META), generations.committed(self.spark, f"{self.path}/manifest")
 
     def add(self, entry: DataFrame) -> int:
         """The next generation, with these entries too."""
-        now, g = self.load_manifest()
-        self.save_manifest(now.unionByName(entry.select(now.columns)), g + 1)
-        return g + 1
+        now = self.load_manifest()[0]
+        return self.save_manifest(now.unionByName(entry.select(now.columns)))
 
     def replace(self, gone: list[int], entry: DataFrame) -> int:
         """The next generation, with merged segments in place of others."""
-        now, g = self.load_manifest()
-        self.save_manifest(now.where(~F.col("id").isin(*gone)).unionByName(entry.select(now.columns)), g + 1)
-        return g + 1
+        now = self.load_manifest()[0]
+        return self.save_manifest(now.where(~F.col("id").isin(*gone)).unionByName(entry.select(now.columns)))
+
+
+def next_id(manifest: DataFrame) -> int:
+    return (manifest.agg(F.max("id").alias("m")).first().m or 0) + 1
+
+
+def to_json(manifest: DataFrame) -> DataFrame:
+    return manifest.select(F.to_json(F.struct(*manifest.columns)).alias("entry"))
+
+
+def from_json(entries: DataFrame) -> DataFrame:
+    return entries.select(F.from_json("entry", META).alias("e")).select("e.*")
+
+
+def should_flush(docs: int, size_bytes: int, max_docs: int = 50_000, max_bytes: int = 256 << 20) -> bool:
+    """Whether what was written since the last segment makes one."""
+    return docs >= max_docs or size_bytes >= max_bytes
 
 
 def totals(manifest: DataFrame) -> DataFrame:

@@ -275,3 +275,47 @@ def test_settings():
 def test_index_of_tokens(spark):
     d = spark.createDataFrame([(1, "b a b"), (2, None)], "doc_id long, text string")
     assert {r.doc_id: r.tokens for r in tokenized(d, TokenizerConfig(min_len=1)).collect()} == {1: ["b", "a", "b"], 2: []}
+
+
+def test_recorder_and_command_line(spark, tmp_path, capsys):
+    from tessera.__main__ import main
+    from tessera.plans.recorder import Recorder
+
+    r = Recorder(Engine(spark, str(tmp_path / "r"), Settings(dim=3, pq=PqConfig(m=3))))
+    r.index([{"content": c, "embedding": v} for _, c, v in CORPUS])
+    assert r.get(1) is not None
+    r.delete([1])
+    assert r.get(1) is None
+    with pytest.raises(DocumentNotFound):
+        r.update(1, content="x")
+    r.engine.refresh()
+    r.search(SearchRequest("keyword", "rust"))
+    h = r.history()
+    assert [x.ok for x in h.orderBy("op_id").collect()] == [True, True, True, True, False, True]
+    assert invariants.check_all(h).count() == 0 and invariants.completed(h).count() == 6
+    (tmp_path / "in.json").write_text('{"content": "tools for gardens", "embedding": [0, 1, 0]}\n{"content": "rust", "embedding": [1, 0, 0]}\n')
+    for args in (["index", str(tmp_path / "in.json")], ["search", "gardens"], ["compact"], ["snapshot", str(tmp_path / "s")], ["restore", str(tmp_path / "s")], ["health"]):
+        main([str(tmp_path / "c"), *args, "--dim", "3"], spark)
+    out = capsys.readouterr().out
+    assert '"score": ' in out and '"documents": 2' in out
+
+
+def test_json_arrays_and_generations(spark, tmp_path):
+    from tessera.sources import generations
+    from tessera.sources.documents import DocumentStore, read_json
+
+    (tmp_path / "a.json").write_text('[{"content": "x", "embedding": [1.0]}, {"content": "y", "metadata": {"tags": ["t"]}}]')
+    assert [(r.content, r.embedding) for r in read_json(spark, str(tmp_path / "a.json"), lines=False).collect()] == [("x", [1.0]), ("y", None)]
+    at = str(tmp_path / "g")
+    assert generations.committed(spark, at) == 0 and generations.current(spark, at, "x long").count() == 0
+    generations.append(spark.range(3).withColumnRenamed("id", "x"), at)
+    generations.append(spark.range(2).withColumnRenamed("id", "x"), at)
+    assert generations.replace(generations.current(spark, at, "x long").where("x = 0"), at) == 2
+    (tmp_path / "g" / "gen-3").mkdir()  # a job that didn't end
+    assert generations.committed(spark, at) == 2 and generations.current(spark, at, "x long").count() == 2
+    s = DocumentStore(spark, str(tmp_path / "s"))
+    assert s.applied() == 0 and s.get(1).count() == 0
+    s.tombstone([7], 3)
+    assert [r.doc_id for r in s.tombstones().collect()] == [7] and s.applied() == 3 and s.pointers().count() == 0
+    s.clear()
+    assert s.log().count() == 0
