@@ -11,18 +11,28 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, jaccard, linededup, mixing, quality, textops
 
 
+def _aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """The documents with their own columns of these names renamed, and how to name them back."""
+    taken = {c: f"__own_{c}" for c in docs.columns if c in names}
+    return docs.withColumnsRenamed(taken), {v: k for k, v in taken.items()}
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier of the labels table keeps; low quality, toxic and empty ones go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, quality.graded(labels))
-    return quality.score(_with_flag_names_free(docs), model).where("keep").select(docs.columns)
+    rows, back = _aside(docs, quality.SCORES)
+    return quality.score(rows, model).where("keep").drop(*quality.SCORES).withColumnsRenamed(back).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand earlier in the corpus; those of which nothing is left go."""
-    out = linededup.LineIndex(spark).insert(docs)
+    added = ["n_lines", "n_dropped"]
+    rows, back = _aside(docs, added)
+    out = linededup.LineIndex(spark).insert(rows)
     out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
-    return out.where((F.col("n_dropped") == 0) | (F.length(F.btrim("text", F.lit(" \t\r\n"))) > 0)).select(docs.columns)
+    out = out.where((F.col("n_dropped") == 0) | (F.length(F.btrim("text", F.lit(" \t\r\n"))) > 0))
+    return out.drop(*added).withColumnsRenamed(back).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +63,6 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _with_flag_names_free(docs: DataFrame) -> DataFrame:
-    return docs.drop(*[c for c in quality.SCORES if c in docs.columns])
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
