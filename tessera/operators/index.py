@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
 from tessera.plans.settings import TokenizerConfig
+from tessera.sources.scratch import written
 
 
 def tokenized(docs: DataFrame, cfg: TokenizerConfig | None = None, id_: str = "doc_id", text: str = "text") -> DataFrame:
@@ -93,6 +94,12 @@ class InvertedIndex:
         post, lengths = without(self.postings, tombstones), without(self.doc_stats, tombstones)
         return InvertedIndex(post, lengths, terms(post), corpus_stats(lengths))
 
+    def materialised(self) -> InvertedIndex:
+        """Postings and lengths as tables in the shared folder, so that texts are analysed once for each of them and not again
+        for what is derived."""
+        post, lengths = written(self.postings), written(self.doc_stats)
+        return InvertedIndex(post, lengths, terms(post), corpus_stats(lengths))
+
     def save(self, path: str) -> None:
         order = ["term", "doc_id"]
         self.postings.repartitionByRange("term").sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings")

@@ -34,7 +34,7 @@ def kw_bm25_topk(spark, d):
 
 def kw_index_topk(spark, d):
     """Through the index tables."""
-    return keyword.search(InvertedIndex.build(_docs(spark, d)), list(TERMS), K)
+    return keyword.search(InvertedIndex.build(_docs(spark, d)).materialised(), list(TERMS), K)
 
 
 def kw_multiplicity(spark, d):
@@ -48,7 +48,7 @@ def kw_all_matches(spark, d):
 
 def kw_tombstones(spark, d):
     gone = table(spark, d, "labels").where("toxic = 1").select("doc_id")
-    return keyword.search(InvertedIndex.build(_docs(spark, d)), list(TERMS), K, tombstones=gone)
+    return keyword.search(InvertedIndex.build(_docs(spark, d)).materialised(), list(TERMS), K, tombstones=gone)
 
 
 def kw_filtered(spark, d):
@@ -61,7 +61,7 @@ def kw_filtered(spark, d):
 def batch_kw_topk(spark, d):
     """The best documents for each item of the benchmark."""
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return keyword.batch_search(InvertedIndex.build(_docs(spark, d)), q, K)
+    return keyword.batch_search(InvertedIndex.build(_docs(spark, d)).materialised(), q, K)
 
 
 def _pairs(spark, d):
