@@ -90,7 +90,7 @@ class Engine:
     def index_frame(self, docs: DataFrame) -> int:
         """Upserts a DataFrame (id, content, embedding, metadata); returns the position."""
         self._position += 1
-        self.store.put(docs.withColumn("__o", F.lit(0)), self._position, int(time.time()), "__o")
+        self.store.put(docs, self._position, int(time.time()))
         return self._position
 
     def index_new(self, docs: DataFrame, order: str = "item_id") -> int:

@@ -46,9 +46,10 @@ class DocumentStore:
         """The log without what is superseded."""
         self.replace(compacted(self.log(), self.dim))
 
-    def put(self, docs: DataFrame, raft_index: int, at: int, ordinal: str = "id") -> None:
-        """Upserts (id, content, embedding, metadata) under one position."""
-        self.append(docs.select(F.lit(raft_index).alias("raft_index"), F.col(ordinal).cast("int").alias("ordinal"), F.lit("Index").alias("op"), F.col("id").alias("doc_id"), "content", "embedding", "metadata", F.lit(at).alias("at")))
+    def put(self, docs: DataFrame, raft_index: int, at: int) -> None:
+        """Upserts (id, content, embedding, metadata) under one position; ids are told apart by themselves."""
+        one = [F.lit(raft_index).alias("raft_index"), F.lit(0).alias("ordinal"), F.lit("Index").alias("op"), F.col("id").alias("doc_id"), F.lit(at).alias("at")]
+        self.append(docs.select(*one, "content", "embedding", "metadata"))
 
     def tombstone(self, ids: Iterable[int], raft_index: int, at: int = 0) -> None:
         rows = [(raft_index, i, "Delete", int(d), at) for i, d in enumerate(ids)]
