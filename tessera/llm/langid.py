@@ -10,8 +10,10 @@ A document gets the language of the lowest cross-entropy a character. It is reje
 its language's mean than ``false_reject`` of the labelled documents of that language are, in standard deviations of texts
 of its length; the quantile is taken over all labelled documents.
 
-The models' size is checked before they are sent to the tasks: beyond ``MAX_GRAMS`` distinct grams (16 bytes and 4 for each
-language) the least frequent are left to the shorter grams.
+The models' size is checked before they are sent to the tasks. Beyond ``MAX_GRAMS`` rows (lang, gram) the arrays are parted
+by the hash of a gram's inner symbols: whatever a look-up and its shorter grams need lies in one part, and below that in
+the bigrams, which every task holds. Tasks build the parts, with discounts counted over all of them, and take one part at a
+time for a run of documents, so every gram counts and the scores are those of the models in one piece.
 
 Defined results: texts without a letter, empty and null texts have no language (pred_lang and scores null, accepted false);
 labels that are null or empty don't train; without any label nothing is recognised; ties go to the first language in
@@ -20,15 +22,18 @@ alphabetical order; repeated rows count as often as they occur; columns with the
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import U64, Texts, category_table, chunks, hash_table, lower_table, prefix_hash, ragged, slice_hash, written
+from .textops import CHUNK_CHARS, U64, Texts, category_table, chunks, hash_table, lower_table, prefix_hash, ragged, slice_hash, written
 
 ORDER = 4
+BASE = 2  # length of the grams that every task holds
 MAX_GRAMS = 4_000_000
 FALSE_REJECT = 0.0005
 ADDED = ["pred_lang", "cross_entropy", "margin", "accepted"]
@@ -140,36 +145,57 @@ def _hash_grams(chars: np.ndarray) -> np.ndarray:
     return mix64(h)
 
 
+def _chars(gram: list[str]) -> np.ndarray:
+    """Code points, a row for each gram; all have one length."""
+    return np.frombuffer("".join(gram).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(gram), -1).astype(np.int64)
+
+
+def _discount(n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
+    """By language, from the numbers of grams counted once and twice."""
+    return np.clip(np.where(n1 + 2 * n2 > 0, n1 / np.maximum(n1 + 2 * n2, 1), 0.5), 0.05, 0.95)
+
+
+def _sums(logp: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sum by document and language, sum of squares, symbols)."""
+    total, squares = np.zeros((len(n), logp.shape[1])), np.zeros((len(n), logp.shape[1]))
+    some = np.flatnonzero(n > 0)
+    if len(some):
+        head = (np.cumsum(n) - n)[some]
+        total[some] = np.add.reduceat(logp, head, axis=0, dtype=np.float64)
+        squares[some] = np.add.reduceat(logp * logp, head, axis=0, dtype=np.float64)
+    return total, squares, n
+
+
 class Model:
-    """Interpolated Kneser-Ney over ORDER symbols for several languages, from (lang, gram, n)."""
+    """Interpolated Kneser-Ney for several languages, from (lang, gram, n) with grams of one length. With ``base``, the model of
+    the bigrams, it holds the longer grams only; then ``discounts`` by length are those of all parts."""
 
-    def __init__(self, lang: list[str], gram: list[str], n: np.ndarray):
-        self.langs = sorted(set(lang))
+    def __init__(self, lang: list[str], gram: list[str], n: np.ndarray, langs: list[str] | None = None, base: Model | None = None, discounts: dict[int, np.ndarray] | None = None):
+        self.langs = sorted(set(lang)) if langs is None else langs
         L = len(self.langs)
         where = {x: i for i, x in enumerate(self.langs)}
         of = np.fromiter((where[x] for x in lang), np.int64, len(lang))
-        chars = np.frombuffer("".join(gram).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER).astype(np.int64)
+        chars = _chars(gram)
+        top, least = chars.shape[1], 1 if base is None else BASE + 1
         rows, inv = np.unique(chars, axis=0, return_inverse=True)
         count = np.zeros((len(rows), L))
         np.add.at(count, (inv.ravel(), of), n)
         # level m: grams of m symbols; counts at the top, numbers of distinct left neighbours below
-        grams, counts = {ORDER: rows}, {ORDER: count}
-        for m in range(ORDER - 1, 0, -1):
+        grams, counts = {top: rows}, {top: count}
+        for m in range(top - 1, least - 1, -1):
             up = grams[m + 1]
             r, i = np.unique(up[:, 1:], axis=0, return_inverse=True)
             c = np.zeros((len(r), L))
             np.add.at(c, i.ravel(), (counts[m + 1] > 0).astype(float))
             grams[m], counts[m] = r, c
-        vocabulary = len(grams[1]) + 1
+        vocabulary = len(grams[1]) + 1 if base is None else 0
         self.tables: dict[int, tuple[Sorted, np.ndarray]] = {}
         self.back: dict[int, tuple[Sorted, np.ndarray]] = {}
-        lower = np.full((1, L), 1.0 / vocabulary)
+        lower = np.full((1, L), 1.0 / max(vocabulary, 1))
         prob_of: dict[bytes, int] = {}
-        for m in range(1, ORDER + 1):
+        for m in range(least, top + 1):
             g, c = grams[m], counts[m]
-            n1, n2 = (c == 1).sum(0), (c == 2).sum(0)
-            d = np.where(n1 + 2 * n2 > 0, n1 / np.maximum(n1 + 2 * n2, 1), 0.5)
-            d = np.clip(d, 0.05, 0.95)
+            d = _discount((c == 1).sum(0), (c == 2).sum(0)) if discounts is None else discounts[m]
             ctx, i = np.unique(g[:, :-1], axis=0, return_inverse=True) if m > 1 else (np.zeros((1, 0), np.int64), np.zeros(len(g), np.int64))
             i = i.ravel()
             total, kinds = np.zeros((len(ctx), L)), np.zeros((len(ctx), L))
@@ -178,6 +204,9 @@ class Model:
             gamma = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
             if m == 1:
                 below = np.repeat(lower, len(g), 0)
+            elif m == least:
+                index, exact = base.exact
+                below = exact[index.find(_hash_grams(g[:, 1:]))]
             else:
                 below = lower[np.fromiter((prob_of[x.tobytes()] for x in np.ascontiguousarray(g[:, 1:])), np.int64, len(g))]
             p = np.where(total[i] > 0, np.maximum(c - d, 0) / np.maximum(total[i], 1), 0) + gamma[i] * below
@@ -190,25 +219,23 @@ class Model:
                 h = _hash_grams(rows_)
                 order = np.argsort(h)
                 store[m if store is self.tables else m - 1] = (Sorted(h[order]), np.log(values[order]).astype(np.float32))
+                if m == top == BASE and store is self.tables:
+                    self.exact = store[m][0], values[order]
 
     def score(self, s: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sum of log probabilities by document and language, sum of their squares, symbols)."""
         start, n = ends(off)
-        L = len(self.langs)
-        prefix = prefix_hash(hash_table()[s])
-        index, table = self.tables[ORDER]
-        at = index.find(slice_hash(prefix, start, start + ORDER))
-        logp = table[np.maximum(at, 0)]
+        return _sums(self.logp(prefix_hash(hash_table()[s]), start, ORDER), n)
+
+    def logp(self, prefix: np.ndarray, start: np.ndarray, m: int) -> np.ndarray:
+        """Log probabilities of the last of m symbols after those before it, by language."""
+        index, table = self.tables[m]
+        at = index.find(slice_hash(prefix, start, start + m))
+        out = table[np.maximum(at, 0)]
         miss = np.flatnonzero(at < 0)
         if len(miss):
-            logp[miss] = self._shorter(prefix, start[miss], ORDER)
-        total, squares = np.zeros((len(n), L)), np.zeros((len(n), L))
-        some = np.flatnonzero(n > 0)
-        if len(some):
-            head = (np.cumsum(n) - n)[some]
-            total[some] = np.add.reduceat(logp, head, axis=0, dtype=np.float64)
-            squares[some] = np.add.reduceat(logp * logp, head, axis=0, dtype=np.float64)
-        return total, squares, n
+            out[miss] = self._shorter(prefix, start[miss], m)
+        return out
 
     def _shorter(self, prefix: np.ndarray, start: np.ndarray, m: int) -> np.ndarray:
         """Log probabilities where the gram of m symbols was never seen."""
@@ -217,40 +244,106 @@ class Model:
         index, gamma = self.back[m - 1]
         at = index.find(slice_hash(prefix, start, start + m - 1))
         out = np.where((at >= 0)[:, None], gamma[np.maximum(at, 0)], np.float32(0))
-        index, table = self.tables[m - 1]
-        at = index.find(slice_hash(prefix, start + 1, start + m))
-        got = table[np.maximum(at, 0)]
-        miss = np.flatnonzero(at < 0)
-        if len(miss):
-            got[miss] = self._shorter(prefix, start[miss] + 1, m - 1)
-        return out + got
+        return out + self.logp(prefix, start + 1, m - 1)
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_grams: int = MAX_GRAMS) -> Model | None:
+class Parted:
+    """The same models, the longer grams in ``n`` parts by the hash of their inner symbols; ``parts`` holds a broadcast for each
+    part that has a gram."""
+
+    def __init__(self, base: Model, parts: dict, n: int):
+        self.base, self.parts, self.n, self.langs = base, parts, n, base.langs
+
+    def part(self, k: int) -> Model:
+        shared = self.parts[k]
+        part = pickle.loads(shared.value)
+        shared.__dict__.pop("_value", None)  # one part at a time stays in memory
+        part.tables, part.back = {**self.base.tables, **part.tables}, {**self.base.back, **part.back}
+        part.root = self.base.root
+        return part
+
+    def score(self, s: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As that of Model."""
+        start, n = ends(off)
+        prefix = prefix_hash(hash_table()[s])
+        logp = np.empty((len(start), len(self.langs)), np.float32)
+        of = slice_hash(prefix, start + 1, start + ORDER - 1) % U64(self.n)
+        order = np.argsort(of, kind="stable")
+        names, first = np.unique(of[order], return_index=True)
+        for k, at in zip(names.tolist(), np.split(order, first[1:]) if len(names) else [], strict=True):
+            if k in self.parts:
+                logp[at] = self.part(k).logp(prefix, start[at], ORDER)
+            else:
+                logp[at] = self.base.logp(prefix, start[at] + ORDER - BASE, BASE)
+        return _sums(logp, n)
+
+
+def parted(counts: DataFrame, size: int, max_grams: int) -> Parted:
+    """The models of ``size`` rows of counts in parts; none of the counts comes to the driver but those of bigrams."""
+    spark = counts.sparkSession
+    level = {ORDER: counts}
+    for m in range(ORDER - 1, BASE - 1, -1):
+        level[m] = written(level[m + 1].groupBy("lang", F.substring("gram", 2, m).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+    t = level[BASE].orderBy("lang", "gram").toArrow()
+    base = Model(t.column("lang").to_pylist(), t.column("gram").to_pylist(), np.asarray(t.column("n"), float))
+    langs, discounts = base.langs, {}
+    for m in range(BASE + 1, ORDER + 1):
+        got = {r.lang: r for r in level[m].groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()}
+        discounts[m] = _discount(np.array([got[x].n1 for x in langs]), np.array([got[x].n2 for x in langs]))
+    n = -(-size * max(8, len(langs)) // max(1, max_grams))
+    shared = spark.sparkContext.broadcast(base)
+
+    def to(batches):
+        for b in batches:
+            if b.num_rows:
+                of = _hash_grams(_chars(b.column(1).to_pylist())[:, 1 : ORDER - 1]) % U64(n)
+                yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int64)), *b.columns], names=["part", "lang", "gram", "n"])
+
+    def build(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        m = Model(t.column("lang").to_pylist(), t.column("gram").to_pylist(), np.asarray(t.column("n"), float), langs, shared.value, discounts)
+        return pa.table({"part": t.column("part").slice(0, 1), "model": pa.array([pickle.dumps(m)], pa.binary())})
+
+    built = written(counts.select("lang", "gram", "n").mapInArrow(to, "part long, lang string, gram string, n long").groupBy("part").applyInArrow(build, "part long, model binary"))
+    parts = {r.part: spark.sparkContext.broadcast(bytes(r.model)) for r in built.toLocalIterator()}
+    return Parted(base, parts, n)
+
+
+def _shipped(spark: SparkSession, model: Model | Parted):
+    """A function that gives the model in a task."""
+    if isinstance(model, Parted):
+        base, parts, n = spark.sparkContext.broadcast(model.base), model.parts, model.n
+        return lambda: Parted(base.value, parts, n)
+    shared = spark.sparkContext.broadcast(model)
+    return lambda: shared.value
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_grams: int = MAX_GRAMS) -> Model | Parted | None:
     """The models of all languages that label a document; None without labels."""
     counts = written(gram_counts(docs, text, lang))
-    least, size = 1, counts.count()
-    while size > max_grams:
-        least += 1
-        size = counts.where(F.col("n") >= least).count()
-    t = counts.where(F.col("n") >= least).orderBy("lang", "gram").toArrow()
+    size = counts.count()
+    if size > max_grams:
+        return parted(counts, size, max_grams)
+    t = counts.orderBy("lang", "gram").toArrow()
     return Model(t.column("lang").to_pylist(), t.column("gram").to_pylist(), np.asarray(t.column("n"), float)) if t.num_rows else None
 
 
-def scores(docs: DataFrame, model: Model, text: str, keep: list[str], label: str | None) -> DataFrame:
+def scores(docs: DataFrame, model: Model | Parted, text: str, keep: list[str], label: str | None) -> DataFrame:
     """``keep`` columns with best, ce, margin, n and var (variance of a symbol's log probability)."""
     cols = [*keep, *([label] if label else [])]
     inside = [f"c{i}" for i in range(len(keep))] + (["label"] if label else [])
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    given = _shipped(spark, model)
+    # A run of documents long enough to be worth the loading of each part.
+    size = max(CHUNK_CHARS, (1 << 24) // len(model.langs)) if isinstance(model, Parted) else None
     kinds = [T.StructField(i, docs.schema[c].dataType) for c, i in zip(cols, inside, strict=True)]
     kinds += [T.StructField("best", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in ("ce", "margin", "var")), T.StructField("n", T.LongType())]
 
     def run(batches):
-        m = shared.value
+        m = given()
         names = pa.array(m.langs)
         for batch in batches:
-            for a, b, t in chunks(batch.column(len(inside))):
+            for a, b, t in chunks(batch.column(len(inside)), size):
                 total, squares, n = m.score(*symbols(t))
                 ce = -total / np.maximum(n, 1)[:, None]
                 rows = np.arange(len(n))

@@ -89,3 +89,15 @@ def test_edges(spark):
     none = langid.identify(df.withColumn("lang", df.lang.substr(1, 0)))
     assert none.count() == 8 and {r.pred_lang for r in none.collect()} == {None}
     assert langid.identify(df.limit(0)).count() == 0
+
+
+def test_models_in_parts(spark):
+    """Models beyond what a task holds lose nothing: a rare language stays, scores are those of the models in one piece."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", "text")
+    rare = "zorblax quimby fentwick jaxopod wuzzle"
+    docs = docs.unionByName(spark.createDataFrame([(10**9, "zz", rare), (10**9 + 1, None, "wuzzle jaxopod \u4e2d\u6587"), (10**9 + 2, None, "..."), (10**9 + 3, None, None)], docs.schema))
+    model = langid.train(docs, max_grams=2000)
+    assert "zz" in model.langs and len(model.parts) > 1
+    columns = ["doc_id", "pred_lang", "cross_entropy", "margin", "accepted"]
+    whole, got = ({r.doc_id: r for r in langid.identify(docs, keep=["doc_id", "lang"], max_grams=m).select(*columns).collect()} for m in (10**9, 2000))
+    assert whole == got and got[10**9].pred_lang == got[10**9 + 1].pred_lang == "zz"
