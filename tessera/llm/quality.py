@@ -7,8 +7,8 @@ The grades of the labels table: 0 for low quality, 1 for good but toxic text, 2
 lower-case words and of their beginnings of four to six letters (scaled by how differently good and bad documents have them), shares of word shapes and of words that repeat the one before.
 
 The model is fitted on at most ``max_train`` labelled rows, chosen by a hash of their id (a classifier may be fitted on a
-bounded sample; raise the bound for more). Only those rows' texts move, to one task; the model, whose size the bound on
-features limits, is sent to all tasks. Scoring is a single pass without a shuffle over all documents, whole texts.
+bounded sample; raise the bound for more). Only those rows' texts move, to one task; the model, whose size the
+number of hash slots limits, is sent to all tasks. Scoring is a single pass without a shuffle over all documents, whole texts.
 
 Defined results: a null text, or one without any word, has null scores and keep = false; without any labelled row scores
 are null and every text that has a word is kept; an id with several labels has the lowest quality and the highest toxic of
@@ -38,7 +38,7 @@ TABLE_CELLS = 1 << 27
 PENALTY = 3.0
 #: The least probability of the highest grade that keeps a document.
 SELECT = 0.75
-MAX_TRAIN, MIN_DF, MAX_FEATURES = 20_000, 6, 1 << 16
+MAX_TRAIN, MIN_DF = 20_000, 6
 SCORES = ["expected_grade", "p_ge_1", "p_ge_2", "keep"]
 
 _state: dict[str, np.ndarray] = {}
@@ -179,31 +179,38 @@ def train_arrays(texts, grades: np.ndarray, l2: float = PENALTY) -> dict:
         tokens.append(n)
         base += len(t)
     key = np.concatenate(lex)
+    lex.clear()
     sk, sc = np.concatenate([a for a, _ in style]), np.concatenate([b for _, b in style])
+    style.clear()
     n = np.maximum(np.concatenate(tokens), 1)
 
     def chosen(slots: np.ndarray, bits: int) -> np.ndarray:
         df = np.bincount(slots, minlength=1 << bits)
-        ok = np.flatnonzero(df >= min(MIN_DF, max(1, base // 20)))
-        if len(ok) > MAX_FEATURES:
-            ok = np.sort(ok[np.argsort(-df[ok], kind="stable")[:MAX_FEATURES]])
-        return ok
+        return np.flatnonzero(df >= min(MIN_DF, max(1, base // 20)))
 
-    lex_slots = chosen(key & ((1 << LEX_BITS) - 1), LEX_BITS)
+    # Rows and columns as 32 bits, each array filled in place: there are as many cells as words in all texts.
+    slot = (key & ((1 << LEX_BITS) - 1)).astype(np.int32)
+    lex_slots = chosen(slot, LEX_BITS)
     style_slots = chosen(sk & ((1 << STYLE_BITS) - 1), STYLE_BITS)
-    at = np.full(1 << LEX_BITS, -1)
+    at = np.full(1 << LEX_BITS, -1, np.int32)
     at[lex_slots] = np.arange(len(lex_slots))
-    c = at[key & ((1 << LEX_BITS) - 1)]
-    row, col = (key >> LEX_BITS)[c >= 0], c[c >= 0]
-    weight = log_ratios(row, col, len(lex_slots), grades)
-    val = weight[col]
-    at = np.full(1 << STYLE_BITS, -1)
+    slot = at[slot]
+    ok = slot >= 0
+    at = np.full(1 << STYLE_BITS, -1, np.int32)
     at[style_slots] = np.arange(len(style_slots)) + len(lex_slots)
     c = at[sk & ((1 << STYLE_BITS) - 1)]
-    doc = sk >> STYLE_BITS
-    row = np.concatenate((row, doc[c >= 0]))
-    col = np.concatenate((col, c[c >= 0]))
-    val = np.concatenate((val, STYLE_SCALE * (sc / n[doc])[c >= 0]))
+    few = c >= 0
+    doc = sk[few] >> STYLE_BITS
+    cells = int(ok.sum())
+    row, col = np.empty(cells + len(doc), np.int32), np.empty(cells + len(doc), np.int32)
+    col[:cells], col[cells:] = slot[ok], c[few]
+    del slot
+    key >>= LEX_BITS
+    row[:cells], row[cells:] = key[ok], doc
+    del key, ok
+    weight = log_ratios(row[:cells], col[:cells], len(lex_slots), grades)
+    val = np.empty(len(row))
+    val[:cells], val[cells:] = weight[col[:cells]], STYLE_SCALE * (sc[few] / n[doc])
     w, th = Ordinal(l2=l2).fit(len(lex_slots) + len(style_slots), row, col, val, grades)
     w[: len(lex_slots)] *= weight
     return {"lex": lex_slots, "style": style_slots, "w": w, "th": th}
@@ -261,6 +268,7 @@ def fit(docs: DataFrame, ratings: DataFrame, text: str = "text", max_train: int
         got = [b for b in batches if b.num_rows]
         if got:
             t = pa.Table.from_batches(got).sort_by("doc_id")
+            got.clear()
             model = train_arrays(t.column("t"), np.asarray(t.column("grade"), np.int64), l2)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 

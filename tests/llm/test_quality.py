@@ -58,3 +58,25 @@ def test_many_short_texts(monkeypatch):
     whole = scorer.tails(t)[0]
     monkeypatch.setattr(quality, "TABLE_CELLS", 10)
     assert np.array_equal(scorer.tails(t)[0], whole) and (whole[1::2, 1] > 0.5).all() and (whole[::2, 1] < 0.5).all()
+
+
+def test_rare_telling_word_among_many_features():
+    """More than 65,536 features more frequent than a telling word don't put it out."""
+    import pyarrow as pa
+
+    from tessera.llm.textops import chunks
+
+    rng = np.random.default_rng(3)
+    texts = [[] for _ in range(200)]
+    for i, word in enumerate("".join(map(chr, w)) for w in rng.integers(97, 123, (30_000, 8))):
+        for j in range(8):
+            texts[(i + 25 * j) % 200].append(word)
+    grades = np.full(200, 2)
+    for i in range(0, 180, 30):
+        texts[i].append("vilest")
+        grades[i] = 1
+    model = quality.train_arrays(pa.array([" ".join(x) for x in texts]), grades)
+    assert len(model["lex"]) > 1 << 16
+    assert set(quality.features(next(chunks(pa.array(["vilest"])))[2])[1]) <= set(model["lex"])
+    plain, toxic = quality.Scorer(model).tails(next(chunks(pa.array(["some words", "some vilest words"])))[2])[0][:, 1]
+    assert toxic < plain - 0.001
