@@ -293,8 +293,11 @@ def _top(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: int, k: int) -> tup
 
 def search_leaves(tree: Tree, members: dict[int, np.ndarray], ids: np.ndarray, x: np.ndarray, own: np.ndarray, y: np.ndarray, leaves: int, k: int, block: int = 1024):
     """(query, id, squared distance) of the k nearest rows in the leaves that each query visits. Queries are taken leaf by
-    leaf, so that a leaf's distances are one product of matrices; a few more than k are kept for the exact distances."""
+    leaf, so that a leaf's distances are one product of matrices; a few more than k are kept for the exact distances. Where the last of these
+    lies within the rounding of the k-th, as among copies, all rows of the query's leaves are taken exactly."""
     keep, out, front = k + 6, [], Frontier(tree)
+    # Of float32 distances by |a|^2 - 2ab + |b|^2: a rounding for each term of the sums, over (|a| + |b|)^2.
+    slack, far = 2 * (x.shape[1] + 8) * float(np.finfo(np.float32).eps), np.sqrt((x.astype(np.float64) ** 2).sum(1).max(initial=0))
     for at in range(0, len(y), block):
         q, o = y[at : at + block], own[at : at + block]
         seen = front.visits(q, leaves)
@@ -320,6 +323,11 @@ def search_leaves(tree: Tree, members: dict[int, np.ndarray], ids: np.ndarray, x
         names = ids[row]
         order = np.lexsort((names, exact), axis=1)[:, :k]
         exact, names = np.take_along_axis(exact, order, 1), np.take_along_axis(names, order, 1)
+        # Whatever was left out has a float32 distance of at least the greatest kept: by more than the rounding above the k-th?
+        bound = slack * (far + np.sqrt((q.astype(np.float64) ** 2).sum(1))) ** 2
+        for i in np.flatnonzero(~np.isinf(best).any(1) & (best.max(1) - bound <= exact[:, -1])).tolist():
+            r = np.concatenate([members[leaf] for leaf in seen[i].tolist() if leaf >= 0])
+            names[i], exact[i] = _top(q[i], x[r], ids[r], o[i], k)
         ok = np.isfinite(exact)
         out.append((np.repeat(o, ok.sum(1)), names[ok], exact[ok]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))

@@ -54,3 +54,17 @@ def test_edges(spark):
     assert ann.neighbours(same, k=3, shard_rows=50).count() == 900
     cos = ann.neighbours(spark.createDataFrame([(1, [1.0, 0.0]), (2, [5.0, 0.1]), (3, [0.0, 0.0])], "vec_id long, embedding array<float>"), k=1, metric="cosine").collect()
     assert {(r.id, r.neighbour) for r in cos} >= {(1, 2), (2, 1)} and next(r.distance for r in cos if r.id == 3) == 0.5
+
+
+def test_copies_rank_by_id():
+    """More equal or nearly equal vectors than are kept by float32 distance, in several leaves."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(4, 16)) * 30
+    x = np.concatenate((np.repeat(base[:1], 2000, 0), np.repeat(base[1:2], 300, 0) + 1e-5 * rng.normal(size=(300, 16)), base[2] + rng.normal(size=(700, 16)))).astype(np.float32)
+    ids = np.arange(len(x))
+    tree, members = ann.local_tree(x, 7)
+    asked = np.concatenate((np.arange(0, 2000, 400), np.arange(2000, 2300, 40), np.arange(2300, 3000, 100)))
+    query, got, d = ann.search_leaves(tree, members, ids, x, asked, x[asked], len(tree.leaves()), 10)
+    for i in asked.tolist():
+        truth = ann._top(x[i], x, ids, i, 10)
+        assert got[query == i].tolist() == truth[0].tolist() and np.array_equal(d[query == i], truth[1])
