@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from tessera.operators import columns as col
 from tessera.operators.filters import Filter, apply_filters
+from tessera.plans import commands as commands_of
 from tessera.queries.common import table
 from tessera.sources import documents as store
 from tessera.sources import snapshot
 from tessera.sources.scratch import shared_folder, written
 from tessera.streaming import changelog as log
-from tessera.streaming.stream import ChangelogView
+from tessera.streaming.stream import ChangelogView, read_changelog
 
 DAY = 86400
 
@@ -195,10 +196,28 @@ def src_json_files(spark, d):
 
 
 def src_checksums(spark, d):
-    """CRC32 of all texts; none differs from what is recorded."""
-    docs = table(spark, d, "documents")
-    bad = store.verify(docs, store.checksums(docs, "doc_id", "text"), "doc_id", "text")
-    return bad.agg(F.count(F.lit(1)).alias("damaged"))
+    """Recorded lengths and CRC32 of all texts held against texts of which some (the toxic ones) were changed since in one letter."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    bad = table(spark, d, "labels").where("toxic = 1").select("doc_id", F.lit(True).alias("bad")).distinct()
+    path = shared_folder(spark)
+    store.checksums(docs, "doc_id", "text").write.parquet(path)
+    now = docs.join(bad, "doc_id", "left").withColumn("text", F.when(F.col("bad"), F.concat(F.lit("#"), F.substring("text", 2, 1 << 30))).otherwise(F.col("text")))
+    return store.verify(now, spark.read.parquet(path), "doc_id", "text").select("doc_id", "bytes", "bytes_now")
+
+
+def src_exists(spark, d):
+    """Which customers were ever indexed as documents, deleted or not, and which are live."""
+    s = store.DocumentStore(spark, shared_folder(spark), 1)
+    s.append(_log(spark, d))
+    ids = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"))
+    return s.exists(ids).join(s.live(ids).withColumn("live", F.lit(True)), "doc_id", "left").select("doc_id", F.coalesce("live", F.lit(False)).alias("live"))
+
+
+def cmd_names(spark, d):
+    """Commands by their name, and whether they change documents."""
+    op = F.element_at(F.create_map(*(F.lit(x) for kv in OPS.items() for x in kv)), F.col("event_type"))
+    n = table(spark, d, "events").select(commands_of.name_of(F.coalesce(op, F.lit(""))).alias("name"))
+    return n.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.bool_or(commands_of.modifies(F.col("name"))).alias("modifies"))
 
 
 def snp_roundtrip(spark, d):
@@ -208,8 +227,7 @@ def snp_roundtrip(spark, d):
 
 
 def snp_size(spark, d):
-    docs = _meta(spark, d).withColumn("metadata", F.lit(None).cast(log.METADATA))
-    return snapshot.estimated_size(docs)
+    return snapshot.estimated_size(_meta(spark, d))
 
 
 def _stream(spark, d):
@@ -226,19 +244,21 @@ def str_changelog(spark, d):
 
 
 def str_compacted(spark, d):
-    """The same after its deltas were compacted."""
-    events = _stream(spark, d)
-    view = ChangelogView(spark, shared_folder(spark), 1)
-    view.start(commands(events)).awaitTermination()
-    return _shown(view.compact(shared_folder(spark)).documents())
+    """A view that was compacted, and in which the stream then went on with the later commands."""
+    view, half = ChangelogView(spark, shared_folder(spark), 1), table(spark, d, "events").agg(F.max("event_id")).first()[0] // 2
+    for late in (False, True):
+        path = shared_folder(spark)
+        rows = _log(spark, d).where((F.col("raft_index") > half) == late)
+        rows.repartitionByRange(3, "raft_index").write.parquet(path)
+        view = view.compact(shared_folder(spark)) if late else view
+        view.start(read_changelog(spark, path, 1)).awaitTermination()
+    return _shown(view.documents())
 
 
 def str_micro_batches(spark, d):
     """The commands as eight files, one a micro-batch."""
     path = shared_folder(spark)
     _log(spark, d).repartitionByRange(8, "raft_index").write.parquet(path)
-    from tessera.streaming.stream import read_changelog
-
     view = ChangelogView(spark, shared_folder(spark), 1)
     view.start(read_changelog(spark, path, 1)).awaitTermination()
     return _shown(view.documents())
@@ -252,7 +272,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         flt_tag, flt_source, flt_date_range, flt_custom, flt_and, flt_none, col_range, col_equals, col_true, col_false, col_null, col_keyword, col_unique_keywords, col_bitmap, col_pivot,
-        cmd_latest, cmd_tombstones, cmd_refused, cmd_compacted, cmd_get, cmd_total, cmd_metadata_index, cmd_next_ids, src_full_scan, src_store, src_json, src_json_files, src_checksums,
+        cmd_latest, cmd_tombstones, cmd_refused, cmd_compacted, cmd_get, cmd_total, cmd_metadata_index, cmd_next_ids, cmd_names, src_exists, src_full_scan, src_store, src_json, src_json_files, src_checksums,
         snp_roundtrip, snp_size, str_changelog, str_compacted, str_micro_batches, str_watermark,
     )
 }
@@ -292,7 +312,9 @@ ORACLES = {
     "src_full_scan": "SELECT user_id AS doc_id, max(event_id) AS raft_index FROM events WHERE event_type = 'signup' GROUP BY 1",
     "src_json": JSON,
     "src_json_files": JSON,
-    "src_checksums": "SELECT 0::BIGINT AS damaged",
-    "snp_size": "SELECT count(*) AS docs, sum(strlen(text) + 24)::BIGINT AS bytes FROM documents",
+    "src_checksums": "SELECT DISTINCT doc_id, strlen(text) AS bytes, strlen('#' || substr(text, 2)) AS bytes_now FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND text IS NOT NULL AND text <> '#' || substr(text, 2)",
+    "src_exists": f"WITH {EV}, x AS (SELECT DISTINCT user_id AS doc_id FROM events WHERE event_type = 'signup') SELECT c_custkey AS doc_id, c_custkey IN (SELECT d FROM f WHERE first_op = 'Index') AS live FROM customer WHERE c_custkey IN (SELECT doc_id FROM x)",
+    "cmd_names": "SELECT CASE event_type WHEN 'signup' THEN 'IndexDocument' WHEN 'purchase' THEN 'UpdateDocument' WHEN 'error' THEN 'DeleteDocument' END AS name, count(*) AS n, bool_or(event_type IN ('signup', 'purchase', 'error')) AS modifies FROM events GROUP BY 1",
+    "snp_size": """SELECT count(*) AS docs, sum(strlen(text) + 24 + strlen('{"source":"' || source || '","tags":["' || lang || '","' || source || '"],"custom":{"lang":"' || lang || '"}}'))::BIGINT AS bytes FROM documents""",
     "str_watermark": "SELECT max(event_id) AS applied FROM events WHERE event_type IN ('signup', 'purchase', 'error')",
 }

@@ -70,6 +70,10 @@ class DocumentStore:
         return fold(self.log().where(F.col("doc_id") == doc_id), self.dim)
 
     def exists(self, ids: DataFrame) -> DataFrame:
+        """Those of the ids that were ever indexed, whether they are live or not."""
+        return ids.join(self.pointers().select("doc_id"), "doc_id", "left_semi")
+
+    def live(self, ids: DataFrame) -> DataFrame:
         """Those of the ids that are live."""
         return ids.join(self.documents().select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
 

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new name in the folder that the cluster shares (``spark.checkpoint.dir``); where none is set, as in tests, a
-    temporary folder is set."""
+    """A new name in the folder that the cluster shares (``spark.checkpoint.dir``); where none is set, a local master,
+    as in tests, gets a folder that goes with the process, and a cluster an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if at is None:
-        import tempfile
-
-        at = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that the cluster shares")
+        own = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = f"file://{own}"
         spark.sparkContext.setCheckpointDir(at)
     return f"{at}/{uuid.uuid4().hex}"
 

@@ -21,6 +21,8 @@ METADATA = "struct<title:string,source:string,tags:array<string>,custom:map<stri
 CHANGELOG = f"raft_index bigint, ordinal int, op string, doc_id bigint, content string, embedding array<float>, metadata {METADATA}, at bigint"
 DOCUMENT = f"id bigint, content string, embedding array<float>, metadata {METADATA}, created_at bigint, updated_at bigint"
 FIELDS = ("content", "embedding", "metadata")
+#: New documents that one task numbers, about.
+BUCKET_ROWS = 1 << 17
 
 
 def schema(ddl: str) -> T.StructType:
@@ -94,9 +96,10 @@ def watermark(log: DataFrame) -> DataFrame:
 
 def next_ids(current: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
     """``new`` with ids that go on without gaps after the highest of ``current``. Rows are numbered by a count of each hash
-    bucket and a number within it, so that no task sees them all."""
+    bucket and a number within it, so that no task sees them all; there are as many buckets as the rows take."""
     top = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    b = new.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(256)))
+    buckets = max(1, -(-new.count() // BUCKET_ROWS))
+    b = new.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     size = b.groupBy("__b").count()
     before = size.select("__b", (F.sum("count").over(Window.orderBy("__b")) - F.col("count")).alias("before"))
     n = b.withColumn("__n", F.row_number().over(Window.partitionBy("__b").orderBy(*order)))

@@ -2,7 +2,8 @@
 
 Each micro-batch is compacted to a few rows a document and written as its own delta, named by the batch, so that a
 batch that is repeated after a failure overwrites what it wrote and nothing else. The cost of a batch follows the batch, not the
-state. Reading folds all deltas; ``compact`` merges them. Progress is the highest position of the committed deltas.
+state. Reading folds the base and all deltas; ``compact`` merges them to a base, a folder of its own that no batch of a later
+stream is named like. Progress is the highest position of what is committed.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.settings import IndexNotReady
+from tessera.sources import generations
 from tessera.streaming.changelog import CHANGELOG, compacted, fold, schema, tombstones, watermark
 
 
@@ -35,13 +37,14 @@ class ChangelogView:
         return stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{self.path}/progress").trigger(**(trigger or {"availableNow": True})).start()
 
     def deltas(self) -> DataFrame:
-        """All committed rows; none before the first batch."""
+        """All committed rows, those of the base too; none before the first batch."""
+        base = generations.current(self.spark, f"{self.path}/base", CHANGELOG)
         try:
-            return self.spark.read.schema(CHANGELOG + ", batch int").parquet(f"{self.path}/deltas").drop("batch")
+            return base.unionByName(self.spark.read.schema(CHANGELOG + ", batch int").parquet(f"{self.path}/deltas").drop("batch"))
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], CHANGELOG)
+            return base
 
     def documents(self) -> DataFrame:
         return fold(self.deltas().where("op <> 'Mark'"), self.dim)
@@ -54,10 +57,11 @@ class ChangelogView:
         return watermark(self.deltas()).first().applied or 0
 
     def compact(self, to: str) -> ChangelogView:
-        """The same view in another folder, as one delta."""
+        """The same view in another folder, as its base. Streams go on in either: what they bring is folded with the base, also where
+        they bring a part of it again."""
         rows = self.deltas()
         mark = rows.where("op = 'Mark'").orderBy(F.desc("raft_index")).limit(1)
-        compacted(rows.where("op <> 'Mark'"), self.dim).select(*mark.columns).unionByName(mark).write.mode("overwrite").parquet(f"{to}/deltas/batch=0")
+        generations.replace(compacted(rows.where("op <> 'Mark'"), self.dim).select(*mark.columns).unionByName(mark), f"{to}/base")
         return ChangelogView(self.spark, to, self.dim)
 
     def wait_for(self, position: int, timeout: float, poll: float = 0.1) -> int:
