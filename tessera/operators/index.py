@@ -1,6 +1,6 @@
 """The inverted index as tables.
 
-``postings (term, doc_id, tf[, positions])``, ``doc_stats (doc_id, doc_len)``, ``terms (term, df, total_tf)`` and one row of
+``postings (term, doc_id, tf, doc_len[, positions])``, ``doc_stats (doc_id, doc_len)``, ``terms (term, df, total_tf)`` and one row of
 ``stats (n, total_len, avgdl)``. Saved postings and terms are sorted by term, so that a look-up of a few terms reads only
 the row groups that hold them.
 """
@@ -22,12 +22,17 @@ def tokenized(docs: DataFrame, cfg: TokenizerConfig | None = None, id_: str = "d
     return docs.select(F.col(id_).alias("doc_id"), tokens(F.col(text), cfg).alias("tokens"))
 
 
-def postings(tok: DataFrame, positions: bool = False) -> DataFrame:
-    """One row for each term of each document; positions count from 0."""
+def postings(tok: DataFrame, positions: bool = False, lengths: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each term of each document; positions count from 0. With ``lengths`` the document's length stands in each row, so
+    that scores need no join; ``by`` names further columns of ``tok`` that go with a document."""
+    more = [F.count(F.lit(1)).alias("tf")]
+    if lengths:
+        more.append(F.max("doc_len").alias("doc_len"))
     if positions:
-        each = tok.select("doc_id", F.posexplode("tokens").alias("pos", "term"))
-        return each.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return tok.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+        more.append(F.sort_array(F.collect_list("pos")).alias("positions"))
+    term = F.posexplode("tokens").alias("pos", "term") if positions else F.explode("tokens").alias("term")
+    length = [F.size("tokens").cast("long").alias("doc_len")] if lengths else []
+    return tok.select("doc_id", *by, *length, term).groupBy("term", "doc_id", *by).agg(*more)
 
 
 def doc_stats(tok: DataFrame) -> DataFrame:
@@ -55,6 +60,11 @@ def merged_stats(parts: DataFrame) -> DataFrame:
     return s.withColumn("avgdl", F.when(F.col("n") > 0, F.col("total_len") / F.col("n")).otherwise(F.lit(0.0)))
 
 
+def term_id(term: Column) -> Column:
+    """A 64-bit hash that stands for a term."""
+    return F.xxhash64(term)
+
+
 def prefix(dictionary: DataFrame, start: str) -> DataFrame:
     """Terms that begin with ``start``, in order; the filter reaches the scan."""
     return dictionary.where(F.col("term").startswith(start)).orderBy("term")
@@ -84,7 +94,7 @@ class InvertedIndex:
     @staticmethod
     def build(docs: DataFrame, cfg: TokenizerConfig | None = None, id_: str = "doc_id", text: str = "text", positions: bool = False) -> InvertedIndex:
         tok = tokenized(docs, cfg, id_, text)
-        post, lengths = postings(tok, positions), doc_stats(tok)
+        post, lengths = postings(tok, positions, lengths=True), doc_stats(tok)
         return InvertedIndex(post, lengths, terms(post), corpus_stats(lengths))
 
     def live(self, tombstones: DataFrame | None) -> InvertedIndex:
@@ -94,6 +104,12 @@ class InvertedIndex:
         post, lengths = without(self.postings, tombstones), without(self.doc_stats, tombstones)
         return InvertedIndex(post, lengths, terms(post), corpus_stats(lengths))
 
+    def with_delta(self, delta: InvertedIndex, touched: DataFrame) -> InvertedIndex:
+        """This index with some documents (``touched``: doc_id) replaced by those of a small one that isn't saved yet, or gone."""
+        post = without(self.postings, touched).unionByName(delta.postings)
+        lengths = without(self.doc_stats, touched).unionByName(delta.doc_stats)
+        return InvertedIndex(post, lengths, terms(post), corpus_stats(lengths))
+
     def materialised(self) -> InvertedIndex:
         """Postings and lengths as tables in the shared folder, so that texts are analysed once for each of them and not again
         for what is derived."""

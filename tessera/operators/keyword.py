@@ -7,6 +7,7 @@ before they are ranked, so that ranks don't depend on the order of summation.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,12 @@ from tessera.functions.text import analyse, tokens
 from tessera.operators.index import InvertedIndex
 from tessera.operators.topk import top, top_by
 from tessera.plans.settings import Bm25Params, TokenizerConfig
+from tessera.sources.scratch import written
 
 DIGITS = 6
 RESULT = "doc_id long, score double"
+#: (query, term) rows that are sent to all tasks at once; documents of a block that has one bound, blocks that are scored first.
+QUERY_ROWS, BLOCK, FIRST_BLOCKS = 1 << 18, 4096, 4
 
 
 def _none(spark: SparkSession) -> DataFrame:
@@ -27,13 +31,20 @@ def _none(spark: SparkSession) -> DataFrame:
 
 def scores(index: InvertedIndex, query: list[str], params: Bm25Params | None = None) -> DataFrame:
     """(doc_id, score) of all matches. Only the query's terms are read from postings and dictionary."""
+    return _scored(index, query, params).groupBy("doc_id").agg(F.round(F.sum("one"), DIGITS).alias("score"))
+
+
+def _scored(index: InvertedIndex, query: list[str], params: Bm25Params | None) -> DataFrame:
+    """(term, doc_id, tf, one): what each posting of the query's terms scores."""
     weights = Counter(query)
     some = F.col("term").isin(*weights)
     w = F.create_map(*(x for t, n in weights.items() for x in (F.lit(t), F.lit(n))))
-    hits = index.postings.where(some).select("term", "doc_id", "tf")
-    j = hits.join(index.terms.where(some).select("term", "df"), "term").join(index.doc_stats, "doc_id").crossJoin(F.broadcast(index.stats.select("n", "avgdl")))
+    hits = index.postings.where(some).select("term", "doc_id", "tf", "doc_len")
+    # as many rows as the query has terms
+    df = F.broadcast(index.terms.where(some).select("term", "df"))
+    j = hits.join(df, "term").crossJoin(F.broadcast(index.stats.select("n", "avgdl")))
     one = bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("doc_len"), F.col("avgdl"), params) * F.element_at(w, F.col("term"))
-    return j.groupBy("doc_id").agg(F.round(F.sum(one), DIGITS).alias("score"))
+    return j.select("term", "doc_id", "tf", one.alias("one"))
 
 
 def search(index: InvertedIndex, query: list[str], k: int = 10, params: Bm25Params | None = None, tombstones: DataFrame | None = None) -> DataFrame:
@@ -73,15 +84,47 @@ def scan_search(docs: DataFrame, query: str, k: int = 10, params: Bm25Params | N
 
 
 def batch_search(index: InvertedIndex, queries: DataFrame, k: int = 10, params: Bm25Params | None = None, cfg: TokenizerConfig | None = None, qid: str = "qid", text: str = "query") -> DataFrame:
-    """(qid, doc_id, score, rank): the k best documents for each of many queries in one plan. A term's weight, which depends
-    on no document, is joined to the queries before the postings are."""
+    """(qid, doc_id, score, rank): the k best documents for each of many queries in one plan.
+
+    A term's weight, which depends on no document, is joined to the queries first. Postings of the queries' terms alone are brought
+    together by document, once; then a document meets all queries in its task, so that its scores are summed up and the k
+    best of the task are chosen there, and only those move to their query. A common term is no hot key in it. Queries are broadcast
+    up to ``QUERY_ROWS`` (query, term) rows; beyond that blocks of them are taken in turn."""
     q = queries.select(F.col(qid).alias("qid"), F.explode(tokens(F.col(text), cfg)).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("w"))
     one_row = F.broadcast(index.stats.select("n", "avgdl"))
     q = q.join(index.terms.select("term", "df"), "term").crossJoin(one_row)
     p = params or Bm25Params()
-    q = q.select("qid", "term", "avgdl", (F.col("w") * idf(F.col("df"), F.col("n"))).alias("w"))
-    hits = index.postings.select("term", "doc_id", "tf").join(index.doc_stats, "doc_id")
+    q = written(q.select("qid", "term", "avgdl", (F.col("w") * idf(F.col("df"), F.col("n"))).alias("w")))
+    blocks = max(1, -(-q.count() // QUERY_ROWS))
     norm = 1 - p.b + p.b * F.col("doc_len") / F.col("avgdl")
     one = F.col("w") * (F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * norm) + p.delta)
-    found = hits.join(q, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(one), DIGITS).alias("score"))
-    return top_by(found, "qid", k)
+    best = []
+    for i in range(blocks):
+        some = F.broadcast(q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i))
+        hits = index.postings.join(some.select("term").distinct(), "term", "left_semi").select("term", "doc_id", "tf", "doc_len").repartition("doc_id")
+        scored = hits.join(some, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(one), DIGITS).alias("score"))
+        best.append(top_by(scored, "qid", k))
+    return reduce(DataFrame.unionByName, best)
+
+
+def bounds(index: InvertedIndex, query: list[str], params: Bm25Params | None = None, block: int = BLOCK) -> DataFrame:
+    """(term, block, first_doc, last_doc, n, max_tf, max_score): for each query term and block of document ids the most that a
+    posting of it scores. Blocks are aggregated before they move."""
+    return _scored(index, query, params).withColumn("block", F.floor(F.col("doc_id") / block)).groupBy("term", "block").agg(
+        F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.round(F.max("one"), DIGITS).alias("max_score")
+    )
+
+
+def bounded_search(index: InvertedIndex, query: list[str], k: int = 10, params: Bm25Params | None = None, block: int = BLOCK) -> DataFrame:
+    """As ``search``, by blocks: those of the greatest upper bounds are scored first, and of the others only those whose bound
+    reaches the k-th score found. Pays where few blocks can hold the best."""
+    if not query or k <= 0:
+        return _none(index.postings.sparkSession)
+    upper = written(bounds(index, query, params, block).groupBy("block").agg(F.sum("max_score").alias("upper")))
+    first = [r.block for r in top(upper, FIRST_BLOCKS, "upper", "block").collect()]
+    rows = _scored(index, query, params).withColumn("block", F.floor(F.col("doc_id") / block))
+    start = top(rows.where(F.col("block").isin(first)).groupBy("doc_id").agg(F.round(F.sum("one"), DIGITS).alias("score")), k).collect()
+    least = start[-1].score if len(start) == k else 0.0
+    # a sum of rounded parts may lie below the rounded sum by this much
+    open_ = upper.where(F.col("upper") + len(set(query)) * 10.0**-DIGITS >= least).select("block")
+    return top(rows.join(open_, "block", "left_semi").groupBy("doc_id").agg(F.round(F.sum("one"), DIGITS).alias("score")), k)

@@ -59,11 +59,15 @@ def man_json(spark, d):
 
 
 def man_generations(spark, d):
-    """A manifest that was saved, added to and replaced in part."""
+    """A manifest that was saved, added to, and in which one segment took the place of two."""
     s, m = SegmentStore(spark, shared_folder(spark)), _manifest(spark, d)
-    s.save_manifest(m.where("id BETWEEN 1 AND 5"))
-    s.add(m.where("id = 6"))
-    g = s.replace([1, 2], m.where("id = 7"))
+    s.save_manifest(m.where("id > 3"))
+    s.add(m.where("id <= 3"))
+    one = m.where("id BETWEEN 1 AND 2").agg(
+        (F.max("id") * 0 - 1).alias("id"), F.min("min_raft_index").alias("min_raft_index"), F.max("max_raft_index").alias("max_raft_index"), F.sum("doc_count").alias("doc_count"),
+        F.sum("live_doc_count").alias("live_doc_count"), F.sum("size_bytes").alias("size_bytes"), F.max("created_at").alias("created_at"),
+    )
+    g = s.replace([1, 2], one)
     return s.load_manifest()[0].select("id", "doc_count").withColumn("generation", F.lit(g))
 
 
@@ -79,15 +83,28 @@ def seg_stats(spark, d):
 
 
 def mrg_compact(spark, d):
-    """Terms of three segments merged into one without what is deleted."""
+    """Terms of all segments merged into one without what is deleted."""
     s = _segments(spark, d)
-    s.merge([0, 1, 2], 100, table(spark, d, "labels").where("toxic = 1").select("doc_id"))
-    return s.read("postings", [100]).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
+    s.merge(list(range(12)), 100, table(spark, d, "labels").where("toxic = 1").select("doc_id"))
+    return s.read("terms", [100]).select("term", "df", "total_tf")
 
 
 def enc_roundtrip(spark, d):
-    """Postings of one segment with what they hold, written and read."""
-    return _segments(spark, d).read("postings", [3]).select("term", "doc_id", "tf")
+    """Postings of all segments with what they hold, written and read."""
+    return _segments(spark, d).read("postings").select("segment_id", "term", "doc_id", "tf", "doc_len").withColumn("segment_id", F.col("segment_id").cast("long"))
+
+
+def seg_flush(spark, d):
+    """Rows of the six tables of a segment that was flushed and from which documents were deleted, and of its manifest entry."""
+    s = SegmentStore(spark, shared_folder(spark))
+    docs = table(spark, d, "documents").withColumn("raft_index", F.col("doc_id") + 1)
+    s.flush(docs, columns=["lang", "source", "n_chars"], force=True)
+    s.delete(table(spark, d, "labels").where("toxic = 1").select("doc_id"))
+    entry = s.load_manifest()[0].select(F.posexplode(F.array("min_raft_index", "max_raft_index", "doc_count", "live_doc_count", "size_bytes")).alias("at", "rows"))
+    entry = entry.select(F.element_at(F.array(*map(F.lit, ("first position", "last position", "documents", "live documents", "bytes"))), F.col("at") + 1).alias("what"), "rows")
+    for name, t in [*((n, s.read(n)) for n in ("postings", "terms", "lengths", "stats", "columns")), ("deletions", s.deleted())]:
+        entry = entry.unionByName(t.agg(F.lit(name).alias("what"), F.count(F.lit(1)).alias("rows")))
+    return entry
 
 
 TYPES = {"signup": "Index", "error": "Delete", "view": "Get", "click": "Search", "purchase": "Update"}
@@ -158,7 +175,7 @@ def inv_json(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        mrg_candidates, mrg_by_deletes, mrg_tiers, mrg_benefit, man_json, man_totals, man_delete_ratio, man_generations, seg_stats, mrg_compact, enc_roundtrip, inv_indexed_retrievable, inv_deleted_not_retrievable,
+        mrg_candidates, mrg_by_deletes, mrg_tiers, mrg_benefit, man_json, man_totals, man_delete_ratio, man_generations, seg_stats, seg_flush, mrg_compact, enc_roundtrip, inv_indexed_retrievable, inv_deleted_not_retrievable,
         inv_monotonic_reads, inv_unique_ids, inv_search_reflects_index, inv_raft_ordering, inv_all, inv_durations, inv_pending, inv_time_range, inv_json,
     )
 }
@@ -192,10 +209,14 @@ ORACLES = {
     "man_json": f"WITH {MAN} SELECT id, n AS doc_count, live AS live_doc_count, bytes AS size_bytes FROM m",
     "man_totals": f"WITH {MAN} SELECT count(*) AS segments, sum(n)::BIGINT AS docs, sum(live)::BIGINT AS live_docs, sum(bytes)::BIGINT AS bytes, max(hi) AS applied FROM m",
     "man_delete_ratio": f"WITH {MAN} SELECT id, round(ratio, 6) AS ratio FROM r",
-    "man_generations": f"WITH {MAN} SELECT id, n AS doc_count, 3 AS generation FROM m WHERE id BETWEEN 3 AND 7",
+    "man_generations": f"WITH {MAN} SELECT id, n AS doc_count, 3 AS generation FROM m WHERE id NOT IN (1, 2) UNION ALL SELECT -1, sum(n)::BIGINT, 3 FROM m WHERE id IN (1, 2)",
+    "seg_flush": f"""WITH {TOK}, p AS (SELECT doc_id, term FROM (SELECT doc_id, unnest(tokens) AS term FROM tok) GROUP BY ALL), x AS (SELECT DISTINCT doc_id FROM labels JOIN documents USING (doc_id) WHERE toxic = 1)
+      SELECT 'postings' AS what, count(*) AS rows FROM p UNION ALL SELECT 'terms', count(DISTINCT term) FROM p UNION ALL SELECT 'lengths', count(*) FROM documents UNION ALL SELECT 'stats', 1 UNION ALL SELECT 'columns', count(*) FROM documents
+      UNION ALL SELECT 'deletions', count(*) FROM x UNION ALL SELECT 'first position', min(doc_id) + 1 FROM documents UNION ALL SELECT 'last position', max(doc_id) + 1 FROM documents UNION ALL SELECT 'documents', count(*) FROM documents
+      UNION ALL SELECT 'live documents', (SELECT count(*) FROM documents) - (SELECT count(*) FROM x) UNION ALL SELECT 'bytes', sum(strlen(coalesce(text, '')))::BIGINT FROM documents""",
     "seg_stats": f"WITH {TOK} SELECT doc_id % 12 AS segment_id, count(*) AS n, sum(len(tokens))::BIGINT AS total_len FROM tok GROUP BY 1",
-    "mrg_compact": f"WITH {TOK} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS total_tf FROM (SELECT doc_id, unnest(tokens) AS term FROM tok WHERE doc_id % 12 < 3 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) GROUP BY term",
-    "enc_roundtrip": f"WITH {TOK} SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM tok WHERE doc_id % 12 = 3) GROUP BY ALL",
+    "mrg_compact": f"WITH {TOK} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS total_tf FROM (SELECT doc_id, unnest(tokens) AS term FROM tok WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) GROUP BY term",
+    "enc_roundtrip": f"WITH {TOK} SELECT doc_id % 12 AS segment_id, term, doc_id, count(*) AS tf, doc_len FROM (SELECT doc_id, unnest(tokens) AS term, len(tokens) AS doc_len FROM tok) GROUP BY ALL",
     "inv_indexed_retrievable": f"WITH {H} {INV1.format(found='found AND u % 3 = 0')}",
     "inv_deleted_not_retrievable": f"WITH {H} {INV2}",
     "inv_monotonic_reads": f"WITH {H} {INV3}",

@@ -11,6 +11,16 @@ from tessera.plans.settings import TokenizerConfig
 from tessera.queries.common import POST, TERMS, TOK, table
 
 STOP = default_stopwords()
+#: From the published sample of the English (Porter2) stemmer.
+KNOWN = dict(x.split(":") for x in (
+    "consign:consign consigned:consign consigning:consign consignment:consign consist:consist consisted:consist consistency:consist consistent:consist consistently:consist consisting:consist "
+    "consists:consist consolation:consol consolations:consol consolatory:consolatori console:consol consoled:consol consoles:consol consolidate:consolid consolidated:consolid "
+    "consolidating:consolid consoling:consol consolingly:consol consols:consol consonant:conson consort:consort consorted:consort consorting:consort conspicuous:conspicu "
+    "conspicuously:conspicu conspiracy:conspiraci conspirator:conspir conspirators:conspir conspire:conspir conspired:conspir conspiring:conspir constable:constabl constables:constabl "
+    "constance:constanc constancy:constanc constant:constant knack:knack knackeries:knackeri knacks:knack knag:knag knave:knave knaves:knave knavish:knavish kneaded:knead kneading:knead "
+    "knee:knee kneel:kneel kneeled:kneel kneeling:kneel kneels:kneel knees:knee knell:knell knelt:knelt knew:knew knick:knick knif:knif knife:knife knight:knight knightly:knight "
+    "knights:knight knit:knit knits:knit knitted:knit knitting:knit knives:knive knob:knob knobs:knob knock:knock knocked:knock knocker:knocker knockers:knocker knocking:knock "
+    "knocks:knock knopp:knopp knot:knot knots:knot").split())
 _stop_sql = "(" + ", ".join(f"'{w}'" for w in STOP) + ")"
 
 
@@ -125,6 +135,19 @@ def dic_vocab(spark, d):
     return idx_terms(spark, d).agg(F.count(F.lit(1)).alias("n_terms"), F.sum("total_tf").alias("n_tokens"))
 
 
+def dic_term_ids(spark, d):
+    """Every term has an id of its own, by which it is found again."""
+    t = idx_terms(spark, d).withColumn("id", ix.term_id(F.col("term")))
+    back = t.select("term", "id").join(t.select("id", F.col("term").alias("other")), "id").where("term = other")
+    return t.agg(F.count(F.lit(1)).alias("n_terms"), F.countDistinct("id").alias("n_ids")).crossJoin(back.agg(F.count(F.lit(1)).alias("n_found")))
+
+
+def tok_stems_known(spark, d):
+    """Stems of words whose stems are published."""
+    words = spark.createDataFrame([(w,) for w in KNOWN], "word string")
+    return words.select("word", F.element_at(tokens(F.col("word"), TokenizerConfig(stem=True, min_len=1)), 1).alias("stem"))
+
+
 def dic_contains(spark, d):
     """Which words of the benchmark the dictionary has."""
     w = table(spark, d, "benchmark").select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
@@ -151,12 +174,14 @@ TERM_SQL = "SELECT term, count(*) AS df, sum(tf)::BIGINT AS total_tf FROM post G
 QUERIES = {
     f.__name__: f
     for f in (
-        tok_tokens_simple, tok_segments, tok_length_filter, tok_case_kept, tok_stopwords, tok_term_freq, tok_doc_length, tok_unique_terms, tok_stemmed, tok_uax29, idx_terms, idx_postings,
-        idx_positions, idx_corpus_stats, idx_partial_stats, idx_merged_stats, idx_live_counts, idx_contains, idx_live_df, idx_saved, dic_prefix, dic_vocab, dic_contains, dic_skip_to, kw_idf,
+        tok_tokens_simple, tok_segments, tok_length_filter, tok_case_kept, tok_stopwords, tok_term_freq, tok_doc_length, tok_unique_terms, tok_stemmed, tok_stems_known, tok_uax29, idx_terms, idx_postings,
+        idx_positions, idx_corpus_stats, idx_partial_stats, idx_merged_stats, idx_live_counts, idx_contains, idx_live_df, idx_saved, dic_prefix, dic_vocab, dic_contains, dic_term_ids, dic_skip_to, kw_idf,
     )
 }
 STATS_SQL = f"WITH {TOK} SELECT count(*) AS n, sum(len(tokens))::BIGINT AS total_len, round(avg(len(tokens)), 6) AS avgdl FROM tok"
 ORACLES = {
+    "dic_term_ids": f"WITH {POST} SELECT count(*) AS n_terms, count(*) AS n_ids, count(*) AS n_found FROM df",
+    "tok_stems_known": "SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{s}')" for w, s in KNOWN.items()) + ") AS t(word, stem)",
     "tok_tokens_simple": _toks(2, 50),
     "tok_segments": r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS n_words FROM documents",
     "tok_length_filter": _toks(3, 5),
