@@ -1,8 +1,8 @@
 """Navigable small-world graphs, one for each shard of the vectors.
 
 A graph is built by insertions in id order, which is no job for a cluster as a whole; so vectors are spread over shards of a
-bounded number of rows, each task builds and searches its shard's graph, and the lists of the shards are merged. Adding
-vectors adds shards. Distances are Euclidean, ascending.
+bounded number of rows, each task builds its shard's graph, which is kept as rows of a table, and searches it for all queries; the
+lists of the shards are merged. Adding vectors adds shards. Distances are Euclidean, ascending.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.index import without
 from tessera.operators.topk import top_by
+from tessera.sources.scratch import written
 
 LINKS, EF_CONSTRUCTION, MAX_LEVEL, SHARD_ROWS = 16, 200, 16, 20_000
 DIGITS = 6
@@ -40,11 +41,16 @@ def brute_force(n: int, threshold: int = 1000) -> bool:
     return n <= threshold
 
 
+def beam_of(n: Column) -> tuple[Column, Column]:
+    """The two as expressions of a number of vectors."""
+    return F.least(F.lit(400), 50 + F.floor(10 * F.log2(n + 1))).cast("int"), n <= 1000
+
+
 class Graph:
-    """Layers of adjacency lists over the rows of a matrix."""
+    """Layers of adjacency lists over the distinct rows of a matrix; each holds the ids of all rows that are equal to it."""
 
     def __init__(self, dim: int, links: int = LINKS, ef: int = EF_CONSTRUCTION):
-        self.x = np.empty((0, dim))
+        self.x, self.members = np.empty((0, dim)), []
         self.links, self.ef = links, ef
         self.layers: list[dict[int, list[int]]] = []
         self.entry = -1
@@ -75,11 +81,34 @@ class Graph:
         return sorted((-d, -i) for d, i in best)
 
     def build(self, x: np.ndarray, ids: np.ndarray) -> Graph:
-        self.x = x
-        for row, id_ in enumerate(ids.tolist()):
-            self._insert(row, level_of(id_, self.links))
+        """From rows in the order of their ids. Copies are one node, so they don't fill each other's lists."""
+        _, first, node = np.unique(x, axis=0, return_index=True, return_inverse=True)
+        rank = np.empty(len(first), np.int64)
+        rank[np.argsort(first)] = np.arange(len(first))
+        self.x = x[np.sort(first)]
+        order = np.argsort(rank[node.ravel()], kind="stable")
+        self.members = np.split(ids[order], np.searchsorted(rank[node.ravel()][order], np.arange(1, len(first)))) if len(ids) else []
+        for row, own in enumerate(self.members):
+            self._insert(row, level_of(int(own[0]), self.links))
         return self
 
+    def _chosen(self, i: int, near: list[int], room: int) -> list[int]:
+        """Links that lead to different sides: of rows in the order of their distance those that lie nearer to i than to any that
+        was taken; then, where there is room, the nearest of the others."""
+        d = self._near(self.x[i], near)
+        order = np.argsort(d, kind="stable")
+        rows, d = np.array(near)[order], d[order]
+        x = self.x[rows]
+        own = (x * x).sum(1)
+        between = own[:, None] + own[None, :] - 2 * (x @ x.T)
+        taken, least = [], np.full(len(rows), np.inf)
+        for j in range(len(rows)):
+            if len(taken) < room and d[j] < least[j]:
+                taken.append(j)
+                least = np.minimum(least, between[j])
+        rest = [j for j in range(len(rows)) if j not in set(taken)]
+        return rows[taken + rest[: room - len(taken)]].tolist()
+
     def _insert(self, row: int, level: int) -> None:
         q, top_layer = self.x[row], len(self.layers) - 1
         if self.entry >= 0:
@@ -89,63 +118,100 @@ class Graph:
             for layer in range(min(level, top_layer), -1, -1):
                 at = self._beam(q, at, layer, self.ef)
                 room = self.links * (2 if layer == 0 else 1)
-                mine = [i for _, i in at[: self.links]]
+                mine = self._chosen(row, [i for _, i in at], self.links)
                 self.layers[layer][row] = mine
                 for i in mine:
                     theirs = self.layers[layer][i]
                     theirs.append(row)
                     if len(theirs) > room:
-                        d = self._near(self.x[i], theirs)
-                        self.layers[layer][i] = [theirs[j] for j in np.argsort(d, kind="stable")[:room]]
+                        self.layers[layer][i] = self._chosen(i, theirs, room)
         for _ in range(level - top_layer):
             self.layers.append({row: []})
             self.entry = row
 
     def search(self, q: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
-        """(squared distance, row) of about the k nearest."""
+        """(squared distance, id) of about the k nearest; equal vectors by id."""
         if self.entry < 0 or k <= 0:
             return []
         at = [(float(self._near(q, [self.entry])[0]), self.entry)]
         for layer in range(len(self.layers) - 1, 0, -1):
             at = self._beam(q, at, layer, 1)
-        return self._beam(q, at, 0, max(ef, k))[:k]
-
-
-def _parts(vectors: DataFrame, dim: int, id_: str, vec: str, shard_rows: int) -> DataFrame:
+        found = self._beam(q, at, 0, max(ef, k))[:k]
+        return sorted((d, int(i)) for d, row in found for i in self.members[row][:k])[:k]
+
+    def rows(self) -> pa.Table:
+        """A row for each node, from which ``of`` makes the graph again."""
+        links = [[layer.get(i) for layer in self.layers] for i in range(len(self.x))]
+        return pa.table(
+            {
+                "row": pa.array(range(len(self.x)), pa.int64()),
+                "ids": pa.array([m.tolist() for m in self.members], pa.list_(pa.int64())),
+                "v": pa.array(self.x.tolist(), pa.list_(pa.float64())),
+                "links": pa.array(links, pa.list_(pa.list_(pa.int64()))),
+                "entry": pa.array([i == self.entry for i in range(len(self.x))]),
+            }
+        )
+
+    @staticmethod
+    def of(t: pa.Table) -> Graph:
+        t = t.sort_by("row")
+        g = Graph(0)
+        g.x = np.asarray(t.column("v").combine_chunks().flatten(), float).reshape(t.num_rows, -1)
+        g.members = [np.array(m, np.int64) for m in t.column("ids").to_pylist()]
+        links = t.column("links").to_pylist()
+        g.layers = [{i: x[layer] for i, x in enumerate(links) if x[layer] is not None} for layer in range(len(links[0]) if links else 0)]
+        g.entry = next((i for i, e in enumerate(t.column("entry").to_pylist()) if e), -1)
+        return g
+
+
+NODES = "shard long, row long, ids array<long>, v array<double>, links array<array<long>>, entry boolean"
+
+
+def built(vectors: DataFrame, dim: int, id_: str = "doc_id", vec: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The graphs of all shards as rows, to be written once and searched by ``find``."""
     v = vectors.select(F.col(id_).cast("long").alias("doc_id"), F.col(vec).cast("array<double>").alias("v")).where("doc_id IS NOT NULL").where((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull()))
     shards = max(1, -(-v.count() // shard_rows))
-    return v.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-
-
-def _loaded(data: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    data = data.sort_by("doc_id")
-    return np.asarray(data.column("doc_id"), np.int64), np.asarray(data.column("v").combine_chunks().flatten(), float).reshape(data.num_rows, -1)
-
-
-def search(vectors: DataFrame, queries: list[tuple[int, Sequence[float]]], dim: int, k: int = 10, ef: int | None = None, id_: str = "doc_id", vec: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(qid, doc_id, distance, rank): approximate nearest neighbours of some queries."""
-    asked = [(int(i), [float(x) for x in q]) for i, q in queries if len(q) == dim]
 
     def run(data: pa.Table) -> pa.Table:
-        ids, x = _loaded(data)
-        g = Graph(dim).build(x, ids)
-        out = [(i, int(ids[row]), round(math.sqrt(d), DIGITS)) for i, q in asked for d, row in g.search(np.array(q), k, ef or adaptive_ef(len(ids)))]
+        shard, data = data.column("shard")[0], data.sort_by("doc_id")
+        ids, x = np.asarray(data.column("doc_id"), np.int64), np.asarray(data.column("v").combine_chunks().flatten(), float).reshape(data.num_rows, -1)
+        t = Graph(dim).build(x, ids).rows()
+        return t.add_column(0, "shard", pa.array([shard.as_py()] * t.num_rows, pa.int64()))
+
+    return v.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).groupBy("shard").applyInArrow(run, NODES)
+
+
+def find(nodes: DataFrame, queries: DataFrame | list[tuple[int, Sequence[float]]], dim: int, k: int = 10, ef: int | None = None) -> DataFrame:
+    """(qid, doc_id, distance, rank): approximate nearest neighbours of queries (qid, embedding) in stored graphs. Every query goes
+    to every shard, and k rows of each come back."""
+    spark = nodes.sparkSession
+    if isinstance(queries, list):
+        queries = spark.createDataFrame([(int(i), [float(x) for x in q]) for i, q in queries], "qid long, embedding array<double>")
+    q = queries.select(F.col("qid").cast("long").alias("qid"), F.col("embedding").cast("array<double>").alias("q")).where((F.size("q") == dim) & ~F.exists("q", lambda x: x.isNull()))
+    asked = q.crossJoin(F.broadcast(nodes.select(F.col("shard").alias("to")).distinct())).withColumnRenamed("to", "shard")  # one row a shard
+
+    def run(data: pa.Table, asked: pa.Table) -> pa.Table:
+        out = []
+        if data.num_rows and asked.num_rows:
+            g = Graph.of(data)
+            beam = ef or adaptive_ef(sum(map(len, g.members)))
+            for i, q in zip(asked.column("qid").to_pylist(), asked.column("q").to_pylist(), strict=True):
+                out += [(i, j, round(math.sqrt(d), DIGITS)) for d, j in g.search(np.array(q), k, beam)]
         return pa.table({c: pa.array([r[j] for r in out], t) for j, (c, t) in enumerate((("qid", pa.int64()), ("doc_id", pa.int64()), ("distance", pa.float64())))})
 
-    found = _parts(vectors, dim, id_, vec, shard_rows).groupBy("shard").applyInArrow(run, "qid long, doc_id long, distance double")
+    found = nodes.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(run, "qid long, doc_id long, distance double")
     return top_by(found, "qid", k, "distance", largest=False)
 
 
-def layers(vectors: DataFrame, dim: int, id_: str = "doc_id", vec: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(layer, nodes, links) over all shards' graphs."""
+def search(vectors: DataFrame, queries: DataFrame | list[tuple[int, Sequence[float]]], dim: int, k: int = 10, ef: int | None = None, id_: str = "doc_id", vec: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``find`` in graphs that are built for it."""
+    return find(written(built(vectors, dim, id_, vec, shard_rows)), queries, dim, k, ef)
 
-    def run(data: pa.Table) -> pa.Table:
-        ids, x = _loaded(data)
-        g = Graph(dim).build(x, ids)
-        return pa.table({"layer": pa.array(range(len(g.layers)), pa.int32()), "nodes": pa.array([len(a) for a in g.layers], pa.int64()), "links": pa.array([sum(map(len, a.values())) for a in g.layers], pa.int64())})
 
-    parts = _parts(vectors, dim, id_, vec, shard_rows).groupBy("shard").applyInArrow(run, "layer int, nodes long, links long")
-    return parts.groupBy("layer").agg(F.sum("nodes").alias("nodes"), F.sum("links").alias("links"))
+def layers(nodes: DataFrame) -> DataFrame:
+    """(layer, nodes, links) over all shards' graphs."""
+    each = nodes.select(F.posexplode("links").alias("layer", "own")).where("own IS NOT NULL")
+    return each.groupBy("layer").agg(F.count(F.lit(1)).alias("nodes"), F.sum(F.size("own")).alias("links"))
 
 
 def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:

@@ -7,6 +7,7 @@ Its first centroids are spread over a sample of ``init_sample`` vectors (a docum
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -16,8 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import distance
+from tessera.operators.index import without
 from tessera.operators.topk import top
 from tessera.plans.settings import InvalidConfig, PqConfig
+from tessera.sources import generations
+from tessera.sources.scratch import written
 
 DIGITS = 6
 
@@ -176,12 +180,32 @@ def search(codes: DataFrame, book: Codebook, query: Sequence[float], k: int = 10
 
 def reranked(found: DataFrame, vectors: DataFrame, query: Sequence[float], k: int = 10, id_: str = "doc_id", vec: str = "embedding") -> DataFrame:
     """(doc_id, distance): a short list ordered anew by the exact distances of the raw vectors. Pass several times k rows.
-    The list holds at most the rows of a search, so it is what is broadcast."""
+    How the two are joined is left to the planner, which knows the list's size."""
     v = vectors.select(F.col(id_).alias("doc_id"), F.col(vec).alias("v"))
-    j = v.join(F.broadcast(found.select("doc_id")), "doc_id")
+    j = v.join(found.select("doc_id"), "doc_id")
     return top(j.select("doc_id", F.round(distance(F.col("v"), list(query)), DIGITS).alias("distance")), k, "distance", largest=False)
 
 
+def with_error(codes: DataFrame, book: Codebook, vectors: DataFrame, id_: str = "doc_id", vec: str = "embedding") -> DataFrame:
+    """(doc_id, codes, error): how far each vector lies from what its codes stand for, to be stored beside them."""
+    v = vectors.select(F.col(id_).alias("doc_id"), F.col(vec).alias("v"))
+    back = decoded(codes, book).join(v, "doc_id").select("doc_id", distance(F.col("vec"), F.col("v")).alias("error"))
+    return codes.select("doc_id", "codes").join(back, "doc_id")
+
+
+def exact_search(codes: DataFrame, book: Codebook, vectors: DataFrame, query: Sequence[float], k: int = 10, id_: str = "doc_id", vec: str = "embedding") -> DataFrame:
+    """(doc_id, distance): the k nearest by their raw vectors. A vector's distance lies within its ``error`` of that of its codes, so
+    only those are read whose least possible distance isn't beyond the k-th of the greatest possible ones, however many that are."""
+    tables = [F.array(*(F.lit(x) for x in row)) for row in book.table(query)]
+    total = F.lit(0.0)
+    for i, t in enumerate(tables):
+        total = total + F.get(t, F.get("codes", F.lit(i)))
+    near = codes.select("doc_id", F.sqrt(total).alias("d"), "error")
+    most = top(near.select("doc_id", (F.col("d") + F.col("error")).alias("distance")), k, "distance", largest=False).agg(F.max("distance").alias("most"), F.count(F.lit(1)).alias("n")).first()
+    bound = most.most * (1 + 1e-9) + 1e-9 if most.n == k else float("inf")
+    return reranked(near.where(F.col("d") - F.col("error") <= bound), vectors, query, k, id_, vec)
+
+
 def should_train(vectors: DataFrame, least: int) -> bool:
     """Whether there are ``least`` vectors; it stops counting there."""
     return vectors.limit(least).count() >= least
@@ -199,3 +223,97 @@ def memory(codes: DataFrame, book: Codebook) -> DataFrame:
         n.alias("n"), (n * book.m).alias("code_bytes"), (n * book.dim * 4).alias("raw_bytes"),
         F.lit(sum(c.size for c in book.centroids) * 4).cast("long").alias("codebook_bytes"), F.lit(book.compression_ratio()).alias("ratio"),
     )
+
+
+class PqStore:
+    """Codes in a folder. Vectors that come before there is a codebook wait as they are; ``train`` makes one and encodes them."""
+
+    def __init__(self, spark: SparkSession, path: str, dim: int, cfg: PqConfig | None = None):
+        self.spark, self.path, self.dim, self.cfg = spark, path, dim, cfg or PqConfig()
+        self.cfg.check(dim)
+
+    def _now(self, name: str, ddl: str) -> DataFrame:
+        return generations.current(self.spark, f"{self.path}/{name}", ddl)
+
+    def book(self) -> Codebook | None:
+        frame = self._now("book", "subspace int, centroid int, vec array<double>")
+        return None if frame.isEmpty() else Codebook.of(frame)
+
+    def codes(self) -> DataFrame:
+        """(doc_id, codes); all codes are 0 for vectors that wait."""
+        zero = F.array_repeat(F.lit(0), self.cfg.m)
+        return self._now("codes", "doc_id long, codes array<int>").unionByName(self.waiting().select("doc_id", zero.alias("codes")))
+
+    def waiting(self) -> DataFrame:
+        return self._now("waiting", "doc_id long, embedding array<float>")
+
+    def add(self, vectors: DataFrame, id_: str = "doc_id", vec: str = "embedding") -> None:
+        """Adds vectors; one that is there already is replaced."""
+        v = vectors.select(F.col(id_).cast("long").alias("doc_id"), F.col(vec).cast("array<float>").alias("embedding"))
+        book = self.book()
+        new = v.where(F.size("embedding") == self.dim) if book is None else encoded(v, book)
+        new = written(new)
+        self.remove(new)
+        generations.append(new, f"{self.path}/{'waiting' if book is None else 'codes'}")
+
+    def train(self) -> Codebook:
+        """A codebook of the vectors that wait, which then are codes."""
+        book = train(self.waiting(), self.dim, self.cfg)
+        generations.replace(book.frame(self.spark), f"{self.path}/book")
+        generations.append(encoded(self.waiting(), book), f"{self.path}/codes")
+        generations.replace(self.waiting().limit(0), f"{self.path}/waiting")
+        return book
+
+    def remove(self, ids: DataFrame) -> None:
+        """Takes vectors (doc_id) away; unknown ids change nothing."""
+        for name, ddl in (("codes", "doc_id long, codes array<int>"), ("waiting", "doc_id long, embedding array<float>")):
+            now = self._now(name, ddl)
+            if not now.join(ids.select("doc_id"), "doc_id", "left_semi").isEmpty():
+                generations.replace(without(now, ids), f"{self.path}/{name}")
+
+    def contains(self, ids: DataFrame) -> DataFrame:
+        """Those of the ids (doc_id) that are there."""
+        return ids.join(self.codes().select("doc_id"), "doc_id", "left_semi")
+
+    def count(self) -> int:
+        return self.codes().count()
+
+
+class VectorCache:
+    """Raw vectors of the documents that short lists held last, at most ``capacity``: the exact re-ranking of a search reads only
+    those that aren't here. The one used longest ago goes first."""
+
+    def __init__(self, capacity: int = 10_000):
+        self.capacity, self.hits, self.misses = capacity, 0, 0
+        self._rows: OrderedDict[int, np.ndarray] = OrderedDict()
+
+    def __len__(self) -> int:
+        return len(self._rows)
+
+    def get(self, id_: int) -> np.ndarray | None:
+        if id_ not in self._rows:
+            self.misses += 1
+            return None
+        self.hits += 1
+        self._rows.move_to_end(id_)
+        return self._rows[id_]
+
+    def put(self, id_: int, v: Sequence[float]) -> None:
+        self._rows[id_] = np.asarray(v, np.float32)
+        self._rows.move_to_end(id_)
+        while len(self._rows) > self.capacity:
+            self._rows.popitem(last=False)
+
+    def remove(self, id_: int) -> None:
+        self._rows.pop(id_, None)
+
+    def reranked(self, found: DataFrame, vectors: DataFrame, query: Sequence[float], k: int = 10, id_: str = "doc_id", vec: str = "embedding") -> list[tuple[int, float]]:
+        """(doc_id, distance) of the k nearest of a short list, which comes to the driver."""
+        ids = [r.doc_id for r in found.select("doc_id").collect()]
+        have = {i: self.get(i) for i in ids}
+        if lacking := [i for i, v in have.items() if v is None]:
+            for r in vectors.where(F.col(id_).isin(lacking)).select(F.col(id_).alias("i"), F.col(vec).alias("v")).collect():
+                self.put(r.i, r.v)
+                have[r.i] = np.asarray(r.v, np.float32)
+        q = np.asarray(query, float)
+        return sorted(((i, round(float(np.sqrt(((v - q) ** 2).sum())), DIGITS)) for i, v in have.items() if v is not None), key=lambda x: (x[1], x[0]))[:k]

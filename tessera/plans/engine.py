@@ -1,29 +1,31 @@
 """The engine: documents in a folder, searched by keywords, vectors or both.
 
 Writes append commands to the store's log. ``refresh`` folds the log and writes the current documents and their inverted
-index as the next generation, which searches then read. Searches give lazy DataFrames.
+index (and their graphs, where the settings ask for approximate search) as the next generation, which searches then read. A search that asks for what was
+written since reads the documents of the log's end beside the last generation, without a refresh.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import analyse
 from tessera.operators import filters as flt
-from tessera.operators import hybrid, keyword, vector
-from tessera.operators.index import InvertedIndex
+from tessera.operators import graph, hybrid, keyword, vector
+from tessera.operators.index import InvertedIndex, without
 from tessera.operators.topk import top
+from tessera.plans.commands import Command
 from tessera.plans.metrics import Metrics
-from tessera.plans.settings import BadRequest, DocumentNotFound, IndexNotReady, InvalidEmbeddingDimensions, Settings
+from tessera.plans.settings import BadRequest, DocumentNotFound, EngineError, IndexNotReady, InvalidConfig, InvalidEmbeddingDimensions, Settings
 from tessera.sources import snapshot
 from tessera.sources.documents import DocumentStore
 from tessera.sources.scratch import written
-from tessera.streaming.changelog import CHANGELOG, DOCUMENT, next_ids, schema
+from tessera.streaming.changelog import CHANGELOG, DOCUMENT, fold, next_ids, schema
 
 MODES = ("keyword", "vector", "hybrid")
 
@@ -38,13 +40,17 @@ class SearchRequest:
     filters: list[flt.Filter] = field(default_factory=list)
     min_applied: int = 0
     wait_seconds: float = 0.0
+    fresh: bool = False
+    approximate: bool = False
 
 
 @dataclass(frozen=True)
 class SearchResponse:
-    """``results`` (doc_id, score, highlights) is lazy; ``total_hits`` is the size of the corpus."""
+    """``results`` (doc_id, score, highlights) are the rows found, k at most; ``matched`` is their number, ``total_hits`` the size of
+    the corpus, ``took_ms`` the time of the whole search."""
 
     results: DataFrame
+    matched: int
     total_hits: int
     took_ms: float
 
@@ -56,7 +62,7 @@ class Engine:
         self.metrics, self._position, self._generation, self._visible = Metrics(), self.store.applied(), 0, 0
         self._next = (self.store.log().agg(F.max("doc_id").alias("m")).first().m or 0) + 1
         self._index: InvertedIndex | None = None
-        self._docs = spark.createDataFrame([], DOCUMENT)
+        self._docs, self._total, self._graphs = spark.createDataFrame([], DOCUMENT), 0, None
         if self._position:
             self.refresh()
 
@@ -74,17 +80,25 @@ class Engine:
         return self._position
 
     def index(self, docs: Sequence[dict]) -> list[int]:
-        """Upserts documents (content, embedding, metadata?, id?) in one batch; all are checked before any is written."""
-        for d in docs:
-            self._check(d.get("embedding"))
-            if d.get("content") is None or d.get("embedding") is None:
-                raise BadRequest("a document has a content and an embedding")
-        ids = []
+        """Upserts documents (content, embedding, metadata?, id?) in one batch, in order; at the first that is wrong it ends with the error,
+        and those before it are written."""
+        ids, good, error = [], [], None
         for d in docs:
+            try:
+                self._check(d.get("embedding"))
+                if d.get("content") is None or d.get("embedding") is None:
+                    raise BadRequest("a document has a content and an embedding")
+            except EngineError as e:
+                error = e
+                break
+            good.append(d)
             ids.append(int(d["id"]) if d.get("id") is not None else self._next)
             self._next = max(self._next, ids[-1] + 1)
-        self._write([("Index", i, d["content"], [float(x) for x in d["embedding"]], d.get("metadata")) for i, d in zip(ids, docs, strict=True)])
+        if good:
+            self._write([("Index", i, d["content"], [float(x) for x in d["embedding"]], d.get("metadata")) for i, d in zip(ids, good, strict=True)])
         self.metrics.count("documents_indexed_total", len(ids))
+        if error:
+            raise error
         return ids
 
     def index_frame(self, docs: DataFrame) -> int:
@@ -112,6 +126,27 @@ class Engine:
         self.metrics.count("documents_deleted_total", len(ids))
         return self._write([("Delete", int(i), None, None, None) for i in ids])
 
+    def apply(self, c: Command):
+        """Carries out a command; what the method of its kind returns."""
+        if c.name in ("IndexDocument", "BatchIndex"):
+            return self.index(c.documents)
+        if c.name in ("DeleteDocument", "BatchDelete"):
+            return self.delete(c.ids)
+        if c.name == "UpdateDocument":
+            return self.update(c.ids[0], c.change.content, c.change.embedding, c.change.metadata)
+        if c.name == "UpdateSettings":
+            return self.update_settings(**c.settings)
+        return self.optimize() if c.name == "OptimizeIndex" else self.compact()
+
+    def update_settings(self, **changes) -> Settings:
+        """Other settings from here on; text analysis takes effect with the next refresh. The vectors' length can't change while
+        there are documents."""
+        new = replace(self.settings, **changes)
+        if new.dim != self.settings.dim and not self.store.documents().isEmpty():
+            raise InvalidConfig(f"the documents have {self.settings.dim} dimensions")
+        self.settings, self.store.dim = new, new.dim
+        return new
+
     def refresh(self) -> int:
         """Makes all writes visible; returns the position."""
         began, self._generation = time.time(), self._generation + 1
@@ -120,6 +155,11 @@ class Engine:
         self._docs = self.spark.read.schema(DOCUMENT).parquet(f"{at}/documents")
         InvertedIndex.build(self._docs, self.settings.tokenizer, "id", "content").save(f"{at}/index")
         self._index = InvertedIndex.load(self.spark, f"{at}/index")
+        self._total = self._docs.count()
+        self._graphs = None
+        if self.settings.approximate:
+            graph.built(self._docs, self.settings.dim, id_="id").write.parquet(f"{at}/graphs")
+            self._graphs = self.spark.read.parquet(f"{at}/graphs")
         self._visible = self._position
         self.metrics.gauge("applied_position", self._visible)
         self.metrics.observe("index_seconds", time.time() - began)
@@ -144,7 +184,19 @@ class Engine:
         return row.asDict(recursive=True)
 
     def total(self) -> int:
-        return self._docs.count()
+        return self._total
+
+    def fresh(self) -> tuple[DataFrame, InvertedIndex | None]:
+        """(documents, index) with what was written since the last refresh: documents that the log's end touches are folded and
+        analysed anew, all others are those of the last generation."""
+        late = self.store.log().where(F.col("raft_index") > self._visible)
+        touched = written(late.select("doc_id").distinct())
+        if touched.isEmpty():
+            return self._docs, self._index
+        new = written(fold(self.store.log().join(touched, "doc_id", "left_semi").select(schema(CHANGELOG).names), self.settings.dim))
+        docs = without(self._docs, touched, "id").unionByName(new)
+        delta = InvertedIndex.build(new, self.settings.tokenizer, "id", "content")
+        return docs, delta if self._index is None else self._index.with_delta(delta, touched)
 
     def search(self, r: SearchRequest) -> SearchResponse:
         began = time.time()
@@ -157,28 +209,32 @@ class Engine:
                 self.refresh()
             else:
                 raise IndexNotReady(f"position {r.min_applied} isn't visible yet, {self._visible} is")
-        found = self._found(r)
-        out = found.select("doc_id", "score", F.array().cast("array<string>").alias("highlights"))
+        rows = self._found(r).select("doc_id", "score").collect()  # k at most
+        hits = self.spark.createDataFrame([(x.doc_id, x.score, []) for x in rows], "doc_id long, score double, highlights array<string>")
         self.metrics.count("searches_total", label=r.mode)
-        total = self.total()
-        self.metrics.observe("search_seconds", time.time() - began)
-        return SearchResponse(out, total, (time.time() - began) * 1000)
+        took = time.time() - began
+        self.metrics.observe("search_seconds", took)
+        return SearchResponse(hits, len(rows), self._total, took * 1000)
 
-    def _keyword(self, r: SearchRequest, k: int) -> DataFrame:
+    def _keyword(self, r: SearchRequest, k: int, docs: DataFrame, index: InvertedIndex | None) -> DataFrame:
         terms = analyse(r.query or "", self.settings.tokenizer)
-        if not terms or k <= 0 or self._index is None:
+        if not terms or k <= 0 or index is None:
             return keyword._none(self.spark)
-        return top(flt.restrict(keyword.scores(self._index, terms, self.settings.bm25), self._docs, r.filters), k)
+        return top(flt.restrict(keyword.scores(index, terms, self.settings.bm25), docs, r.filters), k)
 
-    def _vector(self, r: SearchRequest, k: int) -> DataFrame:
-        return vector.search(flt.apply_filters(self._docs, r.filters), list(r.embedding or ()), k, self.settings.metric, self.settings.dim, id_="id")
+    def _vector(self, r: SearchRequest, k: int, docs: DataFrame) -> DataFrame:
+        q = list(r.embedding or ())
+        if r.approximate and self._graphs is not None and not r.fresh and not r.filters:
+            return top(graph.scored(graph.find(self._graphs, [(0, q)], self.settings.dim, k)).select("doc_id", "score"), k)
+        return vector.search(flt.apply_filters(docs, r.filters), q, k, self.settings.metric, self.settings.dim, id_="id")
 
     def _found(self, r: SearchRequest) -> DataFrame:
+        docs, index = self.fresh() if r.fresh else (self._docs, self._index)
         if r.mode == "keyword":
-            return self._keyword(r, r.k)
+            return self._keyword(r, r.k, docs, index)
         if r.mode == "vector":
-            return self._vector(r, r.k)
-        return hybrid.fuse(self._keyword(r, 2 * r.k), self._vector(r, 2 * r.k), r.k, r.weight)
+            return self._vector(r, r.k, docs)
+        return hybrid.fuse(self._keyword(r, 2 * r.k, docs, index), self._vector(r, 2 * r.k, docs), r.k, r.weight)
 
     # snapshots and state
 
@@ -200,5 +256,10 @@ class Engine:
         self._next = (self.store.log().agg(F.max("doc_id").alias("m")).first().m or 0) + 1
         self.refresh()
 
+    def status(self) -> dict:
+        """What there is, and what it runs on."""
+        c = self.spark.sparkContext
+        return {**self.health(), "path": self.path, "generation": self._generation, "dimensions": self.settings.dim, "metric": self.settings.metric, "spark": c.version, "cores": c.defaultParallelism}
+
     def health(self) -> dict:
         return {"status": "ok", "documents": self.total(), "applied": self._visible, "pending": self._position - self._visible}

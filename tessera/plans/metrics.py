@@ -18,7 +18,7 @@ HISTOGRAMS = ("search_seconds", "index_seconds", "snapshot_seconds")
 class Metrics:
     counters: dict[tuple[str, str], float] = field(default_factory=lambda: {(c, ""): 0 for c in COUNTERS})
     gauges: dict[str, float] = field(default_factory=lambda: dict.fromkeys(GAUGES, 0))
-    seen: dict[str, list[float]] = field(default_factory=lambda: {h: [] for h in HISTOGRAMS})
+    seen: dict[str, list[float]] = field(default_factory=lambda: {h: [0.0] * (len(SECONDS) + 2) for h in HISTOGRAMS})
 
     def count(self, name: str, by: float = 1, label: str = "") -> None:
         self.counters[(name, label)] = self.counters.get((name, label), 0) + by
@@ -27,7 +27,11 @@ class Metrics:
         self.gauges[name] = value
 
     def observe(self, name: str, value: float) -> None:
-        self.seen.setdefault(name, []).append(value)
+        """Counts the value in its bucket; the last two places are the sum and what lies above all buckets."""
+        h = self.seen.setdefault(name, [0.0] * (len(SECONDS) + 2))
+        at = bisect.bisect_left(SECONDS, value)
+        h[at if at < len(SECONDS) else -1] += 1
+        h[-2] += value
 
     def text(self) -> str:
         """One line a sample, histograms cumulatively."""
@@ -35,10 +39,13 @@ class Metrics:
         for (name, label), v in sorted(self.counters.items()):
             out.append(f"{name}{{mode=\"{label}\"}} {v:g}" if label else f"{name} {v:g}")
         out += [f"{n} {v:g}" for n, v in sorted(self.gauges.items())]
-        for name, values in sorted(self.seen.items()):
-            values = sorted(values)
-            out += [f'{name}_bucket{{le="{b:g}"}} {bisect.bisect_right(values, b)}' for b in SECONDS]
-            out += [f'{name}_bucket{{le="+Inf"}} {len(values)}', f"{name}_sum {sum(values):g}", f"{name}_count {len(values)}"]
+        for name, h in sorted(self.seen.items()):
+            below = 0.0
+            for b, n in zip(SECONDS, h, strict=False):
+                below += n
+                out.append(f'{name}_bucket{{le="{b:g}"}} {below:g}')
+            n = below + h[-1]
+            out += [f'{name}_bucket{{le="+Inf"}} {n:g}', f"{name}_sum {h[-2]:g}", f"{name}_count {n:g}"]
         return "\n".join(out) + "\n"
 
 

@@ -65,7 +65,7 @@ class PqConfig:
 
     m: int = 8
     centroids: int = 256
-    max_iter: int = 25
+    max_iter: int = 100
     tol: float = 1e-6
     init_sample: int = 20_000
 
@@ -86,6 +86,7 @@ class Settings:
     tokenizer: TokenizerConfig = field(default_factory=TokenizerConfig)
     bm25: Bm25Params = field(default_factory=Bm25Params)
     pq: PqConfig = field(default_factory=lambda: PqConfig(m=24))
+    approximate: bool = False
 
     def __post_init__(self):
         if self.metric not in METRICS:

@@ -11,6 +11,7 @@ from tessera.operators.index import InvertedIndex
 from tessera.operators.topk import top
 from tessera.plans.settings import Bm25Params, PqConfig
 from tessera.queries.common import COS, DIM, POST, QUERY_TEXT, SIM, TERMS, VEC, Q, bm25_sql, query_vector, table, topk
+from tessera.sources.scratch import shared_folder, written
 
 K = 10
 
@@ -58,6 +59,28 @@ def kw_filtered(spark, d):
     return top(restrict(keyword.scan_scores(docs, list(TERMS)), meta, [Filter.tag("en"), Filter.source("src1")]), K)
 
 
+def kw_block_bounds(spark, d):
+    """The most that a posting of each query term scores, by block of document ids."""
+    return keyword.bounds(InvertedIndex.build(_docs(spark, d)).materialised(), list(TERMS), block=256)
+
+
+def kw_blockmax_topk(spark, d):
+    """Blocks that can't hold one of the best aren't scored."""
+    return keyword.bounded_search(InvertedIndex.build(_docs(spark, d)).materialised(), list(TERMS), K, block=256)
+
+
+def kw_fresh(spark, d):
+    """A saved index of the English documents; the others were written since, toxic ones were deleted, and both are seen
+    without a refresh."""
+    docs, gone = _docs(spark, d), table(spark, d, "labels").where("toxic = 1").select("doc_id")
+    old = F.coalesce(F.col("lang") == "en", F.lit(False))
+    path = shared_folder(spark)
+    InvertedIndex.build(docs.where(old)).save(path)
+    new = docs.where(~old).join(gone, "doc_id", "left_anti")
+    index = InvertedIndex.load(spark, path).with_delta(InvertedIndex.build(new), gone.unionByName(new.select("doc_id")))
+    return keyword.search(index, list(TERMS), K)
+
+
 def batch_kw_topk(spark, d):
     """The best documents for each item of the benchmark."""
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
@@ -146,11 +169,15 @@ def hyb_unclamped(spark, d):
 
 
 def _book(spark, d):
-    return pq.train(_vec(spark, d), DIM, PqConfig(m=8, max_iter=6))
+    """A codebook that is given, not trained: the parts of the first sixteen vectors."""
+    rows = _vec(spark, d).where(F.size("embedding") == DIM).orderBy("doc_id").limit(16).collect()
+    parts = [(s, i, [float(x) for x in r.embedding[8 * s : 8 * s + 8]]) for s in range(8) for i, r in enumerate(rows)]
+    return pq.Codebook.of(spark.createDataFrame(parts, "subspace int, centroid int, vec array<double>"))
 
 
 def pq_codebook(spark, d):
-    return _book(spark, d).frame(spark).select("subspace", "centroid", F.array_join(F.transform("vec", lambda x: F.round(x, 6).cast("string")), ",").alias("vec"))
+    """Trained on all vectors."""
+    return pq.train(_vec(spark, d), DIM, PqConfig(m=8)).frame(spark).select("subspace", "centroid", F.array_join(F.transform("vec", lambda x: F.round(x, 6).cast("string")), ",").alias("vec"))
 
 
 def pq_codes(spark, d):
@@ -163,8 +190,21 @@ def pq_topk(spark, d):
 
 
 def pq_reranked(spark, d):
+    """The exact nearest, of as many candidates as the codes' errors leave open."""
     book = _book(spark, d)
-    return pq.reranked(pq.search(pq.encoded(_vec(spark, d), book), book, query_vector(), 10 * K), _vec(spark, d), query_vector(), K)
+    codes = written(pq.with_error(pq.encoded(_vec(spark, d), book), book, _vec(spark, d)))
+    return pq.exact_search(codes, book, _vec(spark, d), query_vector(), K)
+
+
+def pq_store(spark, d):
+    """Vectors that waited for a codebook and such that came later, without those that were removed."""
+    v, gone = _vec(spark, d), table(spark, d, "labels").where("toxic = 1").select("doc_id")
+    store = pq.PqStore(spark, shared_folder(spark), DIM, PqConfig(m=8, centroids=16, max_iter=5))
+    store.add(v.where("label < 3"))
+    store.train()
+    store.add(v.where("label >= 3 OR label IS NULL"))
+    store.remove(gone)
+    return store.contains(v.select("doc_id"))
 
 
 def pq_reconstruction(spark, d):
@@ -180,11 +220,15 @@ def pq_memory(spark, d):
 
 
 def _asked(spark, d):
-    return [(0, query_vector())]
+    """As queries the vectors whose id 100 divides."""
+    return _vec(spark, d).where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("qid"), "embedding")
 
 
 def ann_topk(spark, d):
-    return graph.search(_vec(spark, d), _asked(spark, d), DIM, K)
+    """Nearest of all vectors, in graphs that are stored."""
+    path = shared_folder(spark)
+    graph.built(_vec(spark, d), DIM).write.parquet(path)
+    return graph.find(spark.read.parquet(path), _asked(spark, d), DIM, K)
 
 
 def ann_scored(spark, d):
@@ -192,25 +236,28 @@ def ann_scored(spark, d):
 
 
 def ann_recall(spark, d):
-    exact = top(_vec(spark, d).select(F.lit(0).cast("long").alias("qid"), "doc_id", vs.distance(F.col("embedding"), query_vector()).alias("distance")), K, "distance", largest=False)
-    return graph.recall(ann_topk(spark, d), exact, K)
+    """Whether the graphs find nine in ten of the exact neighbours, over all queries."""
+    exact = vector.batch_search(_vec(spark, d), _asked(spark, d), DIM, K, "euclidean")
+    r = graph.recall(ann_topk(spark, d), exact, K)
+    return r.agg(F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.9).alias("reached"))
 
 
 def ann_layers(spark, d):
-    return graph.layers(_vec(spark, d), DIM)
+    return graph.layers(graph.built(_vec(spark, d), DIM))
 
 
 def ann_adaptive_ef(spark, d):
     """The beam's width by the number of vectors of each label."""
     n = _vec(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("label", "n", F.least(F.lit(400), 50 + F.floor(10 * F.log2(F.col("n") + 1))).cast("int").alias("ef"), (F.col("n") <= 1000).alias("brute_force"))
+    ef, brute = graph.beam_of(F.col("n"))
+    return n.select("label", "n", ef.alias("ef"), brute.alias("brute_force"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        kw_bm25plus_topk, kw_bm25_topk, kw_index_topk, kw_multiplicity, kw_all_matches, kw_tombstones, kw_filtered, batch_kw_topk, vs_cosine, vs_euclidean, vs_dot, vs_distance, vs_length_mismatch, vs_normalize,
-        vec_topk_cosine, vec_topk_euclidean, vec_topk_dot, vec_tombstones, vec_dim_guard, batch_vec_topk, hyb_topk, hyb_w0, hyb_w1, hyb_unclamped, pq_codebook, pq_codes, pq_topk, pq_reranked,
+        kw_bm25plus_topk, kw_bm25_topk, kw_index_topk, kw_multiplicity, kw_all_matches, kw_tombstones, kw_filtered, kw_block_bounds, kw_blockmax_topk, kw_fresh, batch_kw_topk, vs_cosine, vs_euclidean, vs_dot, vs_distance, vs_length_mismatch, vs_normalize,
+        vec_topk_cosine, vec_topk_euclidean, vec_topk_dot, vec_tombstones, vec_dim_guard, batch_vec_topk, hyb_topk, hyb_w0, hyb_w1, hyb_unclamped, pq_codebook, pq_codes, pq_topk, pq_reranked, pq_store,
         pq_reconstruction, pq_memory, ann_topk, ann_scored, ann_recall, ann_layers, ann_adaptive_ef,
     )
 }
@@ -226,6 +273,11 @@ PAIR = "SELECT a.vec_id AS a, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[]
 LIVE_POST = POST.replace("FROM documents", "FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 
 
+PQ = f"""{VEC}, cb AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS cid, v AS whole FROM (SELECT * FROM v ORDER BY doc_id LIMIT 16)
+), part AS (SELECT doc_id, s, cid, whole[s * 8 + 1 : s * 8 + 8] AS c, list_distance(v[s * 8 + 1 : s * 8 + 8], whole[s * 8 + 1 : s * 8 + 8]) AS d FROM v, cb, (SELECT unnest(range(8)) AS s)
+), code AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY round(d, 9), cid) AS k FROM part) WHERE k = 1)"""
+
+
 def _hyb(w: str) -> str:
     return f"""WITH {POST}, {VEC}, kw AS ({topk(_kw(), 20)}), ve AS ({topk(f"SELECT doc_id, round({COS}, 6) AS score FROM v", 20)}),
     p AS (SELECT doc_id, CASE WHEN greatest(0, max(score) OVER ()) = 0 THEN 0 ELSE greatest(0, least(1, score / max(score) OVER ())) END * {w}::DOUBLE AS part FROM kw
@@ -260,6 +312,16 @@ ORACLES = {
     "hyb_w0": _hyb("0.0"),
     "hyb_w1": _hyb("1.0"),
     "hyb_unclamped": _hyb("1.5"),
+    "kw_block_bounds": f"""WITH {POST} SELECT term, doc_id // 256 AS block, min(doc_id) AS first_doc, max(doc_id) AS last_doc, count(*) AS n, max(tf) AS max_tf, round(max({bm25_sql()}), 6) AS max_score
+      FROM post JOIN df USING (term) JOIN len USING (doc_id), st WHERE term IN {IN} GROUP BY 1, 2""",
+    "kw_blockmax_topk": f"WITH {POST} {topk(_kw(), K)}",
+    "kw_fresh": f"WITH {LIVE_POST} {topk(_kw(), K)}",
+    "pq_codes": f"WITH {PQ} SELECT doc_id, string_agg(cid::VARCHAR, ',' ORDER BY s) AS codes FROM code GROUP BY doc_id",
+    "pq_topk": f"WITH {PQ} {topk(f'SELECT doc_id, round(sqrt(sum(list_distance(c, {Q}[s * 8 + 1 : s * 8 + 8]) ** 2)), 6) AS distance FROM code GROUP BY doc_id', K, by='distance')}",
+    "pq_reranked": f"WITH {VEC} {topk(f'SELECT doc_id, round(list_distance(v, {Q}), 6) AS distance FROM v', K, by='distance')}",
+    "pq_reconstruction": f"WITH {PQ} SELECT doc_id, round(sqrt(sum(d ** 2)), 6) AS error FROM code GROUP BY doc_id",
+    "pq_store": "SELECT vec_id AS doc_id FROM embeddings WHERE len(embedding) = 64 AND vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    "ann_recall": "SELECT count(*) AS queries, true AS reached FROM embeddings WHERE len(embedding) = 64 AND vec_id % 100 = 0",
     "pq_memory": "SELECT count(*) AS n, count(*) * 8 AS code_bytes, count(*) * 256 AS raw_bytes, 32.0::DOUBLE AS ratio FROM embeddings WHERE len(embedding) = 64",
     "ann_adaptive_ef": "SELECT label, count(*) AS n, least(400, 50 + floor(10 * log2(count(*) + 1)))::INT AS ef, count(*) <= 1000 AS brute_force FROM embeddings GROUP BY label",
 }
