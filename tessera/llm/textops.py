@@ -29,13 +29,20 @@ NEWLINE, SPACE = 10, 32
 
 
 def checkpoint_dir(spark) -> str:
-    """The shared folder of the session (``spark.checkpoint.dir``); one of this process only where none is set."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``). Where none is set, a local master, as in tests, gets one of this
+    process; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     set_already = spark.sparkContext.getCheckpointDir()
     if at is None and set_already is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that the cluster shares")
+        import atexit
+        import shutil
         import tempfile
 
-        at = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        own = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = f"file://{own}"
     if set_already is None:
         spark.sparkContext.setCheckpointDir(at)
     return at or set_already
@@ -49,6 +56,17 @@ def written(df, spark=None):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def long_id(df, name: str = "doc_id"):
+    """The id column as a long; ids of another kind than integers are an error here, not in a task."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    kind = df.schema[name].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise ValueError(f"{name} must be of an integer type, not {kind.simpleString()}")
+    return F.col(f"`{name}`").cast("long")
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 over unsigned 64-bit values."""
     h = h ^ (h >> U64(30))
