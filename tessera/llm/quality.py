@@ -7,38 +7,47 @@ The grades of the labels table: 0 for low quality, 1 for good but toxic text, 2
 lower-case words and of their beginnings of four to six letters (scaled by how differently good and bad documents have them), shares of word shapes and of words that repeat the one before.
 
 The model is fitted on at most ``max_train`` labelled rows, chosen by a hash of their id (a classifier may be fitted on a
-bounded sample; raise the bound for more). Only those rows' texts move, to one task; the model, whose size the
-number of hash slots limits, is sent to all tasks. Scoring is a single pass without a shuffle over all documents, whole texts.
+bounded sample; raise the bound for more). All tasks turn those rows' texts into chunks of about ``CHUNK_DOCS`` sparse rows, written
+once; the optimiser, one task, holds these chunks alone (8 bytes a cell, some 150 MB for 20,000 documents) and takes one at a time
+at every step. Every slot that a chunk holds has a weight. The model (4 MB, by the number of hash slots) is sent to all tasks.
+Scoring is a single pass without a shuffle over all documents, whole texts.
 
 Defined results: a null text, or one without any word, has null scores and keep = false; without any labelled row scores
 are null and every text that has a word is kept; an id with several labels has the lowest quality and the highest toxic of
-them; labels without a quality don't count. Repeated rows get the same scores; columns whose names clash with the output's
+them; labels without a quality don't count; of rows that share an id the text of the least hash trains. Repeated rows get the same scores; columns whose names clash with the output's
 are replaced.
 """
 
 from __future__ import annotations
 
 import pickle
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import U64, Texts, category_table, chunks, lower_hash_table, lower_table, mix64, prefix_hash, runs, slice_hash, words
+from .textops import U64, Texts, category_table, chunks, lower_hash_table, lower_table, mix64, prefix_hash, runs, slice_hash, words, written
 
 GRADES = 3
 LEX_BITS, STYLE_BITS = 20, 13
 BEGINNINGS = (4, 5, 6)
-#: Cells of a table of documents and features; beyond it features are sorted instead.
-TABLE_CELLS = 1 << 27
+SLOTS = (1 << LEX_BITS) + (1 << STYLE_BITS)
+#: Shares of shapes lie between 0 and 1; this brings their weights to the size of those of words.
+STYLE_SCALE = 20.0
 #: Of the squared weights.
 PENALTY = 3.0
 #: The least probability of the highest grade that keeps a document.
-SELECT = 0.75
-MAX_TRAIN, MIN_DF = 20_000, 6
+SELECT = 0.8
+MAX_TRAIN = 20_000
+#: Documents of one chunk of the sample, about; ids and grades that may be sent to all tasks (16 bytes each).
+CHUNK_DOCS, MAX_BROADCAST = 512, 1 << 20
+#: Documents that have a feature whatever their grade, besides those counted.
+PRIOR = 8.0
+#: L-BFGS ends after so many steps, or where a step gains less, as a share of the loss.
+STEPS, GAIN = 100, 3e-4
 SCORES = ["expected_grade", "p_ge_1", "p_ge_2", "keep"]
 
 _state: dict[str, np.ndarray] = {}
@@ -88,44 +97,43 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def likelihood(f: np.ndarray, y: np.ndarray, th: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Negative log likelihood of grades y at scores f, with its gradients by score and by threshold."""
+    cut = np.concatenate(([-np.inf], th, [np.inf]))
+    hi, lo = _sigmoid(cut[y + 1] - f), _sigmoid(cut[y] - f)  # P(grade <= y), P(grade < y)
+    prob = np.maximum(hi - lo, 1e-12)
+    dhi, dlo = hi * (1 - hi) / prob, lo * (1 - lo) / prob
+    gth = np.array([dlo[y == k + 1].sum() - dhi[y == k].sum() for k in range(len(th))])
+    return -np.log(prob).sum(), dhi - dlo, gth
+
+
 class Ordinal:
-    """Cumulative logit with L2 on the weights; rows are sparse (``row``, ``col``, ``val``)."""
+    """Cumulative logit with L2 on the weights, fitted by L-BFGS; the sums over the data come from a function."""
 
-    slight = 1e-3
+    slight, kept = 1e-3, 8
 
-    def __init__(self, grades: int = GRADES, l2: float = 1.0, steps: int = 100):
-        self.grades, self.l2, self.steps = grades, l2, steps
+    def __init__(self, grades: int = GRADES, l2: float = 1.0, steps: int | None = None):
+        self.grades, self.l2, self.steps = grades, l2, steps or STEPS
 
     def thresholds(self, p: np.ndarray) -> np.ndarray:
         return p[0] + np.concatenate(([0.0], np.cumsum(np.exp(p[1:]))))
 
-    def loss(self, z: np.ndarray, n_cols: int, row, col, val, y) -> tuple[float, np.ndarray]:
-        """Negative log likelihood with its gradient; a slight penalty on the thresholds keeps them finite where a grade
-        doesn't occur."""
+    def loss(self, z: np.ndarray, n_cols: int, data) -> tuple[float, np.ndarray]:
+        """Penalised loss with its gradient; ``data`` gives (value, gradient by weight, gradient by threshold) at (weights,
+        thresholds). A slight penalty on the thresholds keeps them finite where a grade doesn't occur."""
         w, p = z[:n_cols], z[n_cols:]
-        th = self.thresholds(p)
-        f = np.bincount(row, val * w[col], minlength=len(y))
-        cut = np.concatenate(([-np.inf], th, [np.inf]))
-        hi, lo = _sigmoid(cut[y + 1] - f), _sigmoid(cut[y] - f)  # P(grade <= y), P(grade < y)
-        prob = np.maximum(hi - lo, 1e-12)
-        dhi, dlo = hi * (1 - hi), lo * (1 - lo)
-        value = -np.log(prob).sum() + 0.5 * self.l2 * (w @ w) + 0.5 * self.slight * (p @ p)
-        df = (dhi - dlo) / prob
-        gw = np.bincount(col, val * df[row], minlength=n_cols) + self.l2 * w
-        gth = np.zeros(self.grades - 1)
-        for k in range(self.grades - 1):
-            gth[k] = -(dhi[y == k] / prob[y == k]).sum() + (dlo[y == k + 1] / prob[y == k + 1]).sum()
+        value, gw, gth = data(w, self.thresholds(p))
         gp = self.slight * p
         gp[0] += gth.sum()
         for k in range(1, self.grades - 1):
             gp[k] += gth[k:].sum() * np.exp(p[k])
-        return value, np.concatenate((gw, gp))
+        return value + 0.5 * self.l2 * (w @ w) + 0.5 * self.slight * (p @ p), np.concatenate((gw + self.l2 * w, gp))
 
-    def fit(self, n_cols: int, row, col, val, y) -> tuple[np.ndarray, np.ndarray]:
-        """(weights, thresholds) by L-BFGS."""
+    def fit(self, n_cols: int, data) -> tuple[np.ndarray, np.ndarray]:
+        """(weights, thresholds)."""
         z = np.zeros(n_cols + self.grades - 1)
         z[n_cols] = -4.0
-        value, g = self.loss(z, n_cols, row, col, val, y)
+        value, g = self.loss(z, n_cols, data)
         hist: list[tuple[np.ndarray, np.ndarray, float]] = []
         for _ in range(self.steps):
             q, alphas = g.copy(), []
@@ -141,111 +149,122 @@ class Ordinal:
                 hist.clear()
                 q, slope = g / max(1.0, np.abs(g).max()), -(g @ g) / max(1.0, np.abs(g).max())
             while True:
-                new, gn = self.loss(z - t * q, n_cols, row, col, val, y)
+                new, gn = self.loss(z - t * q, n_cols, data)
                 if new <= value + 1e-4 * t * slope or t < 1e-8:
                     break
                 t *= 0.5
             s, d = -t * q, gn - g
             if s @ d > 1e-10:
-                hist = [*hist[-9:], (s, d, 1 / (s @ d))]
+                hist = [*hist[-self.kept + 1 :], (s, d, 1 / (s @ d))]
             z, g, gain, value = z + s, gn, value - new, new
-            if gain < 1e-7 * max(1.0, abs(value)):
+            if gain < GAIN * max(1.0, abs(value)):
                 break
         return z[:n_cols], self.thresholds(z[n_cols:])
 
 
-def log_ratios(row: np.ndarray, col: np.ndarray, n: int, grades: np.ndarray) -> np.ndarray:
-    """For each column, how differently it occurs below and above a grade: the largest absolute log ratio over the grades.
-    Scaled by it, the penalty leaves telling words their weight and holds down the many that tell nothing."""
-    out = np.full(n, 0.1)
-    for k in range(GRADES - 1):
-        low = grades <= k
-        if low.all() or not low.any():
-            continue
-        share = [(np.bincount(col[side[row]], minlength=n) + 1) / (side.sum() + 2) for side in (low, ~low)]
-        out = np.maximum(out, np.abs(np.log(share[0] / share[1])))
-    return out
+class Chunk(NamedTuple):
+    """Sparse rows of a run of documents: the cells of row i are at[i] .. at[i + 1], cell j is in column slots[col[j]]."""
 
+    slots: np.ndarray
+    at: np.ndarray
+    col: np.ndarray
+    val: np.ndarray
+    y: np.ndarray
 
-def train_arrays(texts, grades: np.ndarray, l2: float = PENALTY) -> dict:
-    """The model of these texts and grades, as plain arrays."""
-    lex, style, tokens, base = [], [], [], 0
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.y), dtype=np.int32), np.diff(self.at))
+
+    def counts(self) -> np.ndarray:
+        """Documents of each grade (rows) that have each slot."""
+        row = self.rows()
+        return np.stack([np.bincount(self.col[(self.y == k)[row]], minlength=len(self.slots)) for k in range(GRADES)]).astype(np.int32)
+
+    def gradient(self, u: np.ndarray, th: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """(value, gradient by slot, gradient by threshold) at the weights u of the slots."""
+        n = np.diff(self.at)
+        some, f = n > 0, np.zeros(len(self.y))
+        if some.any():
+            f[some] = np.add.reduceat(u[self.col] * self.val, self.at[:-1][some])
+        value, df, gth = likelihood(f, self.y, th)
+        return value, np.bincount(self.col, np.repeat(df, n) * self.val, minlength=len(self.slots)), gth
+
+
+def chunk_of(texts, grades: np.ndarray) -> Chunk:
+    """Presence of lexical slots, scaled shares of style slots."""
+    keys, vals, base = [], [], 0
     for _, _, t in chunks(texts):
         ld, ls, sd, ss, n = features(t)
-        key = np.unique((ld + base) << LEX_BITS | ls)
-        lex.append(key)
-        sk, sc = np.unique((sd + base) << STYLE_BITS | ss, return_counts=True)
-        style.append((sk, sc))
-        tokens.append(n)
+        key = np.unique((ld + base) * SLOTS + ls)
+        sk, sc = np.unique((sd + base) * SLOTS + (1 << LEX_BITS) + ss, return_counts=True)
+        key, val = np.concatenate((key, sk)), np.concatenate((np.ones(len(key)), STYLE_SCALE * sc / np.maximum(n, 1)[sk // SLOTS - base]))
+        order = np.argsort(key)
+        keys.append(key[order])
+        vals.append(val[order].astype(np.float32))
         base += len(t)
-    key = np.concatenate(lex)
-    lex.clear()
-    sk, sc = np.concatenate([a for a, _ in style]), np.concatenate([b for _, b in style])
-    style.clear()
-    n = np.maximum(np.concatenate(tokens), 1)
-
-    def chosen(slots: np.ndarray, bits: int) -> np.ndarray:
-        df = np.bincount(slots, minlength=1 << bits)
-        return np.flatnonzero(df >= min(MIN_DF, max(1, base // 20)))
-
-    # Rows and columns as 32 bits, each array filled in place: there are as many cells as words in all texts.
-    slot = (key & ((1 << LEX_BITS) - 1)).astype(np.int32)
-    lex_slots = chosen(slot, LEX_BITS)
-    style_slots = chosen(sk & ((1 << STYLE_BITS) - 1), STYLE_BITS)
-    at = np.full(1 << LEX_BITS, -1, np.int32)
-    at[lex_slots] = np.arange(len(lex_slots))
-    slot = at[slot]
-    ok = slot >= 0
-    at = np.full(1 << STYLE_BITS, -1, np.int32)
-    at[style_slots] = np.arange(len(style_slots)) + len(lex_slots)
-    c = at[sk & ((1 << STYLE_BITS) - 1)]
-    few = c >= 0
-    doc = sk[few] >> STYLE_BITS
-    cells = int(ok.sum())
-    row, col = np.empty(cells + len(doc), np.int32), np.empty(cells + len(doc), np.int32)
-    col[:cells], col[cells:] = slot[ok], c[few]
-    del slot
-    key >>= LEX_BITS
-    row[:cells], row[cells:] = key[ok], doc
-    del key, ok
-    weight = log_ratios(row[:cells], col[:cells], len(lex_slots), grades)
-    val = np.empty(len(row))
-    val[:cells], val[cells:] = weight[col[:cells]], STYLE_SCALE * (sc[few] / n[doc])
-    w, th = Ordinal(l2=l2).fit(len(lex_slots) + len(style_slots), row, col, val, grades)
-    w[: len(lex_slots)] *= weight
-    return {"lex": lex_slots, "style": style_slots, "w": w, "th": th}
+    key = np.concatenate(keys) if keys else np.empty(0, np.int64)
+    slots, col = np.unique(key % SLOTS, return_inverse=True)
+    at = np.searchsorted(key, np.arange(base + 1) * SLOTS).astype(np.int32)
+    return Chunk(slots.astype(np.int32), at, col.astype(np.int32), np.concatenate(vals) if vals else np.empty(0, np.float32), grades)
 
 
-#: Shares of shapes lie between 0 and 1; this brings their weights to the size of those of words.
-STYLE_SCALE = 20.0
+def log_ratios(df: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each column, how differently it occurs below and above a grade: from the largest absolute log ratio over the grades, after
+    ``PRIOR`` documents that have it in both. Scaled by it, the penalty leaves telling words their weight and holds down the many
+    that tell nothing, or occur too seldom to tell."""
+    out = np.zeros(df.shape[1])
+    for k in range(GRADES - 1):
+        low, high = docs[: k + 1].sum(), docs[k + 1 :].sum()
+        if low and high:
+            a, b = PRIOR * low / (low + high), PRIOR * high / (low + high)
+            out = np.maximum(out, np.abs(np.log((df[: k + 1].sum(0) + a) / (low + a) * (high + b) / (df[k + 1 :].sum(0) + b))))
+    return np.maximum(0.1, 0.3 * out**3)
+
+
+def trained(parts: list[Chunk], l2: float = PENALTY) -> dict:
+    """The model of chunks: a weight for every slot, and the thresholds."""
+    seen = np.unique(np.concatenate([c.slots for c in parts]))
+    at = [np.searchsorted(seen, c.slots) for c in parts]
+    df, docs = np.zeros((GRADES, len(seen)), np.int64), np.zeros(GRADES, np.int64)
+    for i, c in zip(at, parts, strict=True):
+        df[:, i] += c.counts()
+        docs += np.bincount(c.y, minlength=GRADES)
+    lex = int(np.searchsorted(seen, 1 << LEX_BITS))
+    scale = np.ones(len(seen))
+    scale[:lex] = log_ratios(df[:, :lex], docs)
+    del df
+
+    def data(w: np.ndarray, th: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        u, total, g, gth = scale * w, 0.0, np.zeros(len(seen)), np.zeros(GRADES - 1)
+        for i, c in zip(at, parts, strict=True):
+            value, gc, gt = c.gradient(u[i], th)
+            total += value
+            g[i] += gc
+            gth += gt
+        return total, g * scale, gth
+
+    w, th = Ordinal(l2=l2).fit(len(seen), data)
+    u = np.zeros(SLOTS, np.float32)
+    u[seen] = scale * w
+    return {"u": u, "th": th}
+
+
+def train_arrays(texts, grades: np.ndarray, l2: float = PENALTY) -> dict:
+    """The model of these texts and grades in one piece."""
+    return trained([chunk_of(texts, np.asarray(grades, np.int64))], l2)
 
 
 class Scorer:
     def __init__(self, model: dict):
-        self.n_lex, self.n_style = len(model["lex"]), len(model["style"])
-        self.lex = np.full(1 << LEX_BITS, -1, np.int32)
-        self.lex[model["lex"]] = np.arange(self.n_lex)
-        self.style = np.full(1 << STYLE_BITS, -1, np.int32)
-        self.style[model["style"]] = np.arange(self.n_style)
-        self.w_lex, self.w_style, self.th = model["w"][: self.n_lex], model["w"][self.n_lex :], model["th"]
+        self.u, self.th = model["u"], model["th"]
 
     def tails(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """P(grade > k) for each document and k, and whether it has a word."""
         ld, ls, sd, ss, n = features(t)
         docs = len(t)
-        c = self.lex[ls]
-        ok = c >= 0
-        key = ld[ok] * self.n_lex + c[ok]
-        if docs * self.n_lex <= TABLE_CELLS:
-            seen = np.zeros(docs * self.n_lex, bool)
-            seen[key] = True
-            at = np.flatnonzero(seen)
-        else:  # many short texts
-            at = np.unique(key)
-        f = np.bincount(at // max(1, self.n_lex), self.w_lex[at % max(1, self.n_lex)], minlength=docs) if len(at) else np.zeros(docs)
-        c = self.style[ss]
-        ok = c >= 0
-        f = f + STYLE_SCALE * np.bincount(sd[ok], self.w_style[c[ok]], minlength=docs) / np.maximum(n, 1)
+        key = np.sort(ld << LEX_BITS | ls)
+        key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
+        f = np.bincount(key >> LEX_BITS, self.u[key & ((1 << LEX_BITS) - 1)], minlength=docs) if len(key) else np.zeros(docs)
+        f = f + STYLE_SCALE * np.bincount(sd, self.u[(1 << LEX_BITS) + ss], minlength=docs) / np.maximum(n, 1)
         has = np.zeros(docs, bool)
         has[ld] = True
         return _sigmoid(f[:, None] - self.th[None, :]), has
@@ -260,20 +279,37 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, ratings: DataFrame, text: str = "text", max_train: int = MAX_TRAIN, l2: float = PENALTY) -> dict | None:
     """The model of the rows of ``docs`` that have a grade; None where there is none."""
-    rows = ratings.select("doc_id", "grade").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    sample = docs.select("doc_id", F.col(text).alias("t")).where(F.col("t").isNotNull())
-    sample = sample.join(F.broadcast(rows), "doc_id").dropDuplicates(["doc_id"]) if max_train <= MAX_TRAIN else sample.join(rows, "doc_id").dropDuplicates(["doc_id"])
-
-    def train(batches):
+    if max_train > MAX_BROADCAST:
+        raise ValueError(f"max_train is {max_train}; the ids and grades of at most {MAX_BROADCAST} rows are sent to all tasks")
+    spark = docs.sparkSession
+    rows = ratings.select(F.col("doc_id").alias("id"), F.col("grade").cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_train)
+    sample = docs.select(F.col("doc_id").alias("id"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(rows), "id")
+    sample = sample.groupBy("id").agg(F.first("y").alias("y"), F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("s"))
+    parts = max(1, -(-rows.count() // CHUNK_DOCS))
+    sample = sample.select("id", "y", F.col("s.t").alias("t"), F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(parts)).cast("int").alias("chunk"))
+
+    def cells(batches):
         got = [b for b in batches if b.num_rows]
         if got:
-            t = pa.Table.from_batches(got).sort_by("doc_id")
+            t = pa.Table.from_batches(got).sort_by([("chunk", "ascending"), ("id", "ascending")])
             got.clear()
-            model = train_arrays(t.column("t"), np.asarray(t.column("grade"), np.int64), l2)
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+            c = chunk_of(t.column("t"), np.asarray(t.column("y"), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (t.column("chunk")[0].as_py(), *(a.tobytes() for a in c))], names=["chunk", *Chunk._fields])
+
+    kinds = ("chunk long, slots binary, at binary, col binary, val binary, y binary", (np.int32, np.int32, np.int32, np.float32, np.int64))
+    data = written(sample.repartitionById(parts, F.col("chunk")).mapInArrow(cells, kinds[0]), spark)
+
+    def train(batches):
+        found = []
+        for b in batches:
+            for i in range(b.num_rows):  # views of the batches, not copies
+                found.append((b.column(0)[i].as_py(), Chunk(*(np.frombuffer(b.column(j)[i].as_buffer(), kind) for j, kind in enumerate(kinds[1], 1)))))
+        found = [c for _, c in sorted(found, key=lambda x: x[0]) if len(c.slots)]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trained(found, l2))], pa.binary())], names=["model"])
 
-    found = sample.repartition(1).mapInArrow(train, "model binary").collect()
-    return pickle.loads(found[0][0]) if found else None
+    model = data.coalesce(1).mapInArrow(train, "model binary").collect()
+    return pickle.loads(model[0].model) if model else None
 
 
 def score(docs: DataFrame, model: dict | None, text: str = "text", keep: list[str] | None = None, threshold: float = SELECT) -> DataFrame:
@@ -281,11 +317,12 @@ def score(docs: DataFrame, model: dict | None, text: str = "text", keep: list[st
     names = [c for c in (docs.columns if keep is None else keep) if c not in SCORES]
     inside = [f"c{i}" for i in range(len(names))]
     source = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(names, inside, strict=True)), F.col(text).alias("t"))
+    shared = None if model is None else docs.sparkSession.sparkContext.broadcast(model)
     kinds = [T.StructField(i, docs.schema[c].dataType) for c, i in zip(names, inside, strict=True)]
     kinds += [T.StructField(c, T.DoubleType()) for c in SCORES[:3]] + [T.StructField("keep", T.BooleanType())]
 
     def run(batches):
-        scorer = Scorer(model) if model is not None else None
+        scorer = Scorer(shared.value) if shared is not None else None
         for batch in batches:
             column = batch.column(len(inside))
             for a, b, t in chunks(column):
