@@ -90,6 +90,14 @@ class InvertedIndex:
     doc_stats: DataFrame
     terms: DataFrame
     stats: DataFrame
+    _totals: tuple[int, float] | None = None
+
+    def totals(self) -> tuple[int, float]:
+        """(documents, mean length), looked up once."""
+        if self._totals is None:
+            s = self.stats.first()
+            self._totals = (s.n, s.avgdl)
+        return self._totals
 
     @staticmethod
     def build(docs: DataFrame, cfg: TokenizerConfig | None = None, id_: str = "doc_id", text: str = "text", positions: bool = False) -> InvertedIndex:

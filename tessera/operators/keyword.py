@@ -38,13 +38,15 @@ def _scored(index: InvertedIndex, query: list[str], params: Bm25Params | None) -
     """(term, doc_id, tf, one): what each posting of the query's terms scores."""
     weights = Counter(query)
     some = F.col("term").isin(*weights)
-    w = F.create_map(*(x for t, n in weights.items() for x in (F.lit(t), F.lit(n))))
+    n, avgdl = index.totals()
+    # frequencies of the query's terms and the corpus' totals are few numbers, which go into the expression
+    df = {r.term: r.df for r in index.terms.where(some).select("term", "df").collect()}
     hits = index.postings.where(some).select("term", "doc_id", "tf", "doc_len")
-    # as many rows as the query has terms
-    df = F.broadcast(index.terms.where(some).select("term", "df"))
-    j = hits.join(df, "term").crossJoin(F.broadcast(index.stats.select("n", "avgdl")))
-    one = bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("doc_len"), F.col("avgdl"), params) * F.element_at(w, F.col("term"))
-    return j.select("term", "doc_id", "tf", one.alias("one"))
+    one = F.lit(0.0)
+    for t, w in weights.items():
+        if t in df:
+            one = F.when(F.col("term") == t, bm25(F.col("tf"), F.lit(df[t]), F.lit(n), F.col("doc_len"), F.lit(avgdl), params) * w).otherwise(one)
+    return hits.select("term", "doc_id", "tf", one.alias("one"))
 
 
 def search(index: InvertedIndex, query: list[str], k: int = 10, params: Bm25Params | None = None, tombstones: DataFrame | None = None) -> DataFrame:

@@ -46,13 +46,22 @@ class SearchRequest:
 
 @dataclass(frozen=True)
 class SearchResponse:
-    """``results`` (doc_id, score, highlights) are the rows found, k at most; ``matched`` is their number, ``total_hits`` the size of
-    the corpus, ``took_ms`` the time of the whole search."""
+    """``hits`` (doc_id, score) are what was found, k at most, ``matched`` their number, ``total_hits`` the size of the corpus, and
+    ``took_ms`` the time of the whole search."""
 
-    results: DataFrame
-    matched: int
+    hits: list[tuple[int, float]]
     total_hits: int
     took_ms: float
+    spark: SparkSession = field(repr=False)
+
+    @property
+    def matched(self) -> int:
+        return len(self.hits)
+
+    @property
+    def results(self) -> DataFrame:
+        """The hits as (doc_id, score, highlights)."""
+        return self.spark.createDataFrame([(i, s, []) for i, s in self.hits], "doc_id long, score double, highlights array<string>")
 
 
 class Engine:
@@ -210,11 +219,10 @@ class Engine:
             else:
                 raise IndexNotReady(f"position {r.min_applied} isn't visible yet, {self._visible} is")
         rows = self._found(r).select("doc_id", "score").collect()  # k at most
-        hits = self.spark.createDataFrame([(x.doc_id, x.score, []) for x in rows], "doc_id long, score double, highlights array<string>")
         self.metrics.count("searches_total", label=r.mode)
         took = time.time() - began
         self.metrics.observe("search_seconds", took)
-        return SearchResponse(hits, len(rows), self._total, took * 1000)
+        return SearchResponse([(x.doc_id, x.score) for x in rows], self._total, took * 1000, self.spark)
 
     def _keyword(self, r: SearchRequest, k: int, docs: DataFrame, index: InvertedIndex | None) -> DataFrame:
         terms = analyse(r.query or "", self.settings.tokenizer)

@@ -152,6 +152,14 @@ def _hybrid(spark, d, weight):
     return hybrid.fuse(kw, vector.search(_vec(spark, d), query_vector(), 2 * K, "cosine", DIM), K, weight)
 
 
+def batch_hyb_topk(spark, d):
+    """The best documents for each item of the benchmark, with the vector of the item's number as its vector query."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    v = q.join(_vec(spark, d).withColumnRenamed("doc_id", "qid"), "qid")
+    kw = keyword.batch_search(InvertedIndex.build(_docs(spark, d)).materialised(), q, 2 * K)
+    return hybrid.fuse_by(kw, vector.batch_search(_vec(spark, d), v, DIM, 2 * K, "cosine"), "qid", K, 0.5)
+
+
 def hyb_topk(spark, d):
     return _hybrid(spark, d, 0.5)
 
@@ -257,7 +265,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         kw_bm25plus_topk, kw_bm25_topk, kw_index_topk, kw_multiplicity, kw_all_matches, kw_tombstones, kw_filtered, kw_block_bounds, kw_blockmax_topk, kw_fresh, batch_kw_topk, vs_cosine, vs_euclidean, vs_dot, vs_distance, vs_length_mismatch, vs_normalize,
-        vec_topk_cosine, vec_topk_euclidean, vec_topk_dot, vec_tombstones, vec_dim_guard, batch_vec_topk, hyb_topk, hyb_w0, hyb_w1, hyb_unclamped, pq_codebook, pq_codes, pq_topk, pq_reranked, pq_store,
+        vec_topk_cosine, vec_topk_euclidean, vec_topk_dot, vec_tombstones, vec_dim_guard, batch_vec_topk, batch_hyb_topk, hyb_topk, hyb_w0, hyb_w1, hyb_unclamped, pq_codebook, pq_codes, pq_topk, pq_reranked, pq_store,
         pq_reconstruction, pq_memory, ann_topk, ann_scored, ann_recall, ann_layers, ann_adaptive_ef,
     )
 }
@@ -308,6 +316,16 @@ ORACLES = {
     "vec_dim_guard": "SELECT count(*) FILTER (WHERE len(embedding) = 64) AS accepted, count(*) FILTER (WHERE embedding IS NULL OR len(embedding) <> 64) AS refused FROM embeddings",
     "batch_vec_topk": f"""WITH {VEC}, s AS (SELECT a.doc_id AS qid, b.doc_id, round(greatest(0.0, least(1.0, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))))), 6) AS score FROM v a, v b)
       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5""",
+    "batch_hyb_topk": rf"""WITH {POST}, {VEC}, q AS (
+        SELECT item_id AS qid, term, count(*) AS w FROM (SELECT item_id, unnest(list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+'), lambda x: lower(x))) AS term FROM benchmark) WHERE strlen(term) BETWEEN 2 AND 50 GROUP BY ALL),
+      s AS (SELECT qid, doc_id, round(sum(w * {bm25_sql()}), 6) AS score FROM q JOIN post USING (term) JOIN df USING (term) JOIN len USING (doc_id), st GROUP BY ALL),
+      kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 20),
+      t AS (SELECT a.doc_id AS qid, b.doc_id, round(greatest(0.0, least(1.0, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))))), 6) AS score FROM v a JOIN benchmark ON item_id = a.doc_id, v b),
+      ve AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM t) WHERE r <= 20),
+      p AS (SELECT qid, doc_id, CASE WHEN max(score) OVER (PARTITION BY qid) <= 0 THEN 0 ELSE greatest(0, least(1, score / max(score) OVER (PARTITION BY qid))) END * 0.5::DOUBLE AS part FROM kw
+        UNION ALL SELECT qid, doc_id, CASE WHEN max(score) OVER (PARTITION BY qid) <= 0 THEN 0 ELSE greatest(0, least(1, score / max(score) OVER (PARTITION BY qid))) END * 0.5::DOUBLE FROM ve),
+      f AS (SELECT qid, doc_id, round(sum(part), 6) AS score FROM p GROUP BY ALL)
+      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id DESC) AS rank FROM f) WHERE rank <= {K}""",
     "hyb_topk": _hyb("0.5"),
     "hyb_w0": _hyb("0.0"),
     "hyb_w1": _hyb("1.0"),

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -319,3 +320,134 @@ def test_json_arrays_and_generations(spark, tmp_path):
     assert [r.doc_id for r in s.tombstones().collect()] == [7] and s.applied() == 3 and s.pointers().count() == 0
     s.clear()
     assert s.log().count() == 0
+
+
+def test_stream_goes_on_after_compaction(spark, tmp_path):
+    """Ten documents, compacted, then three more from a new folder: thirteen, and again where a batch comes twice."""
+    from tessera.streaming.stream import ChangelogView, read_changelog
+
+    def rows(ids, at):
+        return spark.createDataFrame([(at + i, 0, "Index", i, f"text {i}", [1.0], None, 0) for i in ids], log.schema(log.CHANGELOG))
+
+    first, second, third = (f"{tmp_path}/{x}" for x in "abc")
+    rows(range(10), 1).write.parquet(first)
+    view = ChangelogView(spark, f"{tmp_path}/view", 1)
+    view.start(read_changelog(spark, first)).awaitTermination()
+    small = view.compact(f"{tmp_path}/small")
+    assert small.documents().count() == 10 and small.applied() == view.applied()
+    rows(range(20, 23), 100).write.parquet(second)
+    small.start(read_changelog(spark, second)).awaitTermination()
+    assert sorted(r.id for r in small.documents().collect()) == [*range(10), 20, 21, 22] and small.applied() == 122
+    again = small.compact(f"{tmp_path}/again")
+    rows([5, 20, 30], 200).unionByName(rows(range(10), 1)).write.parquet(third)  # a part of the log a second time
+    again.start(read_changelog(spark, third)).awaitTermination()
+    assert sorted(r.id for r in again.documents().collect()) == [*range(10), 20, 21, 22, 30]
+
+
+def test_engine_reads_what_is_not_refreshed(spark, tmp_path):
+    from tessera.plans.commands import Change, Command
+    from tessera.plans.engine import Engine, SearchRequest
+    from tessera.plans.settings import BadRequest, InvalidConfig, InvalidEmbeddingDimensions, Settings, TokenizerConfig
+
+    e = Engine(spark, str(tmp_path / "e"), Settings(dim=2, approximate=True))
+    e.index([{"content": "rust programming", "embedding": [1.0, 0.0]}, {"content": "garden tools", "embedding": [0.0, 1.0]}])
+    e.refresh()
+    near = SearchRequest("vector", None, [1.0, 0.1], k=2, approximate=True)
+    assert [i for i, _ in e.search(near).hits] == [1, 2]
+    # the document before the wrong one is written
+    with pytest.raises(InvalidEmbeddingDimensions):
+        e.index([{"content": "rust compiler", "embedding": [0.9, 0.1]}, {"content": "bad", "embedding": [1.0]}, {"content": "never", "embedding": [1.0, 1.0]}])
+    with pytest.raises(BadRequest):
+        e.index([{"content": None, "embedding": [1.0, 1.0]}])
+    e.apply(Command("DeleteDocument", ids=(1,)))
+    assert [i for i, _ in e.search(SearchRequest("keyword", "rust")).hits] == [1]
+    r = e.search(SearchRequest("keyword", "rust", fresh=True))
+    assert [i for i, _ in r.hits] == [3] and r.matched == 1 and r.results.columns == ["doc_id", "score", "highlights"]
+    assert [i for i, _ in e.search(SearchRequest("vector", None, [1.0, 0.0], fresh=True)).hits] == [3, 2]
+    fresh = e.search(SearchRequest("hybrid", "rust tools", [1.0, 0.0], fresh=True)).hits
+    e.refresh()
+    assert e.search(SearchRequest("hybrid", "rust tools", [1.0, 0.0])).hits == fresh and e.total() == 2
+    assert e.apply(Command("UpdateDocument", ids=(2,), change=Change().having(content="the garden"))) == 4
+    e.apply(Command("UpdateSettings", settings={"tokenizer": TokenizerConfig(remove_stopwords=True)}))
+    e.refresh()
+    assert e.search(SearchRequest("keyword", "the")).hits == [] and e.status()["dimensions"] == 2
+    with pytest.raises(InvalidConfig):
+        e.update_settings(dim=3)
+    with pytest.raises(ValueError):
+        Command("Nothing")
+    assert Command("BatchDelete").modifies_documents and not Command("CompactIndex").modifies_documents
+    assert Change().empty and Change(content="x").applied({"content": "y", "id": 1}, 7) == {"content": "x", "id": 1, "updated_at": 7}
+
+
+def test_graph_of_copies(spark):
+    """Hundreds of equal and nearly equal vectors don't cut each other off; graphs read back are those that were written."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate((np.repeat(rng.normal(size=(3, 8)), 150, 0), rng.normal(size=(1, 8)) + 1e-5 * rng.normal(size=(150, 8)), rng.normal(size=(200, 8))))
+    order = rng.permutation(len(x))
+    x = x[order]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, embedding array<double>")
+    nodes = graph.built(df, 8)
+    asked = [(i, x[i].tolist()) for i in range(0, len(x), 7)]
+    got = {}
+    for r in graph.find(nodes, asked, 8, 10).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.doc_id))
+    hit = 0
+    for i, q in asked:
+        d = np.round(np.sqrt(((x - np.array(q)) ** 2).sum(1)), 6)
+        far = np.sort(d)[9]
+        hit += np.mean([d[j] <= far for _, j in got[i]]) * (len(got[i]) == 10)
+    assert hit / len(asked) >= 0.95
+    assert nodes.count() < len(x) - 400
+    g = graph.Graph(8).build(x[np.argsort(np.arange(len(x)))], np.arange(len(x)))
+    back = graph.Graph.of(g.rows())
+    assert back.layers == g.layers and back.entry == g.entry and back.search(x[3], 5, 50) == g.search(x[3], 5, 50)
+
+
+def test_quantized_store(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, embedding array<float>")
+    s = pq.PqStore(spark, str(tmp_path / "pq"), 8, PqConfig(m=4, centroids=16, max_iter=20))
+    s.add(df.where("doc_id < 50"))
+    assert s.book() is None and s.count() == 50 and {tuple(r.codes) for r in s.codes().collect()} == {(0, 0, 0, 0)}
+    book = s.train()
+    s.add(df.where("doc_id >= 40"))
+    s.remove(spark.createDataFrame([(3,), (999,)], "doc_id long"))
+    codes = {r.doc_id: r.codes for r in s.codes().collect()}
+    assert sorted(codes) == [i for i in range(80) if i != 3] and all(codes[i] == book.encode(x[[i]].astype(float))[0].tolist() for i in codes)
+    assert s.contains(spark.createDataFrame([(3,), (4,)], "doc_id long")).collect()[0].doc_id == 4 and s.waiting().isEmpty()
+    q = rng.normal(size=8).tolist()
+    exact = sorted(((round(float(np.sqrt(((v - np.array(q)) ** 2).sum())), 6), i) for i, v in enumerate(x) if i != 3))[:5]
+    found = pq.exact_search(pq.with_error(s.codes(), book, df), book, df, q, 5).collect()
+    assert [(r.distance, r.doc_id) for r in found] == exact
+    cache = pq.VectorCache(30)
+    short = pq.search(s.codes(), book, q, 40)
+    assert [i for i, _ in cache.reranked(short, df, q, 3)] == [i for _, i in exact[:3]] and len(cache) == 30 and cache.misses == 40
+    cache.remove(next(iter(cache._rows)))
+    assert len(cache) == 29
+
+
+def test_codebook_against_plain_iterations(spark):
+    """Every subspace against the same steps written out row by row."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, embedding array<double>").repartition(3)
+    book = pq.train(df, 6, PqConfig(m=3, centroids=5, max_iter=4, tol=0.0))
+    first = np.array([r.embedding for r in df.orderBy(F.xxhash64("doc_id"), "doc_id").collect()])
+    for s in range(3):
+        c = pq.spread(first[:, 2 * s : 2 * s + 2], 5)
+        for _ in range(4):
+            at = [min(range(5), key=lambda j: ((p - c[j]) ** 2).sum()) for p in x[:, 2 * s : 2 * s + 2]]
+            c = np.array([np.mean([p for p, a in zip(x[:, 2 * s : 2 * s + 2], at) if a == j], 0) if j in at else c[j] for j in range(5)])
+        assert np.allclose(book.centroids[s], c)
+
+
+def test_metrics_keep_buckets_only():
+    from tessera.plans.metrics import Metrics
+
+    m = Metrics()
+    for v in (0.0005, 0.02, 0.02, 7.0):
+        m.observe("search_seconds", v)
+    text = m.text()
+    assert 'search_seconds_bucket{le="0.001"} 1' in text and 'search_seconds_bucket{le="0.05"} 3' in text and 'search_seconds_bucket{le="+Inf"} 4' in text and "search_seconds_sum 7.0405" in text
+    assert len(m.seen["search_seconds"]) == 10
