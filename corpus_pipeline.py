@@ -18,7 +18,8 @@ def _aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier of the labels table keeps; low quality, toxic and empty ones go."""
+    """Documents that the classifier of the labels table keeps; low quality, toxic and empty ones go, null texts among them.
+    Repeated rows go or stay together; without labels, or in an empty table, every text that has a word stays."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, quality.graded(labels))
     rows, back = _aside(docs, quality.SCORES)
@@ -26,7 +27,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand earlier in the corpus; those of which nothing is left go."""
+    """Documents without the lines that stand earlier in the corpus; those of which nothing is left go. Null texts and texts that
+    lose no line stay as they are; repeated rows lose the same lines; equal lines stay with the least id."""
     added = ["n_lines", "n_dropped"]
     rows, back = _aside(docs, added)
     out = linededup.LineIndex(spark).insert(rows)
@@ -35,19 +37,33 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.drop(*added).withColumnsRenamed(back).select(docs.columns)
 
 
+def _one_row_each(docs: DataFrame) -> DataFrame:
+    """One row for each id: of rows that share one, that of the least hash. Rows without an id stay. Only the rows of repeated
+    ids are aggregated, before they move."""
+    again = textops.written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return docs
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = docs.join(again, "doc_id", "left_semi").select("doc_id", row.alias("row"), F.xxhash64(row).alias("h")).groupBy("doc_id").agg(F.min_by("row", "h").alias("row"))
+    return docs.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one.select("row.*"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the least id."""
+    """One document of each group of near copies: that of the least id. Repeated rows, and rows that share an id, are one
+    document and leave one row. Rows without an id, and texts without a word, have no copies and stay; an empty table stays
+    empty."""
     gone = jaccard.groups(docs).where("doc_id <> first").select("doc_id")
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    return _one_row_each(docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's weight, the root of its size, asks for; the size of the whole stays."""
+    """Documents as often as their source's weight, the root of its size, asks for; the size of the whole stays. A null source is a
+    source, null and empty texts have size 1, and rows of one id and source are copied alike."""
     return mixing.mixed(docs, mixing.plan(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and byte offsets in place of texts."""
+    """Token ids and byte offsets in place of texts, for every row; null for a null text, none for an empty one."""
     return bpe.encode(docs)
 
 
