@@ -38,7 +38,34 @@ def test_recall_of_every_query(spark):
 def test_table(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     x = np.array([r.embedding for r in df.orderBy("vec_id").collect()], float)
-    assert recall(ann.op7_ann(spark, sf).collect(), exact(x, 10)) >= 0.9
+    truth = exact(x, 10)
+    assert recall(ann.neighbours(df).collect(), truth) >= 0.9
+    asked = ann.op7_ann(spark, sf).collect()
+    assert {r.id for r in asked} == set(range(0, len(x), 100)) and len(asked) == 10 * len(range(0, len(x), 100))
+    assert np.mean([r.neighbour in truth[r.id] for r in asked]) >= 0.9
+
+
+def test_exhaustive_with_copies(spark):
+    """Exact neighbours over several batches and partitions, equal vectors by id."""
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(60, 8)), 20, 0).astype(np.float32)
+    df = frame(spark, x).select("vec_id", "embedding")
+    got = ann.exhaustive(df, [(i, x[i].tolist()) for i in (0, 25, 1199)], 30).collect()
+    for i in (0, 25, 1199):
+        want = ann._top(x[i], x, np.arange(len(x)), i, 30)[0].tolist()
+        assert [r.id for r in sorted(got, key=lambda r: (r.d, r.id)) if r.query == i] == want
+
+
+def test_queues_as_matrix_and_as_heap():
+    rng = np.random.default_rng(9)
+    tree, _ = ann.local_tree(rng.normal(size=(3000, 6)).astype(np.float32), 1)
+    y = rng.normal(size=(300, 6)).astype(np.float32)
+    whole = ann.order_of(tree)(y, 9)
+    ann.MATRIX_NODES, kept = 0, ann.MATRIX_NODES
+    try:
+        assert np.mean(ann.order_of(tree)(y, 9) == whole) > 0.99
+    finally:
+        ann.MATRIX_NODES = kept
 
 
 def test_edges(spark):
