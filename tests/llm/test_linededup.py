@@ -86,3 +86,62 @@ def test_cuckoo():
     assert c.holds(a[4000:], b[4000:]).all() and c.holds(a[:4000], b[:4000]).mean() < 0.01
     c.add(a[:4000], b[:4000])
     assert c.holds(a, b).all()
+
+
+def test_history_like_sql(spark, sf):
+    from tessera.llm import linededup
+
+    assert differences(linededup.linededup_history(spark, sf), connect(sf), linededup.ORACLES["linededup_history"]) == ""
+
+
+def test_another_session_goes_on(spark, tmp_path):
+    """A reopened index knows its lines; a named batch that is inserted again changes nothing; shards grow with the lines."""
+    first, second = random_rows(40, 1), random_rows(300, 2, 100)
+    path, seen = f"file://{tmp_path}/lines", set()
+    a = LineIndex(spark, path, shard_lines=16)
+    want = brute(first[:1], seen)
+    assert shown(a.insert(frame(spark, first[:1]), batch="one")) == want and a.shards == 1
+    b = LineIndex(spark, path, shard_lines=16)
+    assert (b.shards, b.generation) == (1, 1)
+    assert shown(b.insert(frame(spark, first[:1]), batch="one")) == want and b.generation == 1 and sorted(map(tuple, b.counts().collect())) == sorted(map(tuple, a.counts().collect()))
+    assert shown(b.insert(frame(spark, first[1:]), batch="two")) == brute(first[1:], seen)
+    c = LineIndex(spark, path, shard_lines=16)
+    assert shown(c.insert(frame(spark, second), batch="three")) == brute(second, seen) and c.shards >= 64
+    assert c.filters.count() == c.filters.select("shard").distinct().count() > 10
+
+
+def test_failed_insert_leaves_the_state(spark, monkeypatch):
+    import pytest
+
+    index, rows = LineIndex(spark), random_rows(20, 3)
+    index.insert(frame(spark, rows[:10]), batch="a")
+    before = (index.generation, index.shards, index.counts().count())
+    with monkeypatch.context() as m:
+        m.setattr(index, "_commit", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            index.insert(frame(spark, rows[10:]), batch="b")
+    assert (index.generation, index.shards, index.counts().count()) == before
+    assert shown(index.insert(frame(spark, rows[10:]), batch="b")) == {i: v for i, v in brute(rows).items() if i >= 10}
+
+
+def test_clashing_names_and_other_ids(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, "a\na", 7, "x", [1]), (2, "a\nb", 8, "y", None)], "doc_id int, text string, __id int, lines string, __drop array<int>")
+    out = LineIndex(spark).insert(df)
+    assert out.columns == [*df.columns, "n_lines", "n_dropped"]
+    assert {(r.doc_id, r.text, r["__id"], r["lines"]) for r in out.collect()} == {(1, "a", 7, "x"), (2, "b", 8, "y")}
+    with pytest.raises(ValueError):
+        LineIndex(spark).insert(df.withColumn("doc_id", df.text))
+
+
+def test_cuckoo_equal_fingerprints():
+    """More equal fingerprints than two buckets hold, and their removal one by one."""
+    c = Cuckoo()
+    k = np.full(40, 77, np.uint64)
+    c.add(k, k)
+    assert sum(int((s != 0).sum()) for s in c.segments) == 40
+    c.remove(k[:39], k[:39])
+    assert sum(int((s != 0).sum()) for s in c.segments) == 1 and c.holds(k[:1], k[:1])[0]
+    c.remove(k[:1], k[:1])
+    assert not c.holds(k[:1], k[:1])[0]
