@@ -13,8 +13,8 @@ Only (id, source, size) rows move for the plan; the texts move once, when copies
 Defined results: the unit is (doc_id, source): repeated rows of one unit get the same number of copies and count with their
 common size; a null id or source is a unit or source like any other; empty and null texts have size 1 (size is the number
 of characters and one); a source without a target gets no copy; targets of sources that have no documents are left out, so
-that the others share the whole; an empty table gives an empty plan. Clashing names of other columns are kept in
-``mixed``, which adds none.
+that the others share the whole; an empty table gives an empty plan; ids are integers of any width, other types are an error.
+Other columns keep their names and values in ``mixed``, which adds none.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textops import U64, mix64, written
+from .textops import U64, long_id, mix64, written
 
 #: Units of one bucket, about; what one task pairs in memory at a time.
 BUCKET_ROWS = 1 << 17
@@ -92,8 +92,8 @@ def plan(docs: DataFrame, targets: DataFrame | None = None, alpha: float = 0.5,
 
     targets: (source, weight); without it the weights are the sources' sizes to the power ``alpha``. budget: the size of the
     output, by default that of the input."""
-    size = F.coalesce(F.length(text), F.lit(0)).cast("long") + 1
-    units = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"))
+    size = F.coalesce(F.length(f"`{text}`"), F.lit(0)).cast("long") + 1
+    units = docs.select(long_id(docs).alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
     units = written(units.groupBy("doc_id", "source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")))
     mass = units.groupBy("source").agg(F.sum("size").alias("mass"))
     if targets is None:
@@ -130,15 +130,18 @@ def plan(docs: DataFrame, targets: DataFrame | None = None, alpha: float = 0.5,
 
 
 def mixed(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the plan says."""
-    d = decided.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("copies").alias("__copies"))
-    j = docs.join(d.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(d["__id"]) & docs["source"].eqNullSafe(d["__s"]))
-    return j.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    """The rows of ``docs``, each as often as the plan says. A row travels as one, whatever its columns are called."""
+    d = decided.where("copies > 0").select(F.col("doc_id").alias("of"), F.col("source").alias("its"), F.col("copies").cast("int").alias("copies"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    t = docs.select(row, long_id(docs).alias("id"), F.col("source").cast("string").alias("src"))
+    j = t.join(d.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("of")) & F.col("src").eqNullSafe(F.col("its")))
+    return j.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copies of all documents for sources weighted by the root of their size, at the size of the input."""
-    return plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All documents, as often as the plan says, for sources weighted by the root of their size, at the size of the input."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    return mixed(docs, plan(docs))
 
 
 QUERIES = {"op1_mixing": op1_mixing}
