@@ -8,7 +8,8 @@ its interval holds a single key. Then the rows are exchanged once, straight to t
 The counting passes read a table of (key, bytes) alone, written once. The driver holds a few candidates for each shard
 (about 100 bytes each; at 1 GB a shard, 100 TB make 100,000 shards).
 
-Defined results: keys compare column by column, null before all else, text by its bytes; rows are told apart within equal
+Defined results: keys compare column by column, null before all else, numbers, dates and times by value (NaN above all, minus
+zero as zero), text by its bytes; a column of another kind is an error; rows are told apart within equal
 keys by a hash of the text, so only repeated rows can't be parted and share a shard; a null text has 0 bytes; a key heavier
 than a shard makes that shard too large, and shards may then be empty; an empty table gives no rows. A column of the
 input called shard is replaced.
@@ -17,7 +18,9 @@ input called shard is replaced.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,20 +32,57 @@ TOLERANCE = 0.02
 CANDIDATES = 16
 
 
+@F.pandas_udf(T.LongType())
+def _float_order(x: pd.Series) -> pd.Series:
+    """Longs that order as the numbers do: minus zero is zero, NaN is above all."""
+    v = x.to_numpy(float, na_value=np.nan) + 0.0
+    bits = np.where(np.isnan(v), np.nan, v).view(np.int64)
+    bits = np.where(np.isnan(v), np.int64(0x7FF8000000000000), bits)
+    return pd.Series(bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF)))
+
+
+def _code(df: DataFrame, c: str) -> Column:
+    """A hexadecimal string that orders as a column's values do."""
+    kind, x = df.schema[c].dataType, F.col(f"`{c}`")
+    if isinstance(kind, T.BooleanType):
+        x = x.cast("int")
+    elif isinstance(kind, T.DateType):
+        x = F.unix_date(x)
+    elif isinstance(kind, T.TimestampType):
+        x = F.unix_micros(x)
+    elif isinstance(kind, T.TimestampNTZType):
+        x = F.unix_micros(F.to_utc_timestamp(x, "UTC"))
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        x = _float_order(x.cast("double"))
+    elif isinstance(kind, T.DecimalType):
+        digits = F.lpad(F.replace(F.format_number(F.abs(x), kind.scale), F.lit(","), F.lit("")), kind.precision + 2, "0")
+        turned = F.translate(digits, "0123456789", "9876543210")
+        return F.hex(F.encode(F.when(x < 0, F.concat(F.lit("0"), turned)).otherwise(F.concat(F.lit("1"), digits)), "UTF-8"))
+    elif isinstance(kind, T.BinaryType):
+        # zero bytes become 00 01, so that 00 00 ends a value
+        return F.concat(F.replace(F.regexp_replace(F.regexp_replace(F.hex(x), "(..)", "$1."), r"00\.", "0001."), F.lit("."), F.lit("")), F.lit("0000"))
+    elif isinstance(kind, T.StringType):
+        return F.concat(F.hex(F.encode(F.replace(x, F.lit("\0"), F.lit("\0\x01")), "UTF-8")), F.lit("0000"))
+    elif not isinstance(kind, T.IntegralType):
+        raise ValueError(f"no order for {c}, of type {kind.simpleString()}")
+    return F.lpad(F.hex(x.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+
+
 def sort_key(df: DataFrame, by: list[str], text: str = "text") -> Column:
     """A hexadecimal string that orders as the columns do, with a hash of the text at its end."""
-    parts = []
-    for c in by:
-        if isinstance(df.schema[c].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-            code = F.lpad(F.hex(F.col(c).cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
-        else:
-            code = F.concat(F.hex(F.encode(F.replace(F.col(c).cast("string"), F.lit("\0"), F.lit("\0\x01")), "UTF-8")), F.lit("0000"))
-        parts.append(F.when(F.col(c).isNull(), F.lit("00")).otherwise(F.concat(F.lit("01"), code)))
-    return F.concat(*parts, F.lpad(F.hex(F.xxhash64(text)), 16, "0"))
+    parts = [F.when(F.col(f"`{c}`").isNull(), F.lit("00")).otherwise(F.concat(F.lit("01"), _code(df, c))) for c in by]
+    return F.concat(*parts, F.lpad(F.hex(F.xxhash64(f"`{text}`")), 16, "0"))
 
 
 def _bytes(column) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype="S") if len(column) else np.empty(0, "S1")
+    """Fixed-width bytes of a column of ASCII strings."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.empty(0, "S1")
+    width = max(1, pc.max(pc.binary_length(column)).as_py())
+    wide = pc.ascii_rpad(column.cast(pa.string()), width, "\0").cast(pa.binary()).cast(pa.binary(width))
+    return np.frombuffer(wide.buffers()[1], f"S{width}", len(wide), wide.offset * width)
 
 
 def _at(bounds: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -98,20 +138,30 @@ def draw(sizes: DataFrame, bounds: np.ndarray, wanted: np.ndarray, each: int, sa
     return np.array(sorted(r[0].encode() for r in rows), dtype="S") if rows else np.empty(0, "S1")
 
 
+def first_draw(sizes: DataFrame, rows: int, each: int) -> np.ndarray:
+    """About ``each`` keys of the whole, those whose hash falls below a bound: nothing is ranked and no task sees them all."""
+    grain = 1 << 40
+    bound = -(-grain * each // max(1, rows))
+    found = sizes.where(F.pmod(F.xxhash64(F.lit(0), "k"), F.lit(grain)) < bound).select("k").distinct().toArrow()
+    return np.unique(_bytes(found.column("k")))
+
+
 def hash_bytes(b: bytes, salt: int) -> int:
     import xxhash
 
     return xxhash.xxh64_intdigest(b, salt)
 
 
-def splitters(sizes: DataFrame, shards: int, total: int, tolerance: float = TOLERANCE) -> np.ndarray:
+def splitters(sizes: DataFrame, shards: int, total: int, rows: int, tolerance: float = TOLERANCE) -> np.ndarray:
     """Up to shards - 1 keys, each the first of its shard."""
     if shards < 2:
         return np.empty(0, "S1")
     target = np.arange(1, shards) * (total / shards)
     slack = tolerance * total / shards
     known: dict[bytes, int] = {}
-    probes, turn = draw(sizes, np.empty(0, "S1"), np.array([0]), CANDIDATES * shards, 0), 0
+    probes, turn = first_draw(sizes, rows, CANDIDATES * shards), 0
+    if not len(probes):
+        probes = draw(sizes, np.empty(0, "S1"), np.array([0]), CANDIDATES, 0)
     while len(probes):
         for k, n in zip(probes, counts_below(sizes, probes), strict=True):
             known[bytes(k)] = int(n)
@@ -135,23 +185,22 @@ def splitters(sizes: DataFrame, shards: int, total: int, tolerance: float = TOLE
 
 
 def shard(docs: DataFrame, by: list[str], shard_bytes: int = SHARD_BYTES, tolerance: float = TOLERANCE, text: str = "text") -> DataFrame:
-    """The rows with ``shard`` (0, 1, ...), each shard in one partition in the order of its keys."""
+    """The rows with ``shard`` (0, 1, ...), each shard in one partition in the order of its keys. A row travels as one, whatever
+    its columns are called."""
     key, rest = sort_key(docs, by, text), [c for c in docs.columns if c != "shard"]
-    sizes = written(docs.select(key.alias("k"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n")))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
+    sizes = written(docs.select(key.alias("k"), F.coalesce(F.octet_length(f"`{text}`"), F.lit(0)).cast("long").alias("n")))
+    n_rows, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = max(1, -(-total // shard_bytes))
-    bounds = splitters(sizes, shards, total, tolerance)
+    bounds = splitters(sizes, shards, total, n_rows, tolerance)
 
     @F.pandas_udf("int")
     def shard_of(k):
-        import pandas as pd
-
-        keys = np.array(k.tolist(), dtype="S") if len(k) else np.empty(0, "S1")
+        keys = _bytes(pa.array(k, pa.string()))
         return pd.Series((_at(bounds, keys) if len(bounds) else np.zeros(len(keys), np.int64)).astype(np.int32))
 
-    rows = docs.select(*rest, key.alias("__key"))
-    rows = rows.withColumn("shard", shard_of("__key"))
-    return rows.repartitionById(int(shards), F.col("shard")).sortWithinPartitions("shard", "__key").select("shard", *rest)
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in rest)).alias("row"), key.alias("key")).withColumn("shard", shard_of("key"))
+    rows = rows.repartitionById(int(shards), F.col("shard")).sortWithinPartitions("shard", "key")
+    return rows.select("shard", *(F.col("row")[c].alias(c) for c in rest))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

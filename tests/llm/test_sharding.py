@@ -49,3 +49,44 @@ def test_edges(spark):
         assert max(last[a]) <= min(last[b])
     assert sharding.shard(df.limit(0), ["doc_id"], 10).count() == 0
     assert sharding.shard(df, ["doc_id"], 1 << 30).select("shard").distinct().count() == 1
+
+
+def test_kinds_of_keys(spark):
+    """Numbers, dates, times and bytes order by value, not as text."""
+    import datetime as dt
+    from decimal import Decimal
+
+    import pytest
+
+    n = 60
+    rng = np.random.default_rng(3)
+    doubles = [-3.0, 10.5, 9.0, -0.0, 0.0, float("inf"), float("-inf"), float("nan"), 1e-300, -1e300, *rng.normal(size=n - 10).tolist()]
+    rows = [(i, x, float(np.float32(x)), Decimal(f"{(i * 37 % 101) - 50}.{i % 100:02d}"), dt.date(1900, 1, 1) + dt.timedelta(days=(i * 997) % 60000), dt.datetime(1960, 1, 1) + dt.timedelta(seconds=(i * 7919) % 10**6 * 1000), i % 2 == 0, bytes([i % 3, 0, (i * 7) % 256][: i % 4]), "x" * 20) for i, x in enumerate(doubles)]
+    df = spark.createDataFrame(rows, "doc_id long, a double, b float, c decimal(12,2), d date, e timestamp, f boolean, g binary, text string").repartition(4)
+    for c in "abcdefg":
+        keys = [r[0] for r in sharding.shard(df.select("doc_id", c, "text"), [c, "doc_id"], 200).orderBy("shard", sharding.sort_key(df, [c, "doc_id"])).select(c).collect()]
+        keys = [bytes(k) if isinstance(k, bytearray) else k for k in keys]
+        want = sorted((r["abcdefg".index(c) + 1] for r in rows), key=lambda v: (v != v, 0.0 if v != v else v))
+        assert [str(k) for k in keys] == [str(w) for w in want] or [float(k) for k in keys if k == k] == [float(w) for w in want if w == w], c
+    with pytest.raises(ValueError):
+        sharding.shard(df.withColumn("h", F.array("doc_id")), ["h"], 200)
+
+
+def test_splitters_against_brute_force(spark, sf):
+    """Every splitter is a key whose exact bytes below lie within the tolerance of its target, or no nearer key exists."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text")
+    out = sharding.shard(docs, ["source", "doc_id"], 20_000)
+    rows = sorted(((r.source.encode(), r.doc_id, r.shard, len(r.text.encode()) if r.text else 0) for r in out.collect()), key=lambda r: r[:2])
+    below = np.concatenate(([0], np.cumsum([r[3] for r in rows])))
+    total, shards = below[-1], -(-below[-1] // 20_000)
+    assert [r[2] for r in rows] == sorted(r[2] for r in rows) and len(rows) == docs.count()
+    for s in range(1, shards):
+        first = next((i for i, r in enumerate(rows) if r[2] >= s), len(rows))
+        target = s * total / shards
+        assert abs(below[first] - target) <= max(0.02 * total / shards, np.abs(below - target).min() + 1e-9)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(i, f"s{i % 3}", "t" * i, i, "q") for i in range(30)], "doc_id long, source string, text string, key int, row string")
+    out = sharding.shard(df, ["source", "doc_id"], 100)
+    assert out.columns == ["shard", *df.columns] and {(r.doc_id, r.key) for r in out.collect()} == {(i, i) for i in range(30)}
