@@ -8,7 +8,9 @@ character and goes to shorter grams only where a gram was never seen.
 
 A document gets the language of the lowest cross-entropy a character. It is rejected if that cross-entropy is further above
 its language's mean than ``false_reject`` of the labelled documents of that language are, in standard deviations of texts
-of its length; the quantile is taken over all labelled documents.
+of its length. Mean, deviation and quantile are those of all labelled documents, each scored by models of the other half of the
+texts (halves by a hash of the text, so that copies stay together): no text is measured by a model that has seen it. The
+quantile is exact. A fitted model and its limits can be applied to any table.
 
 The models' size is checked before they are sent to the tasks. Beyond ``MAX_GRAMS`` rows (lang, gram) the arrays are parted
 by the hash of a gram's inner symbols: whatever a look-up and its shorter grams need lies in one part, and below that in
@@ -16,17 +18,19 @@ the bigrams, which every task holds. Tasks build the parts, with discounts count
 time for a run of documents, so every gram counts and the scores are those of the models in one piece.
 
 Defined results: texts without a letter, empty and null texts have no language (pred_lang and scores null, accepted false);
-labels that are null or empty don't train; without any label nothing is recognised; ties go to the first language in
+labels that are null or empty don't train; without any label nothing is recognised; a language that one half alone has is
+calibrated on the texts it was trained on, and one that labels no recognised text accepts nothing; ties go to the first language in
 alphabetical order; repeated rows count as often as they occur; columns with the output's names are replaced.
 """
 
 from __future__ import annotations
 
 import pickle
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,13 +84,13 @@ def ends(off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, gram, n) over all labelled documents."""
+    """(lang, fold, gram, n) over all labelled documents."""
 
     def run(batches):
         for batch in batches:
             code = batch.column(0).dictionary_encode()
-            names, of = code.dictionary, np.asarray(code.indices, np.int64)
-            for a, b, t in chunks(batch.column(1), 1 << 21):
+            names, of = code.dictionary, 2 * np.asarray(code.indices, np.int64) + np.asarray(batch.column(1), np.int64)
+            for a, b, t in chunks(batch.column(2), 1 << 21):
                 s, off = symbols(t)
                 start, n = ends(off)
                 if not len(start):
@@ -105,10 +109,16 @@ def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
                     grams += [raw[i : i + ORDER] for i in range(0, len(raw), ORDER)]
                     counts.append(np.diff(np.append(first, len(h))))
                     langs.append(np.full(len(first), k))
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(langs))), pa.array(grams), pa.array(np.concatenate(counts))], names=["lang", "gram", "n"])
+                which = np.concatenate(langs)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(which // 2)), pa.array(which % 2), pa.array(grams), pa.array(np.concatenate(counts))], names=["lang", "fold", "gram", "n"])
 
-    source = docs.select(F.col(lang).alias("lang"), F.col(text).alias("t")).where((F.col("lang") != "") & F.col("t").isNotNull())
-    return source.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    source = docs.select(F.col(lang).alias("lang"), _fold(text).alias("fold"), F.col(text).alias("t")).where((F.col("lang") != "") & F.col("t").isNotNull())
+    return source.mapInArrow(run, "lang string, fold long, gram string, n long").groupBy("lang", "fold", "gram").agg(F.sum("n").alias("n"))
+
+
+def _fold(text: str):
+    """The half that a text belongs to."""
+    return F.pmod(F.xxhash64(text), F.lit(2)).cast("long")
 
 
 class Sorted:
@@ -320,7 +330,12 @@ def _shipped(spark: SparkSession, model: Model | Parted):
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_grams: int = MAX_GRAMS) -> Model | Parted | None:
     """The models of all languages that label a document; None without labels."""
-    counts = written(gram_counts(docs, text, lang))
+    return model_of(written(gram_counts(docs, text, lang)), max_grams)
+
+
+def model_of(counts: DataFrame, max_grams: int = MAX_GRAMS) -> Model | Parted | None:
+    """The models of (lang, fold, gram, n)."""
+    counts = written(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     size = counts.count()
     if size > max_grams:
         return parted(counts, size, max_grams)
@@ -364,26 +379,76 @@ def scores(docs: DataFrame, model: Model | Parted, text: str, keep: list[str], l
     return written(source.mapInArrow(run, T.StructType(kinds)))
 
 
-def identify(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] | None = None, false_reject: float = FALSE_REJECT, max_grams: int = MAX_GRAMS) -> DataFrame:
-    """``keep`` columns (all by default) with pred_lang, cross_entropy (nats a symbol), margin to the next language, and
-    accepted; models and rejection are fitted to the ``lang`` labels of the same table."""
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
-    model = train(docs, text, lang, max_grams)
+@dataclass
+class Fitted:
+    """Models, and by language (lang, mean, within, between, limit) what is accepted."""
+
+    model: Model | Parted
+    limits: list[tuple]
+
+
+_LIMITS = "lang string, mean double, within double, between double, `limit` double"
+
+
+def _z():
+    """How far above its language's mean a text lies: a text of n symbols has the variance between + within / n around it."""
+    return (F.col("ce") - F.col("mean")) / F.sqrt(F.col("between") + F.col("within") / F.col("n"))
+
+
+def limits_of(own: DataFrame, false_reject: float) -> DataFrame:
+    """Limits by language from the scores of texts whose language was recognised. Of the values around the quantile, which an
+    approximate one brackets, the one of the exact rank is taken."""
+    fit = own.groupBy("best").agg(F.avg("ce").alias("mean"), F.var_pop("ce").alias("v"), F.avg("var").alias("within"), F.avg(1 / F.col("n")).alias("inv"))
+    fit = written(fit.select("best", "mean", "within", F.greatest(F.col("v") - F.col("within") * F.col("inv"), F.lit(1e-6)).alias("between")))
+    z = written(own.join(F.broadcast(fit), "best").select("best", _z().alias("z")))  # a row a language
+    q, near = 1 - false_reject, 1e-4
+    around = F.percentile_approx("z", F.array(F.lit(max(0.0, q - near)), F.lit(min(1.0, q + near))), 100_000)
+    a = z.groupBy("best").agg(F.count(F.lit(1)).alias("rows"), around.alias("b"))
+    j = z.join(F.broadcast(a), "best")
+    below = j.groupBy("best").agg(F.count_if(F.col("z") < F.col("b")[0]).alias("below"))
+    inside = j.where(F.col("z").between(F.col("b")[0], F.col("b")[1])).withColumn("k", F.row_number().over(Window.partitionBy("best").orderBy("z")))
+    rank = F.greatest(F.lit(1), F.ceil(F.col("rows") * F.lit(q)))
+    limit = inside.join(below, "best").where(F.col("below") + F.col("k") == rank).select("best", F.col("z").alias("limit"))
+    return fit.join(limit, "best").select(F.col("best").alias("lang"), "mean", "within", "between", "limit")
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", false_reject: float = FALSE_REJECT, max_grams: int = MAX_GRAMS) -> Fitted | None:
+    """Models and limits of a labelled table; None without labels."""
+    counts = written(gram_counts(docs, text, lang))
+    model = model_of(counts, max_grams)
     if model is None:
+        return None
+    labelled = docs.select(F.col(text).alias("t"), F.col(lang).alias("lang"), _fold(text).alias("fold")).where((F.col("lang") != "") & F.col("t").isNotNull())
+    right = (F.col("label") == F.col("best")) & (F.col("n") > 0)
+    found: list[tuple] = []
+    halves = [model_of(counts.where(F.col("fold") == i), max_grams) for i in (0, 1)]
+    if None not in halves:
+        apart = [scores(labelled.where(F.col("fold") == i), halves[1 - i], "t", [], "lang") for i in (0, 1)]
+        found = [tuple(r) for r in limits_of(apart[0].unionByName(apart[1]).where(right), false_reject).collect()]  # a row a language
+    if rest := sorted(set(model.langs) - {r[0] for r in found}):
+        seen = scores(labelled.where(F.col("lang").isin(rest)), model, "t", [], "lang")
+        found += [tuple(r) for r in limits_of(seen.where(right), false_reject).collect()]
+    return Fitted(model, found)
+
+
+def apply(docs: DataFrame, fitted: Fitted, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``keep`` columns (all by default) with pred_lang, cross_entropy (nats a symbol), margin to the next language, and accepted."""
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
+    s = scores(docs, fitted.model, text, names, None)
+    limit = F.broadcast(docs.sparkSession.createDataFrame(fitted.limits, _LIMITS))
+    j = s.join(limit, F.col("best") == F.col("lang"), "left")
+    ok = F.coalesce(_z() <= F.col("limit"), F.lit(False))
+    return j.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("best").alias("pred_lang"), F.col("ce").alias("cross_entropy"), "margin", ok.alias("accepted"))
+
+
+def identify(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] | None = None, false_reject: float = FALSE_REJECT, max_grams: int = MAX_GRAMS) -> DataFrame:
+    """``apply`` of what is fitted to the labels of the same table."""
+    fitted = fit(docs, text, lang, false_reject, max_grams)
+    if fitted is None:
+        names = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
         nothing = [F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(False)]
         return docs.select(*names, *(x.alias(c) for x, c in zip(nothing, ADDED, strict=True)))
-    s = scores(docs, model, text, names, lang)
-    # A text of n symbols has the variance between + within / n around its language's mean.
-    own = s.where((F.col("label") == F.col("best")) & (F.col("n") > 0))
-    fit = own.groupBy("best").agg(F.avg("ce").alias("mean"), F.var_pop("ce").alias("v"), F.avg("var").alias("within"), F.avg(1 / F.col("n")).alias("inv"))
-    fit = fit.select(F.col("best").alias("__l"), "mean", "within", F.greatest(F.col("v") - F.col("within") * F.col("inv"), F.lit(1e-6)).alias("between"))
-    fit = written(fit)
-    z = (F.col("ce") - F.col("mean")) / F.sqrt(F.col("between") + F.col("within") / F.col("n"))
-    limit = own.join(fit, F.col("best") == F.col("__l")).groupBy("__l").agg(F.percentile_approx(z, 1 - false_reject, 100_000).alias("limit"))
-    limit = written(limit.join(fit, "__l"))
-    j = s.join(limit, F.col("best") == F.col("__l"), "left")
-    ok = F.coalesce(z <= F.col("limit"), F.lit(False))
-    return j.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("best").alias("pred_lang"), F.col("ce").alias("cross_entropy"), "margin", ok.alias("accepted"))
+    return apply(docs, fitted, text, keep)
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

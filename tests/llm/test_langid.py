@@ -101,3 +101,26 @@ def test_models_in_parts(spark):
     columns = ["doc_id", "pred_lang", "cross_entropy", "margin", "accepted"]
     whole, got = ({r.doc_id: r for r in langid.identify(docs, keep=["doc_id", "lang"], max_grams=m).select(*columns).collect()} for m in (10**9, 2000))
     assert whole == got and got[10**9].pred_lang == got[10**9 + 1].pred_lang == "zz"
+
+
+def test_limits_are_exact(spark):
+    """The value of the exact rank, for many values and few."""
+    rng = np.random.default_rng(4)
+    rows = [("a" if i % 3 else "b", float(x), 1.0, 50) for i, x in enumerate(rng.normal(2, 0.3, 40_000))] + [("c", 1.5, 1.0, 9)]
+    own = spark.createDataFrame(rows, "best string, ce double, var double, n long")
+    for r in langid.limits_of(own, 0.01).collect():
+        x = np.array([v for k, v, *_ in rows if k == r.lang])
+        between = max(x.var() - 1 / (50 if r.lang != "c" else 9), 1e-6)
+        z = np.sort((x - x.mean()) / np.sqrt(between + 1 / (50 if r.lang != "c" else 9)))
+        assert math.isclose(r["limit"], z[max(1, math.ceil(0.99 * len(z))) - 1], abs_tol=1e-9)
+
+
+def test_other_table_and_ties(spark):
+    """A fitted model on texts it never saw: few are rejected wrongly. Equal models tie, and the first language wins."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    fitted = langid.fit(docs.where("doc_id % 2 = 0"), false_reject=0.005)
+    got = langid.apply(docs.where("doc_id % 2 = 1"), fitted, keep=["doc_id", "lang"]).toPandas()
+    right = got[got.pred_lang == got.lang]
+    assert len(right) > 300 and right.accepted.mean() > 0.97
+    same = spark.createDataFrame([(i, lang, f"one two three text {i % 2}") for i in range(8) for lang in ("zz", "mm", "aa")], "doc_id long, lang string, text string")
+    assert {(r.pred_lang, r.margin) for r in langid.identify(same).collect()} == {("aa", 0.0)}
