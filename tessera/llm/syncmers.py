@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .textops import Texts, category_table, chunks, lists, lower_hash_table, prefix_hash, slice_hash
 
-K, S = 64, 16
+K, S = 32, 16
 ADDED = ["positions", "anchors"]
 
 _state: dict[str, np.ndarray] = {}
@@ -101,7 +101,8 @@ def fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None = No
 
 def shared(left: DataFrame, right: DataFrame, k: int = K) -> DataFrame:
     """(id_a, id_b, shift, n, from_a, to_a): runs of anchors that two tables of fingerprints share at one distance; the ids
-    are the tables' doc_id columns, to_a is the end of the last anchor."""
+    are the tables' doc_id columns, to_a is the end of the last anchor. ``right`` is a stated set of passages, such as a benchmark:
+    a passage that all of ``left`` has is found in each of its rows, once."""
 
     def flat(df: DataFrame, tag: str) -> DataFrame:
         z = df.select(F.col("doc_id").alias(f"id_{tag}"), F.explode(F.arrays_zip("positions", "anchors")).alias("z"))

@@ -45,6 +45,18 @@ def test_anchors_are_free_of_context(spark):
     assert best.shift == len(b) - len(a) and best.from_a <= len(a) + 64 + 48 and best.to_a >= len(a) + len(shared) - 64 - 48
 
 
+def test_passages_of_the_benchmark(spark):
+    """Every benchmark text that stands in a document whole shares anchors with it at one distance."""
+    sf = "/root/testdata/sf0.01"
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    f = syncmers.fingerprint(docs)
+    got = {(r.id_a, r.id_b) for r in syncmers.shared(f, syncmers.fingerprint(items.selectExpr("item_id AS doc_id", "text"))).where("n >= 2").collect()}
+    fold = lambda t: "".join(" " if c.isspace() else c.lower() for c in t)
+    texts = [(r.doc_id, fold(r.text)) for r in docs.collect() if r.text]
+    whole = {(i, r.item_id) for r in items.collect() for i, t in texts if fold(r.text) in t}
+    assert whole and whole <= got
+
+
 def test_density():
     rng = np.random.default_rng(3)
     t = next(chunks(["".join(rng.choice(list("abcdefghijkl"), 200_000))]))[2]
