@@ -4,8 +4,8 @@ A template names for each role the text before and after its turns, whether the
 role may follow which state, and in which states a conversation may end. The machine runs over a conversation's turns as a
 fold inside the JVM (``aggregate``); one shuffle brings a conversation's turns together.
 
-A conversation is valid if every turn up to the last accepting state is; open turns behind it (a question without an
-answer) are left out and counted as trimmed. The first fault decides otherwise.
+A conversation is valid if no turn has a fault and an accepting state is reached; open turns behind the last accepting state
+(a question without an answer) are left out and counted as trimmed. The first fault, wherever it stands, makes it invalid.
 
 Defined results, in the order in which faults are looked for at each turn: "turn without number", "repeated turn" (the number of the
 turn before, with another role or text: rows that are wholly equal count once), "unknown role" (a null one too), "role
@@ -81,7 +81,8 @@ def _pieces(t: Column, template: Template) -> Column:
 def formatted(turns: DataFrame, template: Template = DEFAULT) -> DataFrame:
     """(conv_id, valid, error, error_turn, turns, trimmed, segments): one row a conversation; segments is an array of
     (text, loss), empty where it isn't valid."""
-    t = turns.select("conv_id", F.struct(F.col("turn").cast("long").alias("turn"), F.col("role"), F.col("text")).alias("t"))
+    # Rows without an id, however many, are counted and not gathered.
+    t = turns.where("conv_id IS NOT NULL").select("conv_id", F.struct(F.col("turn").cast("long").alias("turn"), F.col("role"), F.col("text")).alias("t"))
     # nulls sort first, so a missing number is met before anything else
     t = t.groupBy("conv_id").agg(F.array_sort(F.collect_set("t"), _compare).alias("ts"))
     allowed = F.array(*(F.lit(f"{s}>{r}") for s, rs in template.follows.items() for r in rs))
@@ -110,24 +111,26 @@ def formatted(turns: DataFrame, template: Template = DEFAULT) -> DataFrame:
 
     start = F.struct(F.lit("start").alias("state"), none.cast("string").alias("error"), none.cast("long").alias("turn"), F.lit(0).alias("n"), F.lit(0).alias("last"))
     t = t.withColumn("a", F.aggregate("ts", start, step))
-    error = (
-        F.when(F.col("conv_id").isNull(), "conversation without id").when(F.col("a.error").isNotNull(), F.col("a.error")).when(F.col("a.last") == 0, "unfinished")
-    )
+    error = F.when(F.col("a.error").isNotNull(), F.col("a.error")).when(F.col("a.last") == 0, "unfinished")
     t = t.withColumn("error", error)
     valid = F.col("error").isNull()
     used = F.slice("ts", F.lit(1), F.greatest(F.col("a.last"), F.lit(0)))
     body = F.flatten(F.transform(used, lambda x: _pieces(x, template)))
     whole = F.concat(F.array(F.struct(F.lit(template.begin).alias("text"), F.lit(False).alias("loss"))), body)
     kept = F.filter(whole, lambda s: F.length(s["text"]) > 0)
-    return t.select(
+    out = t.select(
         "conv_id",
         valid.alias("valid"),
         "error",
-        F.when(~valid & F.col("conv_id").isNotNull(), F.col("a.turn")).alias("error_turn"),
+        F.when(~valid, F.col("a.turn")).alias("error_turn"),
         F.size("ts").cast("long").alias("turns"),
         F.when(valid, F.size("ts") - F.col("a.last")).cast("long").alias("trimmed"),
         F.when(valid, kept).otherwise(F.slice(kept, 1, 0)).alias("segments"),
     )
+    lost = turns.where("conv_id IS NULL").select("turn", "role", "text").distinct().agg(F.count(F.lit(1)).alias("turns")).where("turns > 0")
+    null = {f.name: F.lit(None).cast(f.dataType) for f in out.schema}
+    null |= {"valid": F.lit(False), "error": F.lit("conversation without id"), "turns": F.col("turns"), "segments": F.array().cast(out.schema["segments"].dataType)}
+    return out.unionByName(lost.select(*(null[c].alias(c) for c in out.columns)))
 
 
 def _compare(x: Column, y: Column) -> Column:
