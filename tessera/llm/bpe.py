@@ -213,8 +213,9 @@ def _resets(fsm: _Automaton) -> np.ndarray:
 class Codec:
     """A vocabulary of byte strings with ranks, its pair table, and the cache of merged slices."""
 
-    def __init__(self, path: str, cache: int = 1 << 21):
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb") if line.strip())}
+    def __init__(self, path: str, cache: int = 1 << 21, raw: bytes | None = None):
+        lines = (raw or open(path, "rb").read()).splitlines()
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.ranks, self.limit = ranks, cache
         size = max(ranks.values()) + 1
         by = [b""] * size
@@ -409,15 +410,22 @@ class Codec:
             return pa.array([raw[i:j].decode("utf-8", "replace") for i, j in zip(end[:-1], end[1:], strict=True)], pa.large_string())
 
 
-def codec(path: str) -> Codec:
-    """The codec of a vocabulary file, kept for the life of the Python worker."""
+def codec(path: str, shared=None) -> Codec:
+    """The codec of a vocabulary file, kept for the life of the Python worker. ``shared`` is a broadcast of the file, so that it need
+    lie on the driver only."""
     if ("codec", path) not in _state:
-        _state[("codec", path)] = Codec(path)
+        _state[("codec", path)] = Codec(path, raw=None if shared is None else shared.value)
     return _state[("codec", path)]
 
 
-def _encoded(path: str, batch: pa.RecordBatch, text: str, check: bool) -> Iterator[list[pa.Array]]:
-    c, column = codec(path), batch.column(batch.schema.names.index(text))
+def _shared(spark: SparkSession, path: str):
+    """The vocabulary, a few MB, for all tasks."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
+def _encoded(path: str, shared, batch: pa.RecordBatch, text: str, check: bool) -> Iterator[list[pa.Array]]:
+    c, column = codec(path, shared), batch.column(batch.schema.names.index(text))
     valid = np.asarray(pc.is_valid(column))
     for a, b, t in chunks(column):
         ids, at, off = c.encode(t)
@@ -439,6 +447,7 @@ def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None, v
     """``keep`` columns (all but the text by default) with n_tokens, token_ids and token_offsets (the byte where each token
     begins); ``check`` adds round_trip, true where decoding the ids gives back the text."""
     path = vocabulary or tokenizer_file(VOCABULARY)
+    shared = _shared(docs.sparkSession, path)
     added = ["n_tokens", "token_ids", "token_offsets", *(["round_trip"] if check else [])]
     keep = [c for c in (keep if keep is not None else [c for c in docs.columns if c != text]) if c not in added]
     ints = T.ArrayType(T.IntegerType())
@@ -450,7 +459,7 @@ def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None, v
 
     def run(batches):
         for batch in batches:
-            for a, b, out in _encoded(path, batch, "t", check):
+            for a, b, out in _encoded(path, shared, batch, "t", check):
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), *out], names=[*inside, *added])
 
     source = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(keep, inside, strict=True)), F.col(text).alias("t"))
@@ -462,9 +471,11 @@ def decode(tokens: DataFrame, ids: str = "token_ids", out: str = "text", vocabul
     """All columns with ``out``, the text of the ids (null where they are null; bytes that aren't UTF-8 are replaced)."""
     path = vocabulary or tokenizer_file(VOCABULARY)
 
+    shared = _shared(tokens.sparkSession, path)
+
     @F.pandas_udf(T.StringType())
     def text_of(column):
-        c = codec(path)
+        c = codec(path, shared)
         import pandas as pd
 
         valid = column.notna().to_numpy()
