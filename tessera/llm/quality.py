@@ -8,7 +8,7 @@ lower-case words and of their beginnings of four to six letters (scaled by how d
 
 The model is fitted on at most ``max_train`` labelled rows, chosen by a hash of their id (a classifier may be fitted on a
 bounded sample; raise the bound for more). All tasks turn those rows' texts into chunks of about ``CHUNK_DOCS`` sparse rows, written
-once; the optimiser, one task, holds these chunks alone (8 bytes a cell, some 150 MB for 20,000 documents) and takes one at a time
+once; the optimiser, one task, holds these chunks alone (6 bytes a cell, some 120 MB for 20,000 documents) and takes one at a time
 at every step. Every slot that a chunk holds has a weight. The model (4 MB, by the number of hash slots) is sent to all tasks.
 Scoring is a single pass without a shuffle over all documents, whole texts.
 
@@ -110,7 +110,7 @@ def likelihood(f: np.ndarray, y: np.ndarray, th: np.ndarray) -> tuple[float, np.
 class Ordinal:
     """Cumulative logit with L2 on the weights, fitted by L-BFGS; the sums over the data come from a function."""
 
-    slight, kept = 1e-3, 8
+    slight, kept = 1e-3, 6
 
     def __init__(self, grades: int = GRADES, l2: float = 1.0, steps: int | None = None):
         self.grades, self.l2, self.steps = grades, l2, steps or STEPS
@@ -141,7 +141,7 @@ class Ordinal:
                 a = r * (s @ q)
                 alphas.append(a)
                 q -= a * d
-            q *= (hist[-1][0] @ hist[-1][1]) / (hist[-1][1] @ hist[-1][1]) if hist else 1 / max(1.0, np.abs(g).max())
+            q *= float(hist[-1][0] @ hist[-1][1]) / float(hist[-1][1] @ hist[-1][1]) if hist else 1 / max(1.0, np.abs(g).max())
             for (s, d, r), a in zip(hist, reversed(alphas), strict=True):
                 q += s * (a - r * (d @ q))
             slope, t = -(g @ q), 1.0
@@ -154,9 +154,10 @@ class Ordinal:
                     break
                 t *= 0.5
             s, d = -t * q, gn - g
-            if s @ d > 1e-10:
-                hist = [*hist[-self.kept + 1 :], (s, d, 1 / (s @ d))]
             z, g, gain, value = z + s, gn, value - new, new
+            if s @ d > 1e-10:
+                hist = [*hist[-self.kept + 1 :], (s.astype(np.float32), d.astype(np.float32), 1 / (s @ d))]
+            del s, d, q, gn
             if gain < GAIN * max(1.0, abs(value)):
                 break
         return z[:n_cols], self.thresholds(z[n_cols:])
@@ -199,12 +200,12 @@ def chunk_of(texts, grades: np.ndarray) -> Chunk:
         key, val = np.concatenate((key, sk)), np.concatenate((np.ones(len(key)), STYLE_SCALE * sc / np.maximum(n, 1)[sk // SLOTS - base]))
         order = np.argsort(key)
         keys.append(key[order])
-        vals.append(val[order].astype(np.float32))
+        vals.append(val[order].astype(np.float16))
         base += len(t)
     key = np.concatenate(keys) if keys else np.empty(0, np.int64)
     slots, col = np.unique(key % SLOTS, return_inverse=True)
     at = np.searchsorted(key, np.arange(base + 1) * SLOTS).astype(np.int32)
-    return Chunk(slots.astype(np.int32), at, col.astype(np.int32), np.concatenate(vals) if vals else np.empty(0, np.float32), grades)
+    return Chunk(slots.astype(np.int32), at, col.astype(np.int32), np.concatenate(vals) if vals else np.empty(0, np.float16), grades)
 
 
 def log_ratios(df: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -296,7 +297,7 @@ def fit(docs: DataFrame, ratings: DataFrame, text: str = "text", max_train: int
             c = chunk_of(t.column("t"), np.asarray(t.column("y"), np.int64))
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (t.column("chunk")[0].as_py(), *(a.tobytes() for a in c))], names=["chunk", *Chunk._fields])
 
-    kinds = ("chunk long, slots binary, at binary, col binary, val binary, y binary", (np.int32, np.int32, np.int32, np.float32, np.int64))
+    kinds = ("chunk long, slots binary, at binary, col binary, val binary, y binary", (np.int32, np.int32, np.int32, np.float16, np.int64))
     data = written(sample.repartitionById(parts, F.col("chunk")).mapInArrow(cells, kinds[0]), spark)
 
     def train(batches):
