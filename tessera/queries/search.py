@@ -153,9 +153,9 @@ def _hybrid(spark, d, weight):
 
 
 def batch_hyb_topk(spark, d):
-    """The best documents for each item of the benchmark, with the vector of the item's number as its vector query."""
+    """The best documents for each item of the benchmark, with the vector of the item's number, backwards, as its vector query."""
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    v = q.join(_vec(spark, d).withColumnRenamed("doc_id", "qid"), "qid")
+    v = q.join(_vec(spark, d).select(F.col("doc_id").alias("qid"), F.reverse("embedding").alias("embedding")), "qid")
     kw = keyword.batch_search(InvertedIndex.build(_docs(spark, d)).materialised(), q, 2 * K)
     return hybrid.fuse_by(kw, vector.batch_search(_vec(spark, d), v, DIM, 2 * K, "cosine"), "qid", K, 0.5)
 
@@ -286,6 +286,10 @@ PQ = f"""{VEC}, cb AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS cid, v
 ), code AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY round(d, 9), cid) AS k FROM part) WHERE k = 1)"""
 
 
+NEAR = f"""near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, doc_id) AS rank FROM (
+    SELECT a.doc_id AS qid, b.doc_id, round(list_distance(a.v, b.v), 6) AS distance FROM v a, v b WHERE a.doc_id % 100 = 0)) WHERE rank <= {K})"""
+
+
 def _hyb(w: str) -> str:
     return f"""WITH {POST}, {VEC}, kw AS ({topk(_kw(), 20)}), ve AS ({topk(f"SELECT doc_id, round({COS}, 6) AS score FROM v", 20)}),
     p AS (SELECT doc_id, CASE WHEN greatest(0, max(score) OVER ()) = 0 THEN 0 ELSE greatest(0, least(1, score / max(score) OVER ())) END * {w}::DOUBLE AS part FROM kw
@@ -320,7 +324,7 @@ ORACLES = {
         SELECT item_id AS qid, term, count(*) AS w FROM (SELECT item_id, unnest(list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+'), lambda x: lower(x))) AS term FROM benchmark) WHERE strlen(term) BETWEEN 2 AND 50 GROUP BY ALL),
       s AS (SELECT qid, doc_id, round(sum(w * {bm25_sql()}), 6) AS score FROM q JOIN post USING (term) JOIN df USING (term) JOIN len USING (doc_id), st GROUP BY ALL),
       kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 20),
-      t AS (SELECT a.doc_id AS qid, b.doc_id, round(greatest(0.0, least(1.0, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))))), 6) AS score FROM v a JOIN benchmark ON item_id = a.doc_id, v b),
+      t AS (SELECT a.doc_id AS qid, b.doc_id, round(greatest(0.0, least(1.0, list_dot_product(list_reverse(a.v), b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))))), 6) AS score FROM v a JOIN benchmark ON item_id = a.doc_id, v b),
       ve AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM t) WHERE r <= 20),
       p AS (SELECT qid, doc_id, CASE WHEN max(score) OVER (PARTITION BY qid) <= 0 THEN 0 ELSE greatest(0, least(1, score / max(score) OVER (PARTITION BY qid))) END * 0.5::DOUBLE AS part FROM kw
         UNION ALL SELECT qid, doc_id, CASE WHEN max(score) OVER (PARTITION BY qid) <= 0 THEN 0 ELSE greatest(0, least(1, score / max(score) OVER (PARTITION BY qid))) END * 0.5::DOUBLE FROM ve),
@@ -339,6 +343,8 @@ ORACLES = {
     "pq_reranked": f"WITH {VEC} {topk(f'SELECT doc_id, round(list_distance(v, {Q}), 6) AS distance FROM v', K, by='distance')}",
     "pq_reconstruction": f"WITH {PQ} SELECT doc_id, round(sqrt(sum(d ** 2)), 6) AS error FROM code GROUP BY doc_id",
     "pq_store": "SELECT vec_id AS doc_id FROM embeddings WHERE len(embedding) = 64 AND vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    "ann_topk": f"WITH {VEC}, {NEAR} SELECT * FROM near",
+    "ann_scored": f"WITH {VEC}, {NEAR} SELECT qid, doc_id, round(1 - distance, 6) AS score FROM near WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "ann_recall": "SELECT count(*) AS queries, true AS reached FROM embeddings WHERE len(embedding) = 64 AND vec_id % 100 = 0",
     "pq_memory": "SELECT count(*) AS n, count(*) * 8 AS code_bytes, count(*) * 256 AS raw_bytes, 32.0::DOUBLE AS ratio FROM embeddings WHERE len(embedding) = 64",
     "ann_adaptive_ef": "SELECT label, count(*) AS n, least(400, 50 + floor(10 * log2(count(*) + 1)))::INT AS ef, count(*) <= 1000 AS brute_force FROM embeddings GROUP BY label",

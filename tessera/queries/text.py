@@ -170,6 +170,22 @@ def _toks(low: int, high: int, lower: bool = True, extra: str = "") -> str:
     return f"SELECT doc_id, coalesce(array_to_string(list_filter({inner}, lambda t: strlen(t) BETWEEN {low} AND {high}{extra}), ' '), '') AS tokens FROM documents"
 
 
+#: Marks that join letters, or digits, to one word, and the letters that stand for them while words are cut.
+MARKS = {"'": "ꀀ", "’": "ꀁ", ".": "ꀂ", "‘": "ꀃ", ":": "ꀄ", "·": "ꀅ", "․": "ꀆ", ",": "ꀇ", ";": "ꀈ"}
+
+
+def _unicode_words() -> str:
+    """Unicode words of texts in which a mark between two letters (or digits) joins them."""
+    t, quoted = "coalesce(text, '')", lambda c: "''" if c == "'" else c
+    for kind, marks in ((r"\p{L}\p{M}*", "'’.‘:·․"), (r"\p{Nd}", "'’.‘․,;")):
+        for c in marks:
+            for _ in range(2):  # a letter may stand between two marks
+                t = f"regexp_replace({t}, '({kind})[{quoted(c)}]({kind.removesuffix('*').removesuffix(r'\p{M}')})', '\\1{MARKS[c]}\\2', 'g')"
+    cut = rf"list_filter(regexp_extract_all({t}, '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]'))"
+    words = f"list_transform({cut}, lambda x: translate(lower(x), '{''.join(MARKS.values())}', '{''.join(map(quoted, MARKS))}'))"
+    return f"SELECT doc_id, coalesce(array_to_string(list_filter({words}, lambda x: strlen(x) BETWEEN 2 AND 50), ' '), '') AS tokens FROM documents"
+
+
 TERM_SQL = "SELECT term, count(*) AS df, sum(tf)::BIGINT AS total_tf FROM post GROUP BY term"
 QUERIES = {
     f.__name__: f
@@ -180,6 +196,7 @@ QUERIES = {
 }
 STATS_SQL = f"WITH {TOK} SELECT count(*) AS n, sum(len(tokens))::BIGINT AS total_len, round(avg(len(tokens)), 6) AS avgdl FROM tok"
 ORACLES = {
+    "tok_uax29": _unicode_words(),
     "dic_term_ids": f"WITH {POST} SELECT count(*) AS n_terms, count(*) AS n_ids, count(*) AS n_found FROM df",
     "tok_stems_known": "SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{s}')" for w, s in KNOWN.items()) + ") AS t(word, stem)",
     "tok_tokens_simple": _toks(2, 50),
