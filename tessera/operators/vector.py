@@ -18,7 +18,6 @@ from tessera.plans.settings import METRICS, InvalidConfig
 DIGITS = 6
 #: Bytes of query vectors that are sent to all tasks; larger sets of queries are cut into blocks that meet the vectors in a shuffle.
 QUERY_BYTES = 32 << 20
-BLOCK_QUERIES = 4096
 
 
 def search(vectors: DataFrame, query: Sequence[float], k: int = 10, metric: str = "cosine", dim: int | None = None, tombstones: DataFrame | None = None, id_: str = "doc_id", vec: str = "embedding") -> DataFrame:
@@ -95,12 +94,12 @@ def batch_search(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 10,
 
         found = v.mapInArrow(run, kinds)
     else:
-        blocks = -(-n // BLOCK_QUERIES)
+        # A grid of tiles as large as a task holds: a vector is copied once for each block of queries, a query for each part of vectors.
+        blocks, parts = -(-n * dim * 8 // QUERY_BYTES), max(1, -(-v.count() * dim * 8 // (4 * QUERY_BYTES)))
         cut = q.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-        spread = v.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-        pairs = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-        left = spread.withColumn("block", pairs)
-        right = cut.withColumn("part", pairs)
+        spread = v.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
+        left = spread.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        right = cut.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
         def meet(data: pa.Table, asked: pa.Table) -> pa.Table:
             rows = []

@@ -238,8 +238,7 @@ def test_batch_vectors_by_blocks(spark, monkeypatch):
     for metric in ("cosine", "euclidean", "dot"):
         whole = sorted(map(tuple, vector.batch_search(df, q, 8, 4, metric).collect()))
         with monkeypatch.context() as m:
-            m.setattr(vector, "QUERY_BYTES", 0)
-            m.setattr(vector, "BLOCK_QUERIES", 16)
+            m.setattr(vector, "QUERY_BYTES", 1500)
             assert sorted(map(tuple, vector.batch_search(df, q, 8, 4, metric).collect())) == whole
         assert len(whole) == 240
 
