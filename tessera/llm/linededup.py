@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources import generations
 
-from .textops import U64, checkpoint_dir, long_id, mix64, written
+from .textops import U64, long_id, mix64, own_folder, written
 
 #: Line occurrences of one shard, about: what a task holds in memory (40 bytes each).
 SHARD_LINES = 1 << 19
@@ -236,7 +236,7 @@ class LineIndex:
 
     def __init__(self, spark: SparkSession, path: str | None = None, shard_lines: int = SHARD_LINES):
         self.spark, self.shard_lines = spark, shard_lines
-        self.path = path or f"{checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
+        self.path = path or f"{own_folder(spark)}/lines-{uuid.uuid4().hex}"
         self.generation, self.shards, self.lines = 0, 0, 0
         self._references: list[str] = []
         self._filters: str | None = None

@@ -48,10 +48,21 @@ def checkpoint_dir(spark) -> str:
     return at or set_already
 
 
+def own_folder(spark) -> str:
+    """The application's folder in it: what lies there can be deleted once the application has ended."""
+    return f"{checkpoint_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
+
+
+def delete(spark, path: str) -> None:
+    """Deletes a folder of tables that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df, spark=None):
     """``df`` as a table in the shared folder, read again: it cuts the lineage and survives the loss of executors."""
     spark = spark or df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
