@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,9 +81,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    at = os.path.join(textops.checkpoint_dir(spark), f"pipeline-{uuid.uuid4().hex}")
+    at = f"{textops.own_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{at}/{i}")
         docs = spark.read.schema(out.schema).parquet(f"{at}/{i}")
+        if i:
+            textops.delete(spark, f"{at}/{i - 1}")  # the next stage has all that is needed of it
     return docs
