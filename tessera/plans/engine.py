@@ -11,8 +11,10 @@ import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.functions.text import analyse
 from tessera.operators import filters as flt
@@ -64,6 +66,11 @@ class SearchResponse:
         return self.spark.createDataFrame([(i, s, []) for i, s in self.hits], "doc_id long, score double, highlights array<string>")
 
 
+def _metadata(m: dict | None) -> dict | None:
+    """Metadata with its free fields as pairs."""
+    return m and {**m, "custom": None if m.get("custom") is None else list(dict(m["custom"]).items())}
+
+
 class Engine:
     def __init__(self, spark: SparkSession, path: str, settings: Settings | None = None):
         self.spark, self.path, self.settings = spark, path, settings or Settings()
@@ -84,8 +91,10 @@ class Engine:
     def _write(self, rows: list[tuple]) -> int:
         self._position += 1
         at = int(time.time())
-        full = [(self._position, i, *r, at) for i, r in enumerate(rows)]
-        self.store.append(self.spark.createDataFrame(full, schema(CHANGELOG)))
+        names = schema(CHANGELOG).names
+        full = [dict(zip(names, (self._position, i, *r[:4], _metadata(r[4]), at), strict=True)) for i, r in enumerate(rows)]
+        table = pa.Table.from_pylist(full, to_arrow_schema(schema(CHANGELOG)))
+        self.store.append(self.spark.createDataFrame(table, schema(CHANGELOG)).coalesce(1))
         return self._position
 
     def index(self, docs: Sequence[dict]) -> list[int]:
