@@ -250,6 +250,12 @@ def ann_recall(spark, d):
     return r.agg(F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.9).alias("reached"))
 
 
+def ann_levels(spark, d):
+    """The highest layer of each node of the graphs; a node is named by the least id of its vector."""
+    nodes = graph.built(_vec(spark, d), DIM)
+    return nodes.select(F.col("ids")[0].alias("doc_id"), (F.size(F.filter("links", lambda x: x.isNotNull())) - 1).alias("level"))
+
+
 def ann_layers(spark, d):
     return graph.layers(graph.built(_vec(spark, d), DIM))
 
@@ -266,7 +272,7 @@ QUERIES = {
     for f in (
         kw_bm25plus_topk, kw_bm25_topk, kw_index_topk, kw_multiplicity, kw_all_matches, kw_tombstones, kw_filtered, kw_block_bounds, kw_blockmax_topk, kw_fresh, batch_kw_topk, vs_cosine, vs_euclidean, vs_dot, vs_distance, vs_length_mismatch, vs_normalize,
         vec_topk_cosine, vec_topk_euclidean, vec_topk_dot, vec_tombstones, vec_dim_guard, batch_vec_topk, batch_hyb_topk, hyb_topk, hyb_w0, hyb_w1, hyb_unclamped, pq_codebook, pq_codes, pq_topk, pq_reranked, pq_store,
-        pq_reconstruction, pq_memory, ann_topk, ann_scored, ann_recall, ann_layers, ann_adaptive_ef,
+        pq_reconstruction, pq_memory, ann_topk, ann_scored, ann_recall, ann_levels, ann_layers, ann_adaptive_ef,
     )
 }
 
@@ -286,6 +292,21 @@ PQ = f"""{VEC}, cb AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS cid, v
 ), code AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY round(d, 9), cid) AS k FROM part) WHERE k = 1)"""
 
 
+def _levels() -> str:
+    """A level by an id's hash, geometrically distributed."""
+
+    def times(x: str, c: int) -> str:
+        return f"(({x}) * {c}::UHUGEINT) % 18446744073709551616::UHUGEINT"
+
+    def folded(x: str, n: int) -> str:
+        return f"xor({x}, ({x}) // {1 << n}::UHUGEINT)"
+
+    return f"""{VEC}, n AS (SELECT min(doc_id) AS doc_id FROM v GROUP BY v
+    ), a AS (SELECT doc_id, ({times("doc_id::UHUGEINT", 0x9E3779B97F4A7C15)} + {0x2545F4914F6CDD1D}::UHUGEINT) % 18446744073709551616::UHUGEINT AS x FROM n
+    ), b AS (SELECT doc_id, {times(folded("x", 30), 0xBF58476D1CE4E5B9)} AS x FROM a), c AS (SELECT doc_id, {times(folded("x", 27), 0x94D049BB133111EB)} AS x FROM b)
+    SELECT doc_id, least(16, floor(-ln(({folded("x", 31)}::DOUBLE + 1) / 18446744073709551616.0::DOUBLE) / ln(16)))::INT AS level FROM c"""
+
+
 NEAR = f"""near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, doc_id) AS rank FROM (
     SELECT a.doc_id AS qid, b.doc_id, round(list_distance(a.v, b.v), 6) AS distance FROM v a, v b WHERE a.doc_id % 100 = 0)) WHERE rank <= {K})"""
 
@@ -345,6 +366,7 @@ ORACLES = {
     "pq_store": "SELECT vec_id AS doc_id FROM embeddings WHERE len(embedding) = 64 AND vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "ann_topk": f"WITH {VEC}, {NEAR} SELECT * FROM near",
     "ann_scored": f"WITH {VEC}, {NEAR} SELECT qid, doc_id, round(1 - distance, 6) AS score FROM near WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    "ann_levels": f"WITH {_levels()}",
     "ann_recall": "SELECT count(*) AS queries, true AS reached FROM embeddings WHERE len(embedding) = 64 AND vec_id % 100 = 0",
     "pq_memory": "SELECT count(*) AS n, count(*) * 8 AS code_bytes, count(*) * 256 AS raw_bytes, 32.0::DOUBLE AS ratio FROM embeddings WHERE len(embedding) = 64",
     "ann_adaptive_ef": "SELECT label, count(*) AS n, least(400, 50 + floor(10 * log2(count(*) + 1)))::INT AS ef, count(*) <= 1000 AS brute_force FROM embeddings GROUP BY label",
