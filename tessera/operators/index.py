@@ -7,10 +7,14 @@ the row groups that hold them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import tokens
 from tessera.plans.settings import TokenizerConfig
@@ -22,9 +26,38 @@ def tokenized(docs: DataFrame, cfg: TokenizerConfig | None = None, id_: str = "d
     return docs.select(F.col(id_).alias("doc_id"), tokens(F.col(text), cfg).alias("tokens"))
 
 
+#: Tokens that are counted at once, which bounds a task's memory; a single document may have more.
+SLICE = 1 << 19
+
+
 def postings(tok: DataFrame, positions: bool = False, lengths: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """One row for each term of each document; positions count from 0. With ``lengths`` the document's length stands in each row, so
-    that scores need no join; ``by`` names further columns of ``tok`` that go with a document."""
+    that scores need no join; ``by`` names further columns of ``tok`` that go with a document.
+
+    A document's terms are counted in the task that analyses it, so nothing is exchanged; only where ids are repeated, which a look
+    at the ids alone shows, are rows of one id brought together."""
+    if _repeated(tok, by):
+        return _grouped(tok, positions, lengths, by)
+    found = _counted(tok, positions, by, False)
+    return found.select("term", "doc_id", *by, "tf", *["doc_len"] * lengths, *["positions"] * positions)
+
+
+def analysed(tok: DataFrame, positions: bool = False, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(postings with lengths, lengths) as a table in the shared folder, from one analysis of the texts. A document's length is a
+    row without a term."""
+    more = ["positions"] * positions
+    if _repeated(tok, by):
+        return written(_grouped(tok, positions, True, by)), written(tok.select(*by, "doc_id", F.size("tokens").cast("long").alias("doc_len")))
+    both = written(_counted(tok, positions, by, True))
+    return both.where("term IS NOT NULL").select("term", "doc_id", *by, "tf", "doc_len", *more), both.where("term IS NULL").select(*by, "doc_id", "doc_len")
+
+
+def _repeated(tok: DataFrame, by: tuple[str, ...]) -> bool:
+    return not tok.groupBy("doc_id", *by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def _grouped(tok: DataFrame, positions: bool, lengths: bool, by: tuple[str, ...]) -> DataFrame:
+    """Postings where several rows may have one id."""
     more = [F.count(F.lit(1)).alias("tf")]
     if lengths:
         more.append(F.max("doc_len").alias("doc_len"))
@@ -35,6 +68,46 @@ def postings(tok: DataFrame, positions: bool = False, lengths: bool = False, by:
     return tok.select("doc_id", *by, *length, term).groupBy("term", "doc_id", *by).agg(*more)
 
 
+def _counted(tok: DataFrame, positions: bool, by: tuple[str, ...], documents: bool) -> DataFrame:
+    """Postings of rows with ids of their own; with ``documents`` a row without a term for each document too."""
+    keys = ["doc_id", *by]
+    rows = tok.select("tokens", *keys)
+    fields = [T.StructField("term", T.StringType()), *(rows.schema[c] for c in keys), T.StructField("tf", T.LongType()), T.StructField("doc_len", T.LongType())]
+    if positions:
+        fields.append(T.StructField("positions", T.ArrayType(T.IntegerType())))
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            off, at = np.asarray(b.column(0).offsets, np.int64), 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(off, off[at] + SLICE, "right")) - 1)
+                flat = b.column(0).values.slice(off[at], off[to] - off[at])
+                code, size = flat.dictionary_encode(), np.diff(off[at : to + 1])
+                kinds = max(1, len(code.dictionary))
+                key = np.repeat(np.arange(to - at), size) * kinds + np.asarray(code.indices, np.int64)
+                if positions:
+                    order = np.argsort(key, kind="stable")
+                    key = key[order]
+                else:
+                    key.sort()
+                first = np.flatnonzero(np.diff(key, prepend=-1))
+                row, kind = np.divmod(key[first], kinds)
+                own = [b.column(i).slice(at, to - at) for i in range(1, b.num_columns)]
+                cols = [code.dictionary.take(pa.array(kind)), *(c.take(pa.array(row)) for c in own), pa.array(np.diff(np.append(first, len(key)))), pa.array(size[row])]
+                if positions:
+                    start = np.cumsum(size) - size
+                    pos = (order - np.repeat(start, size)[order]).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(pos)))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+                if documents:
+                    none = [pa.nulls(to - at, c.type) for c in cols]
+                    yield pa.RecordBatch.from_arrays([none[0], *own, none[1 + len(own)], pa.array(size), *none[3 + len(own) :]], names=names)
+                at = to
+
+    return rows.mapInArrow(run, T.StructType(fields))
+
+
 def doc_stats(tok: DataFrame) -> DataFrame:
     return tok.select("doc_id", F.size("tokens").cast("long").alias("doc_len"))
 
@@ -90,6 +163,7 @@ class InvertedIndex:
     doc_stats: DataFrame
     terms: DataFrame
     stats: DataFrame
+    _source: tuple[DataFrame, bool] | None = None
     _totals: tuple[int, float] | None = None
 
     def totals(self) -> tuple[int, float]:
@@ -103,7 +177,7 @@ class InvertedIndex:
     def build(docs: DataFrame, cfg: TokenizerConfig | None = None, id_: str = "doc_id", text: str = "text", positions: bool = False) -> InvertedIndex:
         tok = tokenized(docs, cfg, id_, text)
         post, lengths = postings(tok, positions, lengths=True), doc_stats(tok)
-        return InvertedIndex(post, lengths, terms(post), corpus_stats(lengths))
+        return InvertedIndex(post, lengths, terms(post), corpus_stats(lengths), (tok, positions))
 
     def live(self, tombstones: DataFrame | None) -> InvertedIndex:
         """The index of the documents that aren't deleted, statistics included."""
@@ -119,18 +193,19 @@ class InvertedIndex:
         return InvertedIndex(post, lengths, terms(post), corpus_stats(lengths))
 
     def materialised(self) -> InvertedIndex:
-        """Postings and lengths as tables in the shared folder, so that texts are analysed once for each of them and not again
+        """Postings and lengths as tables in the shared folder, from one analysis of the texts, so that these aren't analysed again
         for what is derived."""
-        post, lengths = written(self.postings), written(self.doc_stats)
+        post, lengths = analysed(*self._source) if self._source else (written(self.postings), written(self.doc_stats))
         return InvertedIndex(post, lengths, terms(post), corpus_stats(lengths))
 
     def save(self, path: str) -> None:
-        order = ["term", "doc_id"]
-        self.postings.repartitionByRange("term").sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings")
+        """Written as they come first: the choice of the ranges looks at the rows once, the exchange once more."""
+        order, now = ["term", "doc_id"], self.materialised()
+        now.postings.repartitionByRange("term").sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings")
         spark = self.postings.sparkSession
         saved = spark.read.parquet(f"{path}/postings")
         terms(saved).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-        self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+        now.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
         corpus_stats(spark.read.parquet(f"{path}/doc_stats")).write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.index import postings, tokenized, without
+from tessera.operators.index import analysed, tokenized, without
 from tessera.plans.settings import TokenizerConfig
 from tessera.sources import generations
 
@@ -32,9 +32,9 @@ class SegmentStore:
 
     def write(self, tok: DataFrame, columns: DataFrame | None = None) -> None:
         """Segments from (segment_id, doc_id, tokens), and their side columns (segment_id, doc_id, ...)."""
-        post = postings(tok, lengths=True, by=("segment_id",))
+        post, lengths = analysed(tok, by=("segment_id",))
         self._save(post.repartitionByRange("segment_id", "term").sortWithinPartitions("segment_id", "term", "doc_id"), "postings")
-        self._save(tok.select("segment_id", "doc_id", F.size("tokens").cast("long").alias("doc_len")), "lengths")
+        self._save(lengths, "lengths")
         self._derive(sorted(r.segment_id for r in tok.select("segment_id").distinct().collect()))
         if columns is not None:
             self._save(columns.sortWithinPartitions("segment_id", "doc_id"), "columns")
