@@ -40,29 +40,124 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(a.flatten(), np.float64).reshape(len(a), -1)
 
 
-def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
-    dots = q @ x.T
+#: Metrics by distance; "distance" is that of ``nearest``, whose scores are distances below 0.
+FAR = ("euclidean", "distance")
+#: Queries and rows whose products are made at once.
+QUERIES_AT_ONCE, ROWS_AT_ONCE = 1024, 4096
+
+
+def _exact(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """The rounded score of each pair of rows, in double precision."""
+    if metric in FAR:
+        d = np.sqrt(((x - q) ** 2).sum(1))
+        return np.round(1 / (1 + d) if metric == "euclidean" else -d, DIGITS)
+    dots = np.einsum("ij,ij->i", q, x)
     if metric == "dot":
-        s = dots
-    elif metric == "cosine":
-        norm = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :]
-        s = np.clip(np.divide(dots, norm, out=np.zeros_like(dots), where=norm > 0), 0, 1)
-    else:
-        d = np.maximum((q * q).sum(1)[:, None] - 2 * dots + (x * x).sum(1)[None, :], 0)
-        s = 1 / (1 + np.sqrt(d))
-    return s
-
-
-def _best(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, metric: str):
-    """(qid, id, score) of each query's k best rows."""
-    for at in range(0, len(q), 256):
-        s = np.round(_scores(q[at : at + 256], x, metric), DIGITS)
-        if metric == "euclidean" and len(ids):  # a difference of large squares loses digits: near ones are taken again
-            near = np.argpartition(-s, min(k + 8, len(ids)) - 1, 1)[:, : k + 8]
-            exact = np.round(1 / (1 + np.sqrt(((x[near] - q[at : at + 256, None, :]) ** 2).sum(2))), DIGITS)
-            np.put_along_axis(s, near, exact, 1)
-        order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-        yield np.repeat(qid[at : at + 256], order.shape[1]), ids[order].reshape(-1), np.take_along_axis(s, order, 1).reshape(-1)
+        return np.round(dots, DIGITS)
+    norm = np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1))
+    return np.round(np.clip(np.divide(dots, norm, out=np.zeros_like(dots), where=norm > 0), 0, 1), DIGITS)
+
+
+class _Lists:
+    """The k best rows so far of each of a block of queries.
+
+    Products in single precision rule out what lies below a query's k-th score by more than their error can be; what is left,
+    which is little once a first tile is done, is scored in double precision. So every pair is looked at, and the result is the
+    exact one. A later tile of greater ids loses ties."""
+
+    def __init__(self, qid: np.ndarray, q: np.ndarray, k: int, metric: str):
+        self.qid, self.q, self.k, self.metric = qid, q, max(k, 0), metric
+        self.ids, self.scores = np.full((len(q), self.k), np.iinfo(np.int64).max), np.full((len(q), self.k), -np.inf)
+        self.size = np.sqrt((q * q).sum(1))
+        self.key = np.divide(q, self.size[:, None], out=np.zeros_like(q), where=self.size[:, None] > 0) if metric == "cosine" else q
+        self.last = np.iinfo(np.int64).min
+
+    def _bound(self, some: slice, later: bool, error: np.ndarray) -> np.ndarray:
+        """The least product with which a row can still enter each list."""
+        t = self.scores[some, -1] + (0.5 if later else -0.5) * 10.0**-DIGITS
+        if self.metric in FAR:
+            least = self._product(some, t)
+        else:
+            least = t.copy()
+            if self.metric == "cosine":
+                least[t <= 0] = -np.inf
+                if later:
+                    least[self.scores[some, -1] >= 1] = np.inf
+                    least[(self.size[some] == 0) & (self.scores[some, -1] >= 0)] = np.inf
+        return least - error
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        if not len(ids) or not len(self.q) or not self.k:
+            return
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], x[order]
+        later = bool(ids[0] > self.last)
+        size = np.sqrt((x * x).sum(1))
+        rows = np.divide(x, size[:, None], out=np.zeros_like(x), where=size[:, None] > 0) if self.metric == "cosine" else x
+        q = self.key
+        if self.metric in FAR:
+            q, rows = np.column_stack([q, np.ones(len(q))]), np.column_stack([rows, -(size**2) / 2])
+        most = max(float(np.abs(q).max(initial=0)), float(np.abs(rows).max(initial=0)))
+        least = min(float(np.abs(a[a != 0]).min(initial=1)) for a in (q, rows))
+        kind, unit = (np.float32, 2.0**-24) if most < 1e15 and least > 1e-15 else (np.float64, 2.0**-53)
+        width = np.sqrt((rows * rows).sum(1)).max()
+        error = 2 * (q.shape[1] + 8) * unit * np.sqrt((q * q).sum(1)) * width + 1e-12 * (1 + self.size**2)
+        q, rows = q.astype(kind), rows.astype(kind)
+        for a in range(0, len(ids), ROWS_AT_ONCE):
+            tile, own = rows[a : a + ROWS_AT_ONCE].T, slice(a, a + ROWS_AT_ONCE)
+            for b in range(0, len(q), QUERIES_AT_ONCE):
+                some = slice(b, b + QUERIES_AT_ONCE)
+                near = q[some] @ tile
+                bound = self._bound(some, later, error[some])
+                if (self.scores[some, -1] == -np.inf).any() and near.shape[1] > self.k:  # a first k-th product, of which every list has k rows
+                    kth = self._tied(some, np.partition(near, -self.k, 1)[:, -self.k].astype(float) - error[some]) - error[some]
+                    bound = np.where(self.scores[some, -1] == -np.inf, kth, bound)
+                bound = np.nextafter(bound.astype(kind), kind(-np.inf))
+                self._enter(b, near, bound, ids[own], x[own])
+        self.last = max(self.last, int(ids[-1]))
+
+    def _product(self, some: slice, t: np.ndarray) -> np.ndarray:
+        """The product q * x - x * x / 2 of a row whose score is t; none where no row has it."""
+        far = -t if self.metric == "distance" else np.divide(1, t, out=np.full_like(t, np.inf), where=t > 0) - 1
+        return np.where(far >= 0, (self.size[some] ** 2 - far * far) / 2, np.inf)
+
+    def _tied(self, some: slice, product: np.ndarray) -> np.ndarray:
+        """The least product of a row whose rounded score can tie with that of this one."""
+        if self.metric in FAR:
+            far = np.sqrt(np.maximum(self.size[some] ** 2 - 2 * product, 0))
+            return self._product(some, (1 / (1 + far) if self.metric == "euclidean" else -far) - 1.001 * 10.0**-DIGITS)
+        if self.metric == "cosine":  # below 0 all are 0
+            return np.where(product > 10.0**-DIGITS, product - 1.001 * 10.0**-DIGITS, -np.inf)
+        return product - 1.001 * 10.0**-DIGITS
+
+    def _enter(self, b: int, near: np.ndarray, bound: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        each = max(1, (1 << 20) // near.shape[1])
+        for c in range(0, len(near), each):
+            row, col = np.nonzero(near[c : c + each] >= bound[c : c + each, None])
+            if not len(row):
+                continue
+            at = row + b + c
+            which, n = np.unique(at, return_counts=True)
+            ids_all = np.concatenate([self.ids[which].ravel(), ids[col]])
+            scores = np.concatenate([self.scores[which].ravel(), _exact(self.q[at], x[col], self.metric)])
+            of = np.concatenate([np.repeat(which, self.k), at])
+            order = np.lexsort((ids_all, -scores, of))
+            first = np.cumsum(n + self.k) - n - self.k
+            take = order[(first[:, None] + np.arange(self.k)[None, :]).ravel()]
+            self.ids[which], self.scores[which] = ids_all[take].reshape(-1, self.k), scores[take].reshape(-1, self.k)
+
+    def rows(self):
+        """(qid, id, score)."""
+        there = self.scores > -np.inf
+        return np.broadcast_to(self.qid[:, None], there.shape)[there], self.ids[there], self.scores[there]
+
+
+def nearest(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(qid, id, distance): the k rows of least rounded distance of each query, ties by id."""
+    lists = _Lists(qid, q, k, "distance")
+    lists.add(ids, x)
+    of, found, score = lists.rows()
+    return of, found, -score
 
 
 def batch_search(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 10, metric: str = "cosine", id_: str = "doc_id", vec: str = "embedding", qid: str = "qid", qvec: str = "embedding") -> DataFrame:
@@ -78,35 +173,35 @@ def batch_search(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 10,
     kinds, names = "qid long, doc_id long, score double", ["qid", "doc_id", "score"]
     n = q.count()
 
-    def out(found):
-        for one in found:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in one], names=names)
-
     if n * dim * 8 <= QUERY_BYTES:
         t = q.toArrow()
         shared = v.sparkSession.sparkContext.broadcast((np.asarray(t.column("qid"), np.int64), _matrix(t.column("v")) if t.num_rows else np.empty((0, dim))))
 
         def run(batches):
-            ids, own = shared.value
+            lists = _Lists(*shared.value, k, metric)
             for b in batches:
-                if b.num_rows and len(ids):
-                    yield from out(_best(ids, own, np.asarray(b.column(0), np.int64), _matrix(b.column(1)), k, metric))
+                if b.num_rows:
+                    lists.add(np.asarray(b.column(0), np.int64), _matrix(b.column(1)))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in lists.rows()], names=names)
 
         found = v.mapInArrow(run, kinds)
     else:
         # A grid of tiles as large as a task holds: a vector is copied once for each block of queries, a query for each part of vectors.
-        blocks, parts = -(-n * dim * 8 // QUERY_BYTES), max(1, -(-v.count() * dim * 8 // (4 * QUERY_BYTES)))
+        blocks, parts = -(-n * dim * 8 // QUERY_BYTES), max(1, -(-v.count() * dim * 8 // QUERY_BYTES))
         cut = q.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
         spread = v.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
         left = spread.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         right = cut.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        # a tile is much work on few bytes, so each has a partition of its own, which isn't joined to others by its size
+        left, right = (x.repartition(blocks * parts, "block", "part") for x in (left, right))
 
         def meet(data: pa.Table, asked: pa.Table) -> pa.Table:
-            rows = []
+            rows = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
             if data.num_rows and asked.num_rows:
-                rows = list(_best(np.asarray(asked.column("qid"), np.int64), _matrix(asked.column("v")), np.asarray(data.column("doc_id"), np.int64), _matrix(data.column("v")), k, metric))
-            cols = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-            return pa.table(dict(zip(names, map(pa.array, cols), strict=True)))
+                lists = _Lists(np.asarray(asked.column("qid"), np.int64), _matrix(asked.column("v")), k, metric)
+                lists.add(np.asarray(data.column("doc_id"), np.int64), _matrix(data.column("v")))
+                rows = lists.rows()
+            return pa.table(dict(zip(names, map(pa.array, rows), strict=True)))
 
         found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(meet, kinds)
     return top_by(found, "qid", k)

@@ -1,5 +1,11 @@
 """What keeps the cost of large inputs in proportion."""
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tessera.functions import text
+from tessera.operators import graph, vector
 from tessera.operators import index as ix
 
 
@@ -29,3 +35,45 @@ def test_slices_of_tokens(spark, monkeypatch):
     post, lengths = ix.analysed(ix.tokenized(docs))
     assert {(r.term, r.doc_id): (r.tf, r.doc_len) for r in post.collect()} == {(t, i): (n * (i % 4), 4 * (i % 4)) for i in range(40) if i % 4 for t, n in (("aa", 2), ("bb", 1), ("cc", 1))}
     assert {r.doc_id: r.doc_len for r in lengths.collect()} == {i: 4 * (i % 4) for i in range(40)}
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+def test_lists_hold_the_exact_best(metric, monkeypatch):
+    """Lists from products in single precision are those of a scalar loop, whatever the order of ids, copies and zero vectors."""
+    monkeypatch.setattr(vector, "QUERIES_AT_ONCE", 16)
+    monkeypatch.setattr(vector, "ROWS_AT_ONCE", 32)
+    r = np.random.default_rng(3)
+    for trial in range(12):
+        n, k = int(r.integers(1, 150)), int(r.integers(1, 8))
+        x = r.normal(size=(n, 5)) * 10.0 ** r.integers(-6, 6) if trial % 2 else r.integers(-2, 3, (n, 5)).astype(float)
+        if trial % 3 == 0:
+            x = x[r.integers(0, max(1, n // 6), n)]
+        q, ids = x[r.integers(0, n, 20)], r.permutation(n).astype(np.int64)
+        lists = vector._Lists(np.arange(20), q, k, metric)
+        for part in (slice(0, n // 2), slice(n // 2, None)):
+            lists.add(ids[part], x[part])
+        want = set()
+        for i, one in enumerate(q):
+            s = vector._exact(np.repeat(one[None], n, 0), x, metric)
+            want |= {(i, int(ids[j]), float(s[j])) for j in np.lexsort((ids, -s))[:k]}
+        assert {(int(a), int(b), float(c)) for a, b, c in zip(*lists.rows(), strict=True)} == want
+
+
+def test_stored_graphs_answer_exactly(spark):
+    """More neighbours than a walk keeps, some of them copies, at distances that are equal once rounded."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(600, 8))
+    x[300:320], x[400:420] = x[0], x[1] + 1e-9
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "doc_id long, embedding array<double>")
+    nodes = graph.built(v, 8, shard_rows=250)
+    got = {(g.qid, g.rank): (g.doc_id, g.distance) for g in graph.find(nodes, [(i, x[i].tolist()) for i in (0, 1, 7)], 8, 25, ef=25, exact=True).collect()}
+    for i in (0, 1, 7):
+        d = np.round(np.sqrt(((x - x[i]) ** 2).sum(1)), 6)
+        assert [got[i, n + 1] for n in range(25)] == [(int(j), float(d[j])) for j in np.lexsort((np.arange(600), d))[:25]]
+
+
+def test_unicode_words_in_slices(spark, monkeypatch):
+    texts = ["one two", None, "", "don't stop", "x" * 10 + " yy"]
+    whole = text._unicode_words.func(pa.array(texts)).to_pylist()
+    monkeypatch.setattr(text, "SLICE_BYTES", 4)
+    assert text._unicode_words.func(pa.array(texts)).to_pylist() == whole == [["one", "two"], [], [], ["don't", "stop"], ["x" * 10, "yy"]]
