@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,8 @@ from pyspark.sql import types as T
 from tessera.functions.porter2 import stem
 from tessera.plans.settings import TokenizerConfig
 
+#: Bytes of text whose words are cut at once, which bounds a task's memory; a single text may have more.
+SLICE_BYTES = 1 << 20
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -42,7 +45,13 @@ def _unicode_words(texts: pa.Array) -> pa.Array:
 
     cut = regex.compile(r"(?V1)(?w)\b")
     alnum = regex.compile(r"[\p{L}\p{N}]")
-    return pa.array([[] if t is None else [x for x in cut.split(t) if x and alnum.search(x)] for t in texts.to_pylist()], pa.list_(pa.string()))
+    size = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0), np.int64))
+    out, at = [], 0
+    while at < len(texts):  # words are Python's strings for one slice at a time
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        out.append(pa.array([[] if t is None else [x for x in cut.split(t) if x and alnum.search(x)] for t in texts.slice(at, to - at).to_pylist()], pa.list_(pa.string())))
+        at = to
+    return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.string()))
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
