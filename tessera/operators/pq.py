@@ -24,6 +24,8 @@ from tessera.sources import generations
 from tessera.sources.scratch import written
 
 DIGITS = 6
+#: Rows whose codes are sought at once.
+ENCODED_AT_ONCE = 2048
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -156,6 +158,22 @@ def encoded(vectors: DataFrame, book: Codebook, id_: str = "doc_id", vec: str =
     return v.mapInArrow(run, f"doc_id {v.schema['doc_id'].dataType.simpleString()}, codes array<int>")
 
 
+def errors(vectors: DataFrame, book: Codebook, id_: str = "doc_id", vec: str = "embedding") -> DataFrame:
+    """(doc_id, error): the distance of each vector from what its codes stand for, in one pass and without a join."""
+    dim = book.dim
+    v = vectors.select(F.col(id_).alias("doc_id"), F.col(vec).cast("array<double>").alias("v")).where((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull()))
+    shared = vectors.sparkSession.sparkContext.broadcast(book)
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, ENCODED_AT_ONCE):
+                x = _matrix(b.column(1).slice(at, ENCODED_AT_ONCE))
+                back = shared.value.decode(shared.value.encode(x))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(x)), pa.array(np.sqrt(((back - x) ** 2).sum(1)))], names=["doc_id", "error"])
+
+    return v.mapInArrow(run, f"doc_id {v.schema['doc_id'].dataType.simpleString()}, error double")
+
+
 def decoded(codes: DataFrame, book: Codebook) -> DataFrame:
     """(doc_id, vec): the vectors that the codes stand for."""
     shared = codes.sparkSession.sparkContext.broadcast(book)

@@ -5,8 +5,9 @@ import pyarrow as pa
 import pytest
 
 from tessera.functions import text
-from tessera.operators import graph, vector
+from tessera.operators import graph, keyword, pq, vector
 from tessera.operators import index as ix
+from tessera.plans.settings import Bm25Params
 
 
 def _plan(df) -> str:
@@ -77,3 +78,29 @@ def test_unicode_words_in_slices(spark, monkeypatch):
     whole = text._unicode_words.func(pa.array(texts)).to_pylist()
     monkeypatch.setattr(text, "SLICE_BYTES", 4)
     assert text._unicode_words.func(pa.array(texts)).to_pylist() == whole == [["one", "two"], [], [], ["don't", "stop"], ["x" * 10, "yy"]]
+
+
+def test_documents_meet_queries_in_bounded_tables(monkeypatch):
+    """Tables of a few documents hold each posting once, though batches cut documents."""
+    monkeypatch.setattr(keyword, "DOCUMENTS", 3)
+    monkeypatch.setattr(keyword, "WAITING", 4)
+    r = np.random.default_rng(2)
+    rows = [(d, t, int(r.integers(1, 5)), 9) for d in range(40) for t in ("aa", "bb", "cc") if r.random() < 0.6]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a : a + 5], strict=True)], names=["doc_id", "term", "tf", "doc_len"]) for a in range(0, len(rows), 5)]
+    names, p, got = pa.array(["aa", "bb", "cc"]), Bm25Params(), {}
+    for ids, table, there in keyword._tables(batches, names, 7.0, p):
+        assert len(ids) <= 3
+        for t, j in zip(*np.nonzero(there), strict=True):
+            assert (int(ids[j]), names[int(t)].as_py()) not in got
+            got[int(ids[j]), names[int(t)].as_py()] = table[t, j]
+    assert got == {(d, t): n * (p.k1 + 1) / (n + p.k1 * (1 - p.b + p.b * length / 7.0)) + p.delta for d, t, n, length in rows}
+
+
+def test_errors_of_codes_need_no_join(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(50, 4))
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "doc_id long, embedding array<double>")
+    book = pq.Codebook([x[:5, :2], x[:5, 2:]])
+    e = pq.errors(v, book)
+    assert "Exchange" not in _plan(e) and _plan(e).count("MapInArrow") == 1
+    assert [row.error for row in e.orderBy("doc_id").collect()] == pytest.approx(np.sqrt(((book.decode(book.encode(x)) - x) ** 2).sum(1)).tolist())
