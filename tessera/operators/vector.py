@@ -44,6 +44,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 FAR = ("euclidean", "distance")
 #: Queries and rows whose products are made at once.
 QUERIES_AT_ONCE, ROWS_AT_ONCE = 1024, 4096
+#: Queries from which products cost more than an exchange of the vectors, so that these are dealt to all cores; a small table is one file, which one task reads.
+DEALT = 1024
 
 
 def _exact(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -184,6 +186,8 @@ def batch_search(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 10,
                     lists.add(np.asarray(b.column(0), np.int64), _matrix(b.column(1)))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in lists.rows()], names=names)
 
+        if n >= DEALT:
+            v = v.repartition(v.sparkSession.sparkContext.defaultParallelism, "doc_id")
         found = v.mapInArrow(run, kinds)
     else:
         # A grid of tiles as large as a task holds: a vector is copied once for each block of queries, a query for each part of vectors.
@@ -192,8 +196,9 @@ def batch_search(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 10,
         spread = v.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
         left = spread.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         right = cut.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-        # a tile is much work on few bytes, so each has a partition of its own, which isn't joined to others by its size
-        left, right = (x.repartition(blocks * parts, "block", "part") for x in (left, right))
+        # a tile is much work on few bytes, so each has a partition of its own, which it shares with no other by its hash or its size
+        tile = (F.col("part") * blocks + F.col("block")).cast("int")
+        left, right = (x.withColumn("tile", tile).repartitionById(blocks * parts, F.col("tile")) for x in (left, right))
 
         def meet(data: pa.Table, asked: pa.Table) -> pa.Table:
             rows = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
@@ -203,5 +208,5 @@ def batch_search(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 10,
                 rows = lists.rows()
             return pa.table(dict(zip(names, map(pa.array, rows), strict=True)))
 
-        found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(meet, kinds)
+        found = left.groupBy("tile").cogroup(right.groupBy("tile")).applyInArrow(meet, kinds)
     return top_by(found, "qid", k)

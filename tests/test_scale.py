@@ -104,3 +104,24 @@ def test_errors_of_codes_need_no_join(spark):
     e = pq.errors(v, book)
     assert "Exchange" not in _plan(e) and _plan(e).count("MapInArrow") == 1
     assert [row.error for row in e.orderBy("doc_id").collect()] == pytest.approx(np.sqrt(((book.decode(book.encode(x)) - x) ** 2).sum(1)).tolist())
+
+
+def test_each_tile_has_a_task_of_its_own(spark, monkeypatch):
+    """Tiles of vectors and queries don't meet in one task by their hash, and all pairs are looked at."""
+    monkeypatch.setattr(vector, "QUERY_BYTES", 8 * 4 * 8)
+    r = np.random.default_rng(6)
+    x = r.normal(size=(60, 4))
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "doc_id long, embedding array<double>")
+    found = vector.batch_search(v, v.withColumnRenamed("doc_id", "qid"), 4, 3, "dot")
+    assert _plan(found).count("shufflepartitionidpassthrough") == 2
+    want = {(i, int(j)) for i in range(60) for j in np.lexsort((np.arange(60), -np.round(x @ x[i], 6)))[:3]}
+    assert {(g.qid, g.doc_id) for g in found.collect()} == want
+
+
+def test_many_queries_meet_vectors_in_all_tasks(spark, monkeypatch):
+    """A table of one file is one task's, whatever the number of queries."""
+    monkeypatch.setattr(vector, "DEALT", 10)
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 40)], "doc_id long, embedding array<double>").coalesce(1)
+    found = vector.batch_search(v, v.withColumnRenamed("doc_id", "qid"), 2, 1, "dot")
+    assert "hashpartitioning(doc_id#" in _plan(found)
+    assert {(g.qid, g.doc_id) for g in found.collect()} == {(i, 39) for i in range(1, 40)}
