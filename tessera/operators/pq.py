@@ -24,7 +24,7 @@ from tessera.sources import generations
 from tessera.sources.scratch import written
 
 DIGITS = 6
-#: Rows whose codes are sought at once.
+#: Rows whose codes are sought at once; their distances from all centroids stay in a core's cache.
 ENCODED_AT_ONCE = 2048
 
 
@@ -104,12 +104,15 @@ def train(vectors: DataFrame, dim: int, cfg: PqConfig | None = None, id_: str =
     cfg.check(dim)
     d = dim // cfg.m
     v = vectors.select(F.col(id_).alias("id"), F.col(vec).cast("array<double>").alias("v")).where((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull()))
+    context = v.sparkSession.sparkContext
+    # read again in each pass, so it is dealt to all cores once: a table of a few files is a few tasks' work
+    v = written(v.repartition(context.defaultParallelism))
     first = v.orderBy(F.xxhash64("id"), "id").limit(cfg.init_sample).select("v").toArrow()
     if not first.num_rows:
         raise InvalidConfig("no vector to train on")
     x = _matrix(first.column("v"))
     book = Codebook([spread(x[:, s * d : (s + 1) * d], cfg.centroids) for s in range(cfg.m)])
-    context, before = v.sparkSession.sparkContext, None
+    before = None
     sums = ", ".join(f"s{i} double" for i in range(d))
     for _ in range(cfg.max_iter):
         shared = context.broadcast(book)
@@ -117,14 +120,13 @@ def train(vectors: DataFrame, dim: int, cfg: PqConfig | None = None, id_: str =
         def add(batches, shared=shared):
             b, acc = shared.value, {}
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                for s, p in enumerate(b.parts(_matrix(batch.column(0)))):
-                    dist = _squared(p, b.centroids[s])
-                    at = dist.argmin(1)
-                    k = len(b.centroids[s])
-                    row = np.column_stack([np.bincount(at, minlength=k), np.bincount(at, dist[np.arange(len(p)), at], minlength=k), *(np.bincount(at, p[:, i], minlength=k) for i in range(p.shape[1]))])
-                    acc[s] = acc[s] + row if s in acc else row
+                for start in range(0, batch.num_rows, ENCODED_AT_ONCE):
+                    for s, p in enumerate(b.parts(_matrix(batch.column(0).slice(start, ENCODED_AT_ONCE)))):
+                        dist = _squared(p, b.centroids[s])
+                        at = dist.argmin(1)
+                        k = len(b.centroids[s])
+                        row = np.column_stack([np.bincount(at, minlength=k), np.bincount(at, dist[np.arange(len(p)), at], minlength=k), *(np.bincount(at, p[:, i], minlength=k) for i in range(p.shape[1]))])
+                        acc[s] = acc[s] + row if s in acc else row
             for s, rows in acc.items():
                 some = np.flatnonzero(rows[:, 0])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), s, np.int32)), pa.array(some.astype(np.int32)), *(pa.array(rows[some, i]) for i in range(rows.shape[1]))], names=["subspace", "centroid", "n", "loss", *(f"s{i}" for i in range(rows.shape[1] - 2))])

@@ -139,3 +139,13 @@ def test_each_graph_has_a_task_of_its_own(spark):
     for i in (0, 50):
         d = np.sqrt(((x - x[i]) ** 2).sum(1))
         assert [g.doc_id for g in found.where(f"qid = {i}").orderBy("rank").collect()] == np.argsort(d)[:3].tolist()
+
+
+def test_training_reads_vectors_in_all_tasks(spark, monkeypatch):
+    """A table of one file would be one task's in each pass."""
+    seen = []
+    monkeypatch.setattr(pq, "written", lambda df: seen.append(df.rdd.getNumPartitions()) or ix.written(df))
+    v = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(60)], "doc_id long, embedding array<double>").coalesce(1)
+    book = pq.train(v, 2, pq.PqConfig(m=2, centroids=4))
+    assert seen == [spark.sparkContext.defaultParallelism]
+    assert sorted(book.centroids[0].ravel().tolist()) == [0.0, 1.0, 2.0]
