@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +28,7 @@ def tokenized(docs: DataFrame, cfg: TokenizerConfig | None = None, id_: str = "d
 
 
 #: Tokens that are counted at once, which bounds a task's memory; a single document may have more.
-SLICE = 1 << 19
+SLICE = 1 << 21
 
 
 def postings(tok: DataFrame, positions: bool = False, lengths: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
@@ -69,7 +70,8 @@ def _grouped(tok: DataFrame, positions: bool, lengths: bool, by: tuple[str, ...]
 
 
 def _counted(tok: DataFrame, positions: bool, by: tuple[str, ...], documents: bool) -> DataFrame:
-    """Postings of rows with ids of their own; with ``documents`` a row without a term for each document too."""
+    """Postings of rows with ids of their own; with ``documents`` a row without a term for each document too. Those of a slice come in the
+    order of ``by``, term and document, so that a sort of a task's rows merges few runs, and pages of a table can be skipped."""
     keys = ["doc_id", *by]
     rows = tok.select("tokens", *keys)
     fields = [T.StructField("term", T.StringType()), *(rows.schema[c] for c in keys), T.StructField("tf", T.LongType()), T.StructField("doc_len", T.LongType())]
@@ -83,18 +85,22 @@ def _counted(tok: DataFrame, positions: bool, by: tuple[str, ...], documents: bo
             while at < b.num_rows:
                 to = max(at + 1, int(np.searchsorted(off, off[at] + SLICE, "right")) - 1)
                 flat = b.column(0).values.slice(off[at], off[to] - off[at])
-                code, size = flat.dictionary_encode(), np.diff(off[at : to + 1])
-                kinds = max(1, len(code.dictionary))
-                key = np.repeat(np.arange(to - at), size) * kinds + np.asarray(code.indices, np.int64)
+                code, size, n = flat.dictionary_encode(), np.diff(off[at : to + 1]), to - at
+                own = [b.column(i).slice(at, n) for i in range(1, b.num_columns)]
+                by_term, by_row, group = pc.sort_indices(code.dictionary), *_ordered(own)
+                words = code.dictionary.take(by_term)
+                kinds = max(1, len(words))
+                # a row's group, a term's place and a row's place, in one number
+                key = ((group * kinds)[np.repeat(np.arange(n), size)] + _places(by_term)[np.asarray(code.indices, np.int64)]) * n + np.repeat(_places(by_row), size)
                 if positions:
                     order = np.argsort(key, kind="stable")
                     key = key[order]
                 else:
                     key.sort()
                 first = np.flatnonzero(np.diff(key, prepend=-1))
-                row, kind = np.divmod(key[first], kinds)
-                own = [b.column(i).slice(at, to - at) for i in range(1, b.num_columns)]
-                cols = [code.dictionary.take(pa.array(kind)), *(c.take(pa.array(row)) for c in own), pa.array(np.diff(np.append(first, len(key)))), pa.array(size[row])]
+                kind, row = np.divmod(key[first], n)
+                kind, row = kind % kinds, by_row[row]
+                cols = [words.take(pa.array(kind)), *(c.take(pa.array(row)) for c in own), pa.array(np.diff(np.append(first, len(key)))), pa.array(size[row])]
                 if positions:
                     start = np.cumsum(size) - size
                     pos = (order - np.repeat(start, size)[order]).astype(np.int32)
@@ -108,6 +114,28 @@ def _counted(tok: DataFrame, positions: bool, by: tuple[str, ...], documents: bo
     return rows.mapInArrow(run, T.StructType(fields))
 
 
+def _places(order) -> np.ndarray:
+    """The place of each row in an order."""
+    place = np.empty(len(order), np.int64)
+    place[np.asarray(order, np.int64)] = np.arange(len(order))
+    return place
+
+
+def _ordered(keys: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by all but the first key and then by the first, and for each row the place of its group among those of equal
+    other keys."""
+    t = pa.table({str(i): c for i, c in enumerate(keys)})
+    others = [(str(i), "ascending") for i in range(1, len(keys))]
+    order = np.asarray(pc.sort_indices(t, [*others, ("0", "ascending")], null_placement="at_start"), np.int64)
+    new = np.zeros(len(order), bool)
+    for i in range(1, len(keys)):
+        code = np.asarray(keys[i].dictionary_encode(null_encoding="encode").indices, np.int64)[order]
+        new[1:] |= code[1:] != code[:-1]
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new)
+    return order, group
+
+
 def doc_stats(tok: DataFrame) -> DataFrame:
     return tok.select("doc_id", F.size("tokens").cast("long").alias("doc_len"))
 

@@ -1,6 +1,6 @@
 """Index segments and their manifest.
 
-A segment is a partition ``segment_id=N`` of six tables: postings and terms (sorted by term), lengths, statistics, deletions
+A segment is a partition ``segment_id=N`` of six tables: postings and terms (files sorted by term), lengths, statistics, deletions
 and side columns. The manifest is a table of a
 row for each live segment; a change writes its next generation beside the last and readers take the highest that was
 committed, so that a reader never sees half a change.
@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from tessera.operators.index import analysed, tokenized, without
 from tessera.plans.settings import TokenizerConfig
 from tessera.sources import generations
+from tessera.sources.scratch import written
 
+#: Ids of deleted documents that are sent to all tasks, 32 MB of them; more are joined in an exchange.
+BROADCAST_IDS = 1 << 22
 META = "id bigint, min_raft_index bigint, max_raft_index bigint, doc_count bigint, live_doc_count bigint, size_bytes bigint, created_at bigint"
 
 
@@ -31,9 +34,11 @@ class SegmentStore:
         df.write.mode(mode).partitionBy("segment_id").parquet(f"{self.path}/{table}")
 
     def write(self, tok: DataFrame, columns: DataFrame | None = None) -> None:
-        """Segments from (segment_id, doc_id, tokens), and their side columns (segment_id, doc_id, ...)."""
+        """Segments from (segment_id, doc_id, tokens), and their side columns (segment_id, doc_id, ...). Postings aren't exchanged: each
+        task writes a file of each segment that is sorted by term, and a look-up skips what it doesn't need of each file; a merge makes
+        files that share no term."""
         post, lengths = analysed(tok, by=("segment_id",))
-        self._save(post.repartitionByRange("segment_id", "term").sortWithinPartitions("segment_id", "term", "doc_id"), "postings")
+        self._save(post.sortWithinPartitions("segment_id", "term", "doc_id"), "postings")
         self._save(lengths, "lengths")
         self._derive(sorted(r.segment_id for r in tok.select("segment_id").distinct().collect()))
         if columns is not None:
@@ -87,11 +92,13 @@ class SegmentStore:
     def merge(self, segments: list[int], into: int, deleted: DataFrame | None = None) -> None:
         """A segment of what is live in the others, which stay until the manifest no longer names them."""
         gone = self.deleted().select("doc_id")
-        gone = gone if deleted is None else gone.unionByName(deleted.select("doc_id"))
+        gone = written((gone if deleted is None else gone.unionByName(deleted.select("doc_id"))).distinct())
+        if gone.count() <= BROADCAST_IDS:  # then the postings aren't exchanged for it
+            gone = F.broadcast(gone)
         for table, order in (("postings", ["term", "doc_id"]), ("lengths", ["doc_id"]), ("columns", ["doc_id"])):
             if table == "columns" and not self._has(table):
                 continue
-            df = without(self.read(table, segments).drop("segment_id"), gone)
+            df = self.read(table, segments).drop("segment_id").join(gone, "doc_id", "left_anti")
             df.repartitionByRange(*order[:1]).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{self.path}/{table}/segment_id={into}")
         self._derive([into])
 

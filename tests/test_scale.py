@@ -2,12 +2,14 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq_file
 import pytest
 
 from tessera.functions import text
 from tessera.operators import graph, keyword, pq, vector
 from tessera.operators import index as ix
 from tessera.plans.settings import Bm25Params
+from tessera.sources import segments
 
 
 def _plan(df) -> str:
@@ -149,3 +151,27 @@ def test_training_reads_vectors_in_all_tasks(spark, monkeypatch):
     book = pq.train(v, 2, pq.PqConfig(m=2, centroids=4))
     assert seen == [spark.sparkContext.defaultParallelism]
     assert sorted(book.centroids[0].ravel().tolist()) == [0.0, 1.0, 2.0]
+
+
+def test_segments_are_written_and_merged_without_needless_exchanges(spark, tmp_path, monkeypatch):
+    """Postings are written where they were counted, sorted by term, and a merge doesn't exchange them for what is deleted."""
+    plans = []
+    frame = type(spark.range(1))
+    own = frame.write.fget
+    monkeypatch.setattr(frame, "write", property(lambda df: plans.append((df.columns, _plan(df))) or own(df)))
+    monkeypatch.setattr(ix, "SLICE", 7)
+    docs = spark.createDataFrame([(i, i % 2, ["bb", "aa", "bb", f"x{i % 5}"] if i % 7 else []) for i in range(40)], "doc_id long, segment_id long, tokens array<string>")
+    s = segments.SegmentStore(spark, str(tmp_path))
+    s.write(docs)
+    saved = [p for c, p in plans if "tf" in c]
+    assert saved and not any("Exchange" in p for p in saved)
+    for f in (tmp_path / "postings").rglob("*.parquet"):
+        t = list(zip(*(pq_file.read_table(f, partitioning=None).column(c).to_pylist() for c in ("term", "doc_id")), strict=True))
+        assert t == sorted(t)
+    assert {(r.segment_id, r.term, r.doc_id): (r.tf, r.doc_len) for r in s.read("postings").collect()} == {(i % 2, t, i): (n, 4) for i in range(40) if i % 7 for t, n in (("aa", 1), ("bb", 2), (f"x{i % 5}", 1))}
+    assert {(r.segment_id, r.n, r.total_len) for r in s.read("stats").collect()} == {(0, 20, 68), (1, 20, 68)}
+    plans.clear()
+    s.merge([0, 1], 9, spark.range(1, 4).withColumnRenamed("id", "doc_id"))
+    (merged,) = [p for c, p in plans if "tf" in c]
+    assert merged.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in merged and "SortMergeJoin" not in merged
+    assert {(r.term, r.df, r.total_tf) for r in s.read("terms", [9]).collect()} == {("aa", 31, 31), ("bb", 31, 62), ("x0", 6, 6), ("x1", 6, 6), ("x2", 6, 6), ("x3", 6, 6), ("x4", 7, 7)}
