@@ -175,3 +175,11 @@ def test_segments_are_written_and_merged_without_needless_exchanges(spark, tmp_p
     (merged,) = [p for c, p in plans if "tf" in c]
     assert merged.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in merged and "SortMergeJoin" not in merged
     assert {(r.term, r.df, r.total_tf) for r in s.read("terms", [9]).collect()} == {("aa", 31, 31), ("bb", 31, 62), ("x0", 6, 6), ("x1", 6, 6), ("x2", 6, 6), ("x3", 6, 6), ("x4", 7, 7)}
+
+
+def test_counted_slices_are_sorted(spark):
+    """Each slice of postings comes in the order of segment, term and document, whatever the order of the documents."""
+    docs = spark.createDataFrame([(9 - i, i % 2, ["é", "bb", "Z", "bb"]) for i in range(10)], "doc_id long, seg long, tokens array<string>").coalesce(1)
+    got = [(r.seg, r.term.encode(), r.doc_id, r.tf, list(r.positions)) for r in ix._counted(docs, True, ("seg",), False).collect()]
+    assert got == sorted(got)
+    assert got == [(s, t, d, n, p) for s in (0, 1) for t, n, p in ((b"Z", 1, [2]), (b"bb", 2, [1, 3]), ("é".encode(), 1, [0])) for d in range(1 - s, 10, 2)]
