@@ -9,11 +9,12 @@ Null and empty texts have no tokens; the order and repetition of tokens are kept
 from __future__ import annotations
 
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,6 +86,90 @@ def tokens(text: Column, cfg: TokenizerConfig | None = None) -> Column:
     return _stems(out) if cfg.stem else out
 
 
+@cache
+def letters() -> np.ndarray:
+    """For each code point whether it belongs to a word, as the JVM's classes have it, in packed bits."""
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    pattern = SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(f"(?:{WORD})")
+    others = pattern.matcher("".join(map(chr, every))).replaceAll("")
+    found = np.zeros(0x110000, bool)
+    found[every] = True
+    found[[ord(c) for c in others]] = False
+    return np.packbits(found)
+
+
+class Cutter:
+    """``tokens`` in mode 'simple' for many texts at once, in a task: words are cut by their bytes, and what is done to a word is done to
+    each distinct one."""
+
+    def __init__(self, cfg: TokenizerConfig, packed: np.ndarray):
+        self.cfg, self.letter, self.stop = cfg, np.unpackbits(packed).astype(bool), pa.array(stopwords_of(cfg) if cfg.remove_stopwords else (), pa.string())
+        self.byte = np.zeros(256, bool)
+        self.byte[:128] = self.letter[:128]
+        self.lower = np.arange(256, dtype=np.uint8)
+        if cfg.lowercase:
+            self.lower[65:91] += 32
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """(the place of each token among the terms, the terms, the number of tokens of each text)."""
+        off, buf = _bytes(texts)
+        inside = self.byte[buf]
+        lead = np.flatnonzero(buf >= 0xC0)
+        first = buf[lead].astype(np.int32)
+        width = np.where(first >= 0xF0, 4, np.where(first >= 0xE0, 3, 2))
+        for w, bits in ((2, 0x1F), (3, 0x0F), (4, 0x07)):
+            at = lead[width == w]
+            point = buf[at].astype(np.int32) & bits
+            for j in range(1, w):
+                point = point << 6 | (buf[at + j] & 0x3F)
+            at = at[self.letter[point]]
+            for j in range(w):
+                inside[at + j] = True
+        begins, ends = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1]
+        ends[:-1] &= ~inside[1:]
+        some = np.flatnonzero(np.diff(off))  # a word ends with its text
+        begins[off[some]] |= inside[off[some]]
+        ends[off[some + 1] - 1] |= inside[off[some + 1] - 1]
+        begins, ends = np.flatnonzero(begins), np.flatnonzero(ends)
+        size = np.diff(np.searchsorted(begins, off))
+        ends = np.append(np.zeros(1, np.int32), np.cumsum(ends - begins + 1, dtype=np.int32))
+        found = pa.StringArray.from_buffers(len(begins), pa.py_buffer(ends), pa.py_buffer(self.lower[buf[inside]])).dictionary_encode()
+        terms, keep = self._terms(found.dictionary)
+        code = np.asarray(found.indices, np.int64)
+        if not keep.all():
+            kept = keep[code]
+            sums = np.append(0, np.cumsum(kept))
+            size, code = np.diff(sums[np.append(0, np.cumsum(size))]), code[kept]
+        if terms is not found.dictionary:  # distinct words may be one term
+            terms = terms.dictionary_encode()
+            code, terms = np.asarray(terms.indices, np.int64)[code], terms.dictionary
+        return code, terms, size
+
+    def _terms(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The term of each word, and whether it is kept."""
+        other = ~np.asarray(pc.string_is_ascii(words)) if self.cfg.lowercase else np.zeros(len(words), bool)
+        if other.any():
+            words = pc.replace_with_mask(words, pa.array(other), pa.array([w.lower() for w in words.filter(pa.array(other)).to_pylist()], pa.string()))
+        size = np.asarray(pc.binary_length(words))
+        keep = (size >= self.cfg.min_len) & (size <= self.cfg.max_len)
+        if len(self.stop):
+            keep &= ~np.asarray(pc.is_in(words, value_set=self.stop))
+        return (pa.array([stem(w) for w in words.to_pylist()], pa.string()) if self.cfg.stem else words), keep
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets from 0, bytes) of texts; nulls are empty, and bytes that are no text are no letters."""
+    texts = pc.fill_null(texts, "").cast(pa.binary())
+    try:
+        texts.cast(pa.string()).validate(full=True)
+    except pa.ArrowInvalid:
+        texts = pa.array([t.decode("utf-8", "replace").encode() for t in texts.to_pylist()], pa.binary())
+    off = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = texts.buffers()[2]
+    return off - off[0], (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8))[off[0] : off[-1]]
+
+
 def analyse(text: str, cfg: TokenizerConfig | None = None) -> list[str]:
     """The tokens of one text on the driver, as ``tokens`` gives them: for query strings."""
     import regex

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.text import tokens
+from tessera.functions.text import Cutter, letters, tokens
 from tessera.plans.settings import TokenizerConfig
 from tessera.sources.scratch import written
 
@@ -27,29 +27,39 @@ def tokenized(docs: DataFrame, cfg: TokenizerConfig | None = None, id_: str = "d
     return docs.select(F.col(id_).alias("doc_id"), tokens(F.col(text), cfg).alias("tokens"))
 
 
-#: Tokens that are counted at once, which bounds a task's memory; a single document may have more.
-SLICE = 1 << 21
+def texts(docs: DataFrame, cfg: TokenizerConfig | None = None, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text) where the task that counts a document's terms can cut its text too, so that no tokens move to it; else as
+    ``tokenized``. For ``postings`` and ``analysed``."""
+    if (cfg or TokenizerConfig()).mode != "simple":
+        return tokenized(docs, cfg, id_, text)
+    return docs.select(F.col(id_).alias("doc_id"), F.col(text).alias("text"))
 
 
-def postings(tok: DataFrame, positions: bool = False, lengths: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+#: Tokens that are counted at once, which bounds a task's memory, and bytes of a text that count as a token; a single document may have more.
+SLICE, TOKEN_BYTES = 1 << 21, 4
+
+
+def postings(tok: DataFrame, positions: bool = False, lengths: bool = False, by: tuple[str, ...] = (), cfg: TokenizerConfig | None = None, repeated: bool | None = None) -> DataFrame:
     """One row for each term of each document; positions count from 0. With ``lengths`` the document's length stands in each row, so
-    that scores need no join; ``by`` names further columns of ``tok`` that go with a document.
+    that scores need no join; ``by`` names further columns of ``tok`` that go with a document. ``cfg`` is for a frame of
+    ``texts``; ``repeated`` says whether ids are, where that is known.
 
     A document's terms are counted in the task that analyses it, so nothing is exchanged; only where ids are repeated, which a look
     at the ids alone shows, are rows of one id brought together."""
-    if _repeated(tok, by):
-        return _grouped(tok, positions, lengths, by)
-    found = _counted(tok, positions, by, False)
+    if _repeated(tok, by) if repeated is None else repeated:
+        return _grouped(_with_tokens(tok, cfg), positions, lengths, by)
+    found = _counted(tok, positions, by, False, cfg)
     return found.select("term", "doc_id", *by, "tf", *["doc_len"] * lengths, *["positions"] * positions)
 
 
-def analysed(tok: DataFrame, positions: bool = False, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def analysed(tok: DataFrame, positions: bool = False, by: tuple[str, ...] = (), cfg: TokenizerConfig | None = None, repeated: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """(postings with lengths, lengths) as a table in the shared folder, from one analysis of the texts. A document's length is a
     row without a term."""
     more = ["positions"] * positions
-    if _repeated(tok, by):
+    if _repeated(tok, by) if repeated is None else repeated:
+        tok = _with_tokens(tok, cfg)
         return written(_grouped(tok, positions, True, by)), written(tok.select(*by, "doc_id", F.size("tokens").cast("long").alias("doc_len")))
-    both = written(_counted(tok, positions, by, True))
+    both = written(_counted(tok, positions, by, True, cfg))
     return both.where("term IS NOT NULL").select("term", "doc_id", *by, "tf", "doc_len", *more), both.where("term IS NULL").select(*by, "doc_id", "doc_len")
 
 
@@ -57,6 +67,10 @@ def _repeated(tok: DataFrame, by: tuple[str, ...]) -> bool:
     return not tok.groupBy("doc_id", *by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
 
+def _with_tokens(tok: DataFrame, cfg: TokenizerConfig | None) -> DataFrame:
+    return tok if "tokens" in tok.columns else tok.withColumn("tokens", tokens(F.col("text"), cfg)).drop("text")
+
+
 def _grouped(tok: DataFrame, positions: bool, lengths: bool, by: tuple[str, ...]) -> DataFrame:
     """Postings where several rows may have one id."""
     more = [F.count(F.lit(1)).alias("tf")]
@@ -69,29 +83,32 @@ def _grouped(tok: DataFrame, positions: bool, lengths: bool, by: tuple[str, ...]
     return tok.select("doc_id", *by, *length, term).groupBy("term", "doc_id", *by).agg(*more)
 
 
-def _counted(tok: DataFrame, positions: bool, by: tuple[str, ...], documents: bool) -> DataFrame:
+def _counted(tok: DataFrame, positions: bool, by: tuple[str, ...], documents: bool, cfg: TokenizerConfig | None = None) -> DataFrame:
     """Postings of rows with ids of their own; with ``documents`` a row without a term for each document too. Those of a slice come in the
     order of ``by``, term and document, so that a sort of a task's rows merges few runs, and pages of a table can be skipped."""
     keys = ["doc_id", *by]
-    rows = tok.select("tokens", *keys)
+    whole = "tokens" not in tok.columns
+    rows = tok.select("text" if whole else "tokens", *keys)
     fields = [T.StructField("term", T.StringType()), *(rows.schema[c] for c in keys), T.StructField("tf", T.LongType()), T.StructField("doc_len", T.LongType())]
     if positions:
         fields.append(T.StructField("positions", T.ArrayType(T.IntegerType())))
     names = [f.name for f in fields]
+    made = (cfg or TokenizerConfig(), letters()) if whole else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = Cutter(*made) if made else None
         for b in batches:
-            off, at = np.asarray(b.column(0).offsets, np.int64), 0
+            off, at = np.append(0, np.cumsum(np.asarray(pc.fill_null((pc.binary_length if cut else pc.list_value_length)(b.column(0)), 0), np.int64))), 0
             while at < b.num_rows:
-                to = max(at + 1, int(np.searchsorted(off, off[at] + SLICE, "right")) - 1)
-                flat = b.column(0).values.slice(off[at], off[to] - off[at])
-                code, size, n = flat.dictionary_encode(), np.diff(off[at : to + 1]), to - at
+                to = max(at + 1, int(np.searchsorted(off, off[at] + SLICE * (TOKEN_BYTES if cut else 1), "right")) - 1)
+                n = to - at
+                code, found, size = (cut or _coded)(b.column(0).slice(at, n))
                 own = [b.column(i).slice(at, n) for i in range(1, b.num_columns)]
-                by_term, by_row, group = pc.sort_indices(code.dictionary), *_ordered(own)
-                words = code.dictionary.take(by_term)
+                by_term, by_row, group = pc.sort_indices(found), *_ordered(own)
+                words = found.take(by_term)
                 kinds = max(1, len(words))
                 # a row's group, a term's place and a row's place, in one number
-                key = ((group * kinds)[np.repeat(np.arange(n), size)] + _places(by_term)[np.asarray(code.indices, np.int64)]) * n + np.repeat(_places(by_row), size)
+                key = ((group * kinds)[np.repeat(np.arange(n), size)] + _places(by_term)[code]) * n + np.repeat(_places(by_row), size)
                 if positions:
                     order = np.argsort(key, kind="stable")
                     key = key[order]
@@ -114,6 +131,12 @@ def _counted(tok: DataFrame, positions: bool, by: tuple[str, ...], documents: bo
     return rows.mapInArrow(run, T.StructType(fields))
 
 
+def _coded(tokens: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(the place of each token among the terms, the terms, the number of tokens of each text)."""
+    code = tokens.flatten().dictionary_encode()
+    return np.asarray(code.indices, np.int64), code.dictionary, np.asarray(pc.fill_null(pc.list_value_length(tokens), 0), np.int64)
+
+
 def _places(order) -> np.ndarray:
     """The place of each row in an order."""
     place = np.empty(len(order), np.int64)
@@ -191,7 +214,7 @@ class InvertedIndex:
     doc_stats: DataFrame
     terms: DataFrame
     stats: DataFrame
-    _source: tuple[DataFrame, bool] | None = None
+    _source: tuple[DataFrame, dict] | None = None
     _totals: tuple[int, float] | None = None
 
     def totals(self) -> tuple[int, float]:
@@ -203,9 +226,10 @@ class InvertedIndex:
 
     @staticmethod
     def build(docs: DataFrame, cfg: TokenizerConfig | None = None, id_: str = "doc_id", text: str = "text", positions: bool = False) -> InvertedIndex:
-        tok = tokenized(docs, cfg, id_, text)
-        post, lengths = postings(tok, positions, lengths=True), doc_stats(tok)
-        return InvertedIndex(post, lengths, terms(post), corpus_stats(lengths), (tok, positions))
+        source = texts(docs, cfg, id_, text)
+        how = {"positions": positions, "cfg": cfg, "repeated": _repeated(source, ())}
+        post, lengths = postings(source, lengths=True, **how), doc_stats(tokenized(docs, cfg, id_, text))
+        return InvertedIndex(post, lengths, terms(post), corpus_stats(lengths), (source, how))
 
     def live(self, tombstones: DataFrame | None) -> InvertedIndex:
         """The index of the documents that aren't deleted, statistics included."""
@@ -223,7 +247,7 @@ class InvertedIndex:
     def materialised(self) -> InvertedIndex:
         """Postings and lengths as tables in the shared folder, from one analysis of the texts, so that these aren't analysed again
         for what is derived."""
-        post, lengths = analysed(*self._source) if self._source else (written(self.postings), written(self.doc_stats))
+        post, lengths = analysed(self._source[0], **self._source[1]) if self._source else (written(self.postings), written(self.doc_stats))
         return InvertedIndex(post, lengths, terms(post), corpus_stats(lengths))
 
     def save(self, path: str) -> None:

@@ -183,3 +183,31 @@ def test_counted_slices_are_sorted(spark):
     got = [(r.seg, r.term.encode(), r.doc_id, r.tf, list(r.positions)) for r in ix._counted(docs, True, ("seg",), False).collect()]
     assert got == sorted(got)
     assert got == [(s, t, d, n, p) for s in (0, 1) for t, n, p in ((b"Z", 1, [2]), (b"bb", 2, [1, 3]), ("é".encode(), 1, [0])) for d in range(1 - s, 10, 2)]
+
+
+def test_texts_are_cut_where_their_terms_are_counted(spark, monkeypatch):
+    """No tokens move to the task that counts them, and they are those of ``tokens`` for all characters and settings."""
+    from tessera.plans.settings import TokenizerConfig
+
+    monkeypatch.setattr(ix, "SLICE", 700)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    odd = ["ΑΣ ΑΣ' ΣΑΣ Σ ʰΣ", "İİ İ", "ẞ ẞẞ Ⱥ ȺȺ", "x" * 50 + " " + "y" * 51 + " " + "İ" * 17 + " " + "Ⱥ" * 17, "end", "end", "", None, "...", "é", "eé", "a1b2 ٣٤ Ⅷ ½½ 𝔸𝔸 𐐀𐐀", "a\0b cc\0dd", "The THE running runs", "ﬁﬁ ée"]
+    texts = odd + ["".join(every[a : a + 4000]) for a in range(0, len(every), 4000)] + [" ".join("a" + c for c in every[a : a + 3000]) for a in range(0, 0x30000, 3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for cfg in (None, TokenizerConfig(min_len=1, max_len=9000, lowercase=False), TokenizerConfig(remove_stopwords=True, stem=True, min_len=3)):
+        whole, tok = ix.texts(docs, cfg), ix.tokenized(docs, cfg)
+        found = ix.postings(whole, positions=True, lengths=True, cfg=cfg)
+        assert "regexp_extract_all" not in _plan(found) and "ArrowEvalPython" not in _plan(found)
+        want = ix.postings(tok, positions=True, lengths=True)
+        a, b = (sorted((r.doc_id, r.term, r.tf, r.doc_len, tuple(r.positions)) for r in x.collect()) for x in (found, want))
+        assert a == b
+        lengths = ix.analysed(whole, cfg=cfg, repeated=False)[1]
+        assert sorted(map(tuple, lengths.collect())) == sorted(map(tuple, ix.doc_stats(tok).collect()))
+    twice = ix.InvertedIndex.build(docs.where("doc_id < 9").union(docs.where("doc_id = 4")))
+    assert [(r.doc_id, r.tf) for r in twice.postings.where("term = 'end'").orderBy("doc_id").collect()] == [(4, 2), (5, 1)]
+
+
+def test_bytes_that_are_no_text(spark):
+    cut = text.Cutter(text.TokenizerConfig(), text.letters())
+    code, terms, size = cut(pa.array([b"aa\xc3", b"bb\xff\xe2\x82cc", b"\xf4\xbf\xbf\xbf aa"], pa.binary()))
+    assert [terms[int(i)].as_py() for i in code] == ["aa", "bb", "cc", "aa"] and size.tolist() == [1, 2, 1]
