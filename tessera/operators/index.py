@@ -159,6 +159,18 @@ def _ordered(keys: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
     return order, group
 
 
+#: Postings that a task sorts, on average, at most.
+SORTED = 1 << 21
+
+
+def by_range(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """``n`` rows in ranges of the first column, each sorted. Where as many parts of an exchange as are set would be too large to be sorted in
+    memory, there are more of them; adaptive execution merges small ones but makes no more."""
+    parts = -(-n // SORTED)
+    more = (parts,) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else ()
+    return rows.repartitionByRange(*more, order[0]).sortWithinPartitions(*order)
+
+
 def doc_stats(tok: DataFrame) -> DataFrame:
     return tok.select("doc_id", F.size("tokens").cast("long").alias("doc_len"))
 
@@ -252,8 +264,8 @@ class InvertedIndex:
 
     def save(self, path: str) -> None:
         """Written as they come first: the choice of the ranges looks at the rows once, the exchange once more."""
-        order, now = ["term", "doc_id"], self.materialised()
-        now.postings.repartitionByRange("term").sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings")
+        now = self.materialised()
+        by_range(now.postings, now.postings.count(), "term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         spark = self.postings.sparkSession
         saved = spark.read.parquet(f"{path}/postings")
         terms(saved).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")

@@ -211,3 +211,15 @@ def test_bytes_that_are_no_text(spark):
     cut = text.Cutter(text.TokenizerConfig(), text.letters())
     code, terms, size = cut(pa.array([b"aa\xc3", b"bb\xff\xe2\x82cc", b"\xf4\xbf\xbf\xbf aa"], pa.binary()))
     assert [terms[int(i)].as_py() for i in code] == ["aa", "bb", "cc", "aa"] and size.tolist() == [1, 2, 1]
+
+
+def test_saved_postings_are_sorted_in_bounded_parts(spark, tmp_path, monkeypatch):
+    """Few shuffle partitions don't make a task sort more than it holds; files share no term and are sorted."""
+    monkeypatch.setattr(ix, "SORTED", 30)
+    docs = spark.createDataFrame([(i, " ".join(f"t{j:02d}" for j in range(i % 7, 40))) for i in range(30)], "doc_id long, text string")
+    ix.InvertedIndex.build(docs).save(str(tmp_path))
+    files = [list(zip(*(pq_file.read_table(f).column(c).to_pylist() for c in ("term", "doc_id")), strict=True)) for f in (tmp_path / "postings").glob("*.parquet")]
+    assert len(files) > 20 and all(f == sorted(f) for f in files)
+    terms = [{t for t, _ in f} for f in files]
+    assert sum(map(len, terms)) == len(set().union(*terms)) == 40
+    assert sorted(r for f in files for r in f) == [(f"t{j:02d}", i) for j in range(40) for i in range(30) if j >= i % 7]
