@@ -98,22 +98,37 @@ def letters() -> np.ndarray:
     return np.packbits(found)
 
 
+@cache
+def _lowered() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point its lower case, where that is one of as many bytes; and whether it is another, or depends on the word."""
+    small, other = np.arange(0x110000, dtype=np.int32), np.zeros(0x110000, bool)
+    for c in range(128, 0x110000):
+        if not 0xD800 <= c < 0xE000 and (low := chr(c).lower()) != chr(c):
+            if len(low) == 1 and len(low.encode()) == len(chr(c).encode()) and c != 0x3A3:
+                small[c] = ord(low)
+            else:
+                other[c] = True
+    return small, other
+
+
 class Cutter:
     """``tokens`` in mode 'simple' for many texts at once, in a task: words are cut by their bytes, and what is done to a word is done to
     each distinct one."""
 
     def __init__(self, cfg: TokenizerConfig, packed: np.ndarray):
         self.cfg, self.letter, self.stop = cfg, np.unpackbits(packed).astype(bool), pa.array(stopwords_of(cfg) if cfg.remove_stopwords else (), pa.string())
-        self.byte = np.zeros(256, bool)
-        self.byte[:128] = self.letter[:128]
-        self.lower = np.arange(256, dtype=np.uint8)
+        self.byte = np.append(self.letter[:128], np.zeros(128, bool)).tobytes()
+        self.lower = bytes(range(256))
         if cfg.lowercase:
-            self.lower[65:91] += 32
+            self.lower = self.lower[:65] + self.lower[97:123] + self.lower[91:]
+            self.small, self.other = _lowered()
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         """(the place of each token among the terms, the terms, the number of tokens of each text)."""
         off, buf = _bytes(texts)
-        inside = self.byte[buf]
+        raw, other = buf.tobytes(), False
+        inside, low = (np.frombuffer(bytearray(raw.translate(x)), np.uint8) for x in (self.byte, self.lower))
+        inside = inside.view(bool)
         lead = np.flatnonzero(buf >= 0xC0)
         first = buf[lead].astype(np.int32)
         width = np.where(first >= 0xF0, 4, np.where(first >= 0xE0, 3, 2))
@@ -122,33 +137,42 @@ class Cutter:
             point = buf[at].astype(np.int32) & bits
             for j in range(1, w):
                 point = point << 6 | (buf[at + j] & 0x3F)
-            at = at[self.letter[point]]
+            some = self.letter[point]
+            at, point = at[some], point[some]
             for j in range(w):
                 inside[at + j] = True
-        begins, ends = inside.copy(), inside.copy()
-        begins[1:] &= ~inside[:-1]
-        ends[:-1] &= ~inside[1:]
-        some = np.flatnonzero(np.diff(off))  # a word ends with its text
-        begins[off[some]] |= inside[off[some]]
-        ends[off[some + 1] - 1] |= inside[off[some + 1] - 1]
-        begins, ends = np.flatnonzero(begins), np.flatnonzero(ends)
+            if self.cfg.lowercase:
+                other |= bool(self.other[point].any())
+                new = self.small[point]
+                moved = new != point
+                at, new = at[moved], new[moved]
+                for j in range(w - 1, -1, -1):
+                    low[at + j] = (new & 0x3F | 0x80) if j else (new | (0xFF00 >> w & 0xFF))
+                    new = new >> 6
+        edges = np.flatnonzero(np.concatenate(([False], inside)) != np.append(inside, False))
+        met = np.unique(off[1:-1])  # a word ends with its text
+        met = met[(met > 0) & (met < len(buf))]
+        met = met[inside[met - 1] & inside[met]]
+        edges = np.insert(edges, np.repeat(np.searchsorted(edges, met), 2), np.repeat(met, 2))
+        begins, width = edges[::2], edges[1::2] - edges[::2]
+        if not other:  # no word changes its length
+            kept = (width >= self.cfg.min_len) & (width <= self.cfg.max_len)
+            begins, width = begins[kept], width[kept]
         size = np.diff(np.searchsorted(begins, off))
-        ends = np.append(np.zeros(1, np.int32), np.cumsum(ends - begins + 1, dtype=np.int32))
-        found = pa.StringArray.from_buffers(len(begins), pa.py_buffer(ends), pa.py_buffer(self.lower[buf[inside]])).dictionary_encode()
-        terms, keep = self._terms(found.dictionary)
-        code = np.asarray(found.indices, np.int64)
+        code, words = _distinct(low, begins, width)
+        terms, keep = self._terms(words, other)
         if not keep.all():
             kept = keep[code]
             sums = np.append(0, np.cumsum(kept))
             size, code = np.diff(sums[np.append(0, np.cumsum(size))]), code[kept]
-        if terms is not found.dictionary:  # distinct words may be one term
+        if terms is not words:  # distinct words may be one term
             terms = terms.dictionary_encode()
             code, terms = np.asarray(terms.indices, np.int64)[code], terms.dictionary
         return code, terms, size
 
-    def _terms(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        """The term of each word, and whether it is kept."""
-        other = ~np.asarray(pc.string_is_ascii(words)) if self.cfg.lowercase else np.zeros(len(words), bool)
+    def _terms(self, words: pa.Array, other: bool) -> tuple[pa.Array, np.ndarray]:
+        """The term of each word, and whether it is kept. ``other``: there are letters in them that aren't in lower case yet."""
+        other = ~np.asarray(pc.string_is_ascii(words)) if other else np.zeros(len(words), bool)
         if other.any():
             words = pc.replace_with_mask(words, pa.array(other), pa.array([w.lower() for w in words.filter(pa.array(other)).to_pylist()], pa.string()))
         size = np.asarray(pc.binary_length(words))
@@ -158,6 +182,26 @@ class Cutter:
         return (pa.array([stem(w) for w in words.to_pylist()], pa.string()) if self.cfg.stem else words), keep
 
 
+def _distinct(buf: np.ndarray, begins: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(the place of each word among the distinct ones, these). Most words are of eight bytes at most, which are one number; no
+    letter is a zero byte."""
+    eight = np.ndarray(len(buf), "<u8", np.append(buf, np.zeros(8, np.uint8)).data, 0, (1,))[begins] if len(begins) else np.zeros(0, "<u8")
+    short = width <= 8
+    found = pa.array(eight[short] & (np.uint64(2**64 - 1) >> (64 - 8 * width[short]).astype(np.uint64))).dictionary_encode()
+    each = np.asarray(found.dictionary, "<u8").view(np.uint8).reshape(-1, 8)
+    code = np.empty(len(begins), np.int64)
+    code[short] = np.asarray(found.indices)
+    begins, width = begins[~short], width[~short]
+    ends = np.append(0, np.cumsum(width))
+    longer = _strings(buf[np.repeat(begins - ends[:-1], width) + np.arange(ends[-1])], ends).dictionary_encode()
+    code[~short] = len(each) + np.asarray(longer.indices)
+    return code, pa.concat_arrays([_strings(each[each > 0], np.append(0, np.cumsum((each > 0).sum(1)))), longer.dictionary])
+
+
+def _strings(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data))
+
+
 def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets from 0, bytes) of texts; nulls are empty, and bytes that are no text are no letters."""
     texts = pc.fill_null(texts, "").cast(pa.binary())

@@ -42,11 +42,11 @@ def scores(index: InvertedIndex, query: list[str], params: Bm25Params | None = N
 def _scored(index: InvertedIndex, query: list[str], params: Bm25Params | None) -> DataFrame:
     """(term, doc_id, tf, one): what each posting of the query's terms scores."""
     weights = Counter(query)
-    some = F.col("term").isin(*weights)
     n, avgdl = index.totals()
+    post, terms = index.of(weights)
     # frequencies of the query's terms and the corpus' totals are few numbers, which go into the expression
-    df = {r.term: r.df for r in index.terms.where(some).select("term", "df").collect()}
-    hits = index.postings.where(some).select("term", "doc_id", "tf", "doc_len")
+    df = {r.term: r.df for r in terms.select("term", "df").collect()}
+    hits = post.select("term", "doc_id", "tf", "doc_len")
     one = F.lit(0.0)
     for t, w in weights.items():
         if t in df:
@@ -184,7 +184,11 @@ def _tables(batches, terms: pa.Array, avgdl: float, p: Bm25Params):
 def bounds(index: InvertedIndex, query: list[str], params: Bm25Params | None = None, block: int = BLOCK) -> DataFrame:
     """(term, block, first_doc, last_doc, n, max_tf, max_score): for each query term and block of document ids the most that a
     posting of it scores. Blocks are aggregated before they move."""
-    return _scored(index, query, params).withColumn("block", F.floor(F.col("doc_id") / block)).groupBy("term", "block").agg(
+    return _bounds(_scored(index, query, params).withColumn("block", F.floor(F.col("doc_id") / block)))
+
+
+def _bounds(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("term", "block").agg(
         F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.round(F.max("one"), DIGITS).alias("max_score")
     )
 
@@ -194,9 +198,9 @@ def bounded_search(index: InvertedIndex, query: list[str], k: int = 10, params:
     reaches the k-th score found. Pays where few blocks can hold the best."""
     if not query or k <= 0:
         return _none(index.postings.sparkSession)
-    upper = written(bounds(index, query, params, block).groupBy("block").agg(F.sum("max_score").alias("upper")))
+    rows = written(_scored(index, query, params)).withColumn("block", F.floor(F.col("doc_id") / block))
+    upper = written(_bounds(rows).groupBy("block").agg(F.sum("max_score").alias("upper")))
     first = [r.block for r in top(upper, FIRST_BLOCKS, "upper", "block").collect()]
-    rows = _scored(index, query, params).withColumn("block", F.floor(F.col("doc_id") / block))
     start = top(rows.where(F.col("block").isin(first)).groupBy("doc_id").agg(F.round(F.sum("one"), DIGITS).alias("score")), k).collect()
     least = start[-1].score if len(start) == k else 0.0
     # a sum of rounded parts may lie below the rounded sum by this much

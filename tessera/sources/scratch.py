@@ -25,8 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{at}/tessera-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options: object) -> DataFrame:
     """The rows as a table in the shared folder, read again."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,6 +9,7 @@ from tessera.functions import text
 from tessera.operators import graph, keyword, pq, vector
 from tessera.operators import index as ix
 from tessera.plans.settings import Bm25Params
+from tessera.queries import search
 from tessera.sources import segments
 
 
@@ -223,3 +224,70 @@ def test_saved_postings_are_sorted_in_bounded_parts(spark, tmp_path, monkeypatch
     terms = [{t for t, _ in f} for f in files]
     assert sum(map(len, terms)) == len(set().union(*terms)) == 40
     assert sorted(r for f in files for r in f) == [(f"t{j:02d}", i) for j in range(40) for i in range(30) if j >= i % 7]
+
+
+def _tables_written(monkeypatch) -> list[int]:
+    rows, plain = [], ix.written
+
+    def spied(df, **options):
+        out = plain(df, **options)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(ix, "written", spied)
+    return rows
+
+
+def _table_of_texts(spark, tmp_path) -> str:
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j * j) % 900}" for j in range(200)) + " the of the and" * (i % 3)) for i in range(600)], "doc_id long, text string").coalesce(2)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_block_search_writes_blocks(spark, tmp_path, monkeypatch):
+    """The index that is searched by blocks has far fewer rows than postings, and is looked up once."""
+    d, rows, looks, plain = _table_of_texts(spark, tmp_path), _tables_written(monkeypatch), [], keyword._scored
+    monkeypatch.setattr(keyword, "_scored", lambda *a: looks.append(1) or plain(*a))
+    got = search.kw_blockmax_topk(spark, d).collect()
+    assert sum(rows) * 100 < ix.postings(ix.tokenized(spark.read.parquet(f"{d}/documents.parquet"))).count()
+    assert len(looks) == 1
+    assert got == keyword.scan_search(spark.read.parquet(f"{d}/documents.parquet"), "the of and that", 10).collect()
+
+
+@pytest.mark.parametrize("ids", ["id", "id * id * id * 1000003 - 5000000000", "cast(-id AS int)", "concat('d', id)", "if(id = 3, NULL, id)"])
+def test_blocks_hold_the_whole_index(spark, monkeypatch, ids):
+    """Whatever the kind of ids, in blocks that cut terms and slices that cut tables."""
+    for name, n in (("BLOCK", 7), ("SLICE", 40), ("ROWS", 16)):
+        monkeypatch.setattr(ix, name, n)
+    texts_ = [None if i == 5 else "" if i == 9 else " ".join(["straße ÜBER über incomprehensibly incomprehensible"] * (i % 4) + ["abcdefgh abcdefghi"] + [f"t{j}" for j in range(i)]) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "id long, text string").selectExpr(f"{ids} AS doc_id", "text").coalesce(3)
+    rows = _tables_written(monkeypatch)
+    made, plain = ix.InvertedIndex.build(docs).packed(), ix.InvertedIndex.build(docs)
+    assert len(rows) == 1
+    every = lambda df, like: sorted(map(str, df.select(*like.columns).collect()))
+    assert made.postings.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    for a, b in ((made.postings, plain.postings), (made.terms, plain.terms), (made.doc_stats, plain.doc_stats), (made.stats, plain.stats)):
+        assert every(a, b) == every(b, b)
+    for names in (("über", "t7", "none"), ("abcdefghi",), ()):
+        for a, b in zip(made.of(names), plain.of(names), strict=True):
+            assert every(a, b) == every(b, b)
+    gone = docs.where("length(text) > 60").select("doc_id")
+    for a, b in zip(made.live(gone).of(["t3", "straße"]), plain.live(gone).of(["t3", "straße"]), strict=True):
+        assert every(a, b) == every(b, b)
+
+
+def test_repeated_ids_are_no_blocks(spark):
+    docs = spark.createDataFrame([(1, "aa bb aa"), (1, "aa"), (2, "cc")], "doc_id long, text string")
+    made = ix.InvertedIndex.build(docs).packed()
+    assert sorted(map(tuple, made.of(["aa", "cc"])[0].select("doc_id", "term", "tf").collect())) == [(1, "aa", 3), (2, "cc", 1)]
+
+
+def test_order_and_kinds_of_words():
+    r = np.random.default_rng(4)
+    for _ in range(300):
+        words = ["".join(r.choice(list("abé𐐀zß"), r.choice([1, 2, 4, 7, 8, 9, 12]))) for _ in range(int(r.integers(0, 60)))]
+        data = np.frombuffer("".join(words).encode(), np.uint8)
+        width = np.array([len(w.encode()) for w in words], np.int64)
+        code, found = text._distinct(data, np.cumsum(width) - width, width)
+        assert found.take(pa.array(code)).to_pylist() == words and len(set(found.to_pylist())) == len(found)
+        assert found.take(pa.array(ix._sorted(found))).to_pylist() == sorted(found.to_pylist(), key=str.encode)
